@@ -1,0 +1,20 @@
+"""Size-checked broadcast.
+
+Only a side whose row count is proven below a bound is hinted for broadcast;
+beyond it the plain DataFrame is returned and the planner (AQE with runtime
+statistics) chooses a shuffle join instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    # limit(max_rows + 1).count() stops reading after max_rows + 1 rows, so the
+    # check costs at most one bounded scan of the small side.
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
