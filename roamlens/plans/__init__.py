@@ -1,7 +1,7 @@
 """Registered queries. Importing this package registers every plan module."""
 
 from roamlens.plans.registry import REGISTRY  # noqa: F401
-from roamlens.plans import reports, extraction, textmining, matching, learning  # noqa: F401
+from roamlens.plans import reports, extraction, textmining, matching, learning, streams, models  # noqa: F401
 
 
 def queries():
