@@ -87,27 +87,85 @@ def _chars(c: Column) -> Column:
     return F.array_distinct(F.split(c, ""))
 
 
-def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name") -> DataFrame:
-    """Pairs (query, choice) sharing at least one character of their
-    normalised forms, with the similarity score.  ``choices`` keeps its other
-    columns (ord, level, ...)."""
+def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name",
+               threshold: int = 0) -> DataFrame:
+    """Pairs (query, choice) with similarity > ``threshold``, with the score.
+    ``choices`` keeps its other columns (ord, level, ...).
+
+    threshold 0: pairs sharing a character (all positive scores).
+    threshold t > 0: prefix filtering, still exact.  score > t needs a
+    multiset character overlap > (t/100)·max(len) >= (t/100)·len of either
+    string; with characters tokenised as (char, occurrence) and ordered
+    rarest first, such a pair must share a token inside both strings'
+    prefixes of length len - floor(t/100·len), so only those are joined.
+
+    A pair sharing several (prefix) tokens is emitted once per token; only the
+    row for its smallest shared token is kept — a map-side filter, no dedup
+    shuffle."""
     qn = queries.select(q).distinct().withColumn("__qn", normalise_name(q)).filter(F.col("__qn") != "")
     cn = choices.withColumn("__cn", normalise_name(name)).filter(F.col("__cn") != "")
-    qc = qn.select(q, "__qn", F.explode(_chars(F.col("__qn"))).alias("__ch"))
-    cc = cn.select("*", F.explode(_chars(F.col("__cn"))).alias("__ch"))
-    pairs = (qc.join(checked_broadcast(cc), "__ch").drop("__ch")
-             .dropDuplicates([q, *[c for c in choices.columns]]))
-    return (pairs.withColumn("score", similarity("__qn", "__cn")).drop("__qn", "__cn")
-            .filter(F.col("score") > 0))
+    if threshold <= 0:
+        qn = qn.withColumn("__qs", _chars(F.col("__qn")))
+        cn = cn.withColumn("__cs", _chars(F.col("__cn")))
+    else:
+        rank = _token_rank(qn.select(_occ_tokens(F.col("__qn")).alias("t")),
+                           cn.select(_occ_tokens(F.col("__cn")).alias("t")))
+        qn = _prefix(qn, [q], "__qn", "__qs", rank, threshold)
+        cn = _prefix(cn, [c for c in choices.columns], "__cn", "__cs", rank, threshold)
+    qc = qn.select("*", F.explode("__qs").alias("__ch"))
+    cc = cn.select("*", F.explode("__cs").alias("__ch"))
+    pairs = (qc.join(checked_broadcast(cc), "__ch")
+             .filter(F.col("__ch") == F.array_min(F.array_intersect("__qs", "__cs"))))
+    return (pairs.withColumn("score", similarity("__qn", "__cn"))
+            .drop("__qn", "__cn", "__qs", "__cs", "__ch")
+            .filter(F.col("score") > threshold))
+
+
+def _occ_tokens(c: Column) -> Column:
+    """Characters as (char, occurrence number) tokens: 'aba' -> a#1, b#1, a#2."""
+    chars = F.split(c, "")
+    return F.transform(chars, lambda ch, i: F.concat(
+        ch, F.lit("#"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch)).cast("string")))
+
+
+def _token_rank(*token_frames) -> DataFrame:
+    """Global token order, rarest first (ties by token); one row per token,
+    bounded by alphabet size x longest repeat, so it is broadcast."""
+    u = None
+    for f in token_frames:
+        e = f.select(F.explode("t").alias("tok"))
+        u = e if u is None else u.unionByName(e)
+    freq = u.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
+    return freq.select("tok", F.row_number().over(Window.orderBy("f", "tok")).alias("r"))
+
+
+def _prefix(df: DataFrame, keys: list[str], norm: str, out: str, rank: DataFrame, threshold: int) -> DataFrame:
+    """Prefix of the rarest ``len - floor(t/100 * len)`` tokens, as ranks.
+    ``keys`` identify a row (the query string; the choice's columns)."""
+    ex = df.select(*keys, F.explode(_occ_tokens(F.col(norm))).alias("tok"))
+    ranked = (ex.join(F.broadcast(rank), "tok").groupBy(*keys)
+              .agg(F.array_sort(F.collect_list("r")).alias("__all")))
+    n = F.size("__all")
+    plen = n - F.floor(n * threshold / 100.0).cast("int")
+    pref = ranked.select(*keys, F.slice("__all", 1, F.greatest(plen, F.lit(1))).alias(out))
+    return df.join(pref, keys)
 
 
 def top_matches(queries: DataFrame, choices: DataFrame, limit: int = 1, q: str = "q",
-                name: str = "name", by=("level",)) -> DataFrame:
+                name: str = "name", by=("level",), threshold: int = 0) -> DataFrame:
     """The ``limit`` best choices per query (and level): score desc,
-    then choice order.  Only positive scores exist as candidates.  The window
-    partitions are (query, level) groups, bounded by the choice list size."""
+    then choice order.  Only positive scores exist as candidates.
+
+    ``limit == 1`` is a ``max_by`` aggregate (partial aggregation before the
+    shuffle); larger limits rank inside (query, level) groups, which are
+    bounded by the size of the choice list."""
     by = list(by)
-    cand = candidates(queries, choices, q, name)
+    cand = candidates(queries, choices, q, name, threshold)
+    if limit == 1:
+        rest = [c for c in cand.columns if c not in [q, *by]]
+        best = cand.groupBy(q, *by).agg(
+            F.max_by(F.struct(*rest), F.struct(F.col("score"), -F.col("ord"))).alias("__b"))
+        return best.select(q, *by, *[F.col("__b")[c].alias(c) for c in rest]).withColumn("rank", F.lit(1))
     w = Window.partitionBy(q, *by).orderBy(F.desc("score"), F.asc("ord"))
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -136,7 +194,9 @@ def first_token(c, max_len: int = 3) -> Column:
 def resolve(queries: DataFrame, gazetteer: DataFrame, q: str = "q", threshold: int = THRESHOLD) -> DataFrame:
     """N15 + J7 on distinct query strings: (q, p/c/k top-1 name and score,
     chosen level, matched name, province)."""
-    top = top_matches(queries, gazetteer.select("ord", "level", "name"), 1, q, "name")
+    # Only scores above the threshold can decide (N15), so candidates are
+    # generated with the exact prefix filter for that threshold.
+    top = top_matches(queries, gazetteer.select("ord", "level", "name"), 1, q, "name", threshold=threshold)
     wide = top.groupBy(q).agg(
         *[F.max(F.when(F.col("level") == lv, F.col("score"))).alias(f"s{lv}") for lv in (1, 2, 3)],
         *[F.max(F.when(F.col("level") == lv, F.col("name"))).alias(f"n{lv}") for lv in (1, 2, 3)])
