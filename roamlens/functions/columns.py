@@ -38,7 +38,7 @@ def year_of(c) -> Column:
 
 def date_rest(c) -> Column:
     """Text after the first '-', null when there is none."""
-    return F.element_at(F.split(col_(c), "-", 2), 2)
+    return F.try_element_at(F.split(col_(c), "-", 2), F.lit(2))
 
 
 def ts_text(c) -> Column:

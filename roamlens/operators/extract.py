@@ -51,7 +51,7 @@ def next_page(html) -> Column:
 def fan_out_pages(df: DataFrame, count_col: str, per_page: int = COMMENTS_PER_PAGE,
                   out: str = "page") -> DataFrame:
     """Pages 1..ceil(n / per_page); no rows when n is null, blank or 0 (Q11)."""
-    n = F.col(count_col).cast("long")
+    n = F.col(count_col).try_cast("long")
     pages = F.when(n > 0, F.sequence(F.lit(1).cast("long"), F.ceil(n / per_page).cast("long")))
     return df.withColumn(out, F.explode(pages))
 

@@ -38,13 +38,13 @@ def word_and_bigram_features(words, sep: str = "_") -> Column:
 def class_scores(df: DataFrame, features: str, label: str, positive=1, out: str = "score") -> DataFrame:
     """N7/N8 (+A13–A15): informativeness of each feature for the label =
     chi²(feature, positive class) + chi²(feature, negative class), from token
-    counts.  Class totals are one aggregate row attached by broadcast."""
+    counts.  Class totals are scalar subqueries over the (vocabulary-sized)
+    count table."""
     ex = df.select(F.col(label).alias("__y"), F.explode(features).alias("word"))
     counts = ex.groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                     F.count(F.when(F.col("__y") == positive, 1)).alias("n_pos"))
-    tot = ex.agg(F.count(F.lit(1)).alias("__N"),
-                 F.count(F.when(F.col("__y") == positive, 1)).alias("__P")).withColumn("__k", F.lit(1))
-    s = counts.withColumn("__k", F.lit(1)).join(F.broadcast(tot), "__k")
+    s = (counts.withColumn("__N", counts.select(F.sum("n")).scalar())
+         .withColumn("__P", counts.select(F.sum("n_pos")).scalar()))
     neg = F.col("n") - F.col("n_pos")
     score = (chi_sq("n_pos", "n", "__P", "__N") + chi_sq(neg, "n", F.col("__N") - F.col("__P"), "__N"))
     return s.select("word", "n", "n_pos", neg.alias("n_neg"), round6(score).alias(out))
@@ -83,8 +83,7 @@ def bigram_scores(df: DataFrame, words: str, by=None) -> DataFrame:
     if by:
         j = pairs.join(u1, by + ["w1"]).join(u2, by + ["w2"]).join(tot, by)
     else:
-        j = pairs.join(u1, "w1").join(u2, "w2").withColumn("__k", F.lit(1)) \
-                 .join(F.broadcast(tot.withColumn("__k", F.lit(1))), "__k").drop("__k")
+        j = pairs.join(u1, "w1").join(u2, "w2").withColumn("n_xx", tot.select("n_xx").scalar())
     return j.select(*by, "w1", "w2", "n_ii", "n_ix", "n_xi", "n_xx",
                     round6(chi_sq("n_ii", "n_ix", "n_xi", "n_xx")).alias("chi_sq"),
                     round6(pmi("n_ii", "n_ix", "n_xi", "n_xx")).alias("pmi"))

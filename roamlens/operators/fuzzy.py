@@ -47,6 +47,7 @@ def flatten_gazetteer_map(df: DataFrame, col: str = "value") -> DataFrame:
 def _ordered(p, c, k):
     # traversal order: province, then each city followed by its counties
     big = 1 << 20
+    p, c, k = (x.withColumn("pi", F.col("pi").cast("long")) for x in (p, c, k))
     rows = (p.select((F.col("pi") * big * big).alias("o"), F.lit(1).alias("level"),
                      F.col("province").alias("name"), "province")
             .unionByName(c.select((F.col("pi") * big * big + (F.col("ci") + 1) * big).alias("o"),
@@ -72,8 +73,9 @@ def parse_gazetteer_text(df: DataFrame, col: str = "value") -> DataFrame:
     per_prov = (lines.groupBy("j", "province")
                 .agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("li", "city", "counties"))),
                                                     lambda s: F.struct(s["city"], s["counties"]))).alias("cities")))
-    return per_prov.agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("j", "province", "cities"))),
-                                                       lambda s: F.struct(s["province"], s["cities"]))).alias(col))
+    by_j = F.array_sort(F.collect_list(F.struct("j", "province", "cities")),
+                        lambda a, b: F.when(a["j"] < b["j"], -1).when(a["j"] > b["j"], 1).otherwise(0))
+    return per_prov.agg(F.map_from_entries(F.transform(by_j, lambda s: F.struct(s["province"], s["cities"]))).alias(col))
 
 
 def name_to_province(gazetteer: DataFrame) -> DataFrame:

@@ -70,18 +70,18 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Equal-width histogram over [min, max] with the last bin closed
     (numpy/pandas ``hist`` semantics); a constant column spans min±0.5.
 
-    min/max are one aggregate row; it is attached with a broadcast join on
-    a constant key, so the data side never moves."""
+    min/max are one aggregate row used through scalar subqueries, so the
+    data side never moves."""
     stats = (df.agg(F.min(value).alias("__lo0"), F.max(value).alias("__hi0"))
              .select(F.when(F.col("__lo0") == F.col("__hi0"), F.col("__lo0") - 0.5)
                      .otherwise(F.col("__lo0")).alias("__lo"),
                      F.when(F.col("__lo0") == F.col("__hi0"), F.col("__hi0") + 0.5)
-                     .otherwise(F.col("__hi0")).alias("__hi"))
-             .withColumn("__k", F.lit(1)))
-    width = (F.col("__hi") - F.col("__lo")) / bins
-    b = F.least(F.floor((F.col(value) - F.col("__lo")) / width), F.lit(bins - 1)).cast("int")
-    x = (df.filter(F.col(value).isNotNull()).withColumn("__k", F.lit(1))
-         .join(F.broadcast(stats), "__k").withColumn("bin", b))
+                     .otherwise(F.col("__hi0")).alias("__hi")))
+    lo, hi = stats.select("__lo").scalar(), stats.select("__hi").scalar()
+    width = (hi - lo) / bins
+    b = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
+    x = (df.filter(F.col(value).isNotNull())
+         .withColumn("__lo", lo).withColumn("__hi", hi).withColumn("bin", b))
     return (x.groupBy("bin", "__lo", "__hi").agg(F.count(F.lit(1)).alias("n"))
             .select("bin",
                     round6(F.col("__lo") + F.col("bin") * (F.col("__hi") - F.col("__lo")) / bins).alias("lo"),

@@ -76,16 +76,22 @@ def run_available_now(writer) -> None:
 
 
 # ------------------------------------------------------------------ operators (R4, windows)
+def _event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need TIMESTAMP (session time zone); NTZ columns are cast."""
+    if dict(stream.dtypes)[ts] == "timestamp_ntz":
+        return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    return stream
+
 def dedup_events(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
     """Drop repeated events (same key) arriving within the watermark delay."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return _event_time(stream, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_stats(stream: DataFrame, ts: str, value: str, delay: str = "1 hour",
                 window: str = "1 day") -> DataFrame:
     """Extension of A3/A5 to streams: per-window count and mean, emitted once
     the watermark passes the window end (append mode)."""
-    w = stream.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"))
+    w = _event_time(stream, ts).withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"))
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_value")).select(
         F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
