@@ -334,3 +334,26 @@ SELECT count(score) AS n_docs, round(avg(score), 6) AS mean, min(score) AS min,
        count(*) FILTER (WHERE score > 0) AS n_positive, count(*) FILTER (WHERE score < 0) AS n_negative FROM scores""")
 def score_summary(spark, sf_dir):
     return LX.score_summary(_scores(spark, sf_dir))
+
+
+@register("conversation_join", ids="P11", sql="""
+SELECT conv_id, count(*) AS n_turns, string_agg(text, '。' ORDER BY turn) AS joined
+FROM conversations GROUP BY conv_id""")
+def conversation_join(spark, sf_dir):
+    """P11 per group: a conversation's turns joined in order (a conversation
+    is a bounded group, so its texts are collected)."""
+    from roamlens.operators.relational import join_texts
+    c = Tables(spark, sf_dir)["conversations"]
+    n = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    return join_texts(c, "conv_id", "turn", "text", sep="。").join(n, "conv_id").select("conv_id", "n_turns", "joined")
+
+
+@register("char_tokens_count", ids="N1", sql=r"""
+SELECT item_id, CAST(len(regexp_extract_all(lower(text), '\p{L}')) AS BIGINT) AS n_chars,
+       CAST(len(list_distinct(regexp_extract_all(lower(text), '\p{L}'))) AS BIGINT) AS n_distinct
+FROM benchmark""")
+def char_tokens_count(spark, sf_dir):
+    """N1 'chars' mode (unspaced scripts: every letter is a token)."""
+    b = TX.tokenize(Tables(spark, sf_dir)["benchmark"], "text", mode="chars")
+    return b.select("item_id", F.size("words").cast("long").alias("n_chars"),
+                    F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))

@@ -8,15 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roamlens.schemas import TABLES
 
+# Text-heavy tables whose per-row work (tokenising, regex extraction) is
+# expensive: if their scan cannot feed every core, they are spread by key.
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def _row_groups(paths: list[str]) -> int | None:
+    try:
+        import pyarrow.parquet as pq
+        return sum(pq.ParquetFile(p.replace("file://", "")).metadata.num_row_groups for p in paths)
+    except Exception:
+        return None
+
+
+def spread_if_narrow(df: DataFrame, key: str) -> DataFrame:
+    """Parquet splits by row group, so a table stored as a few row groups is
+    scanned by a few tasks however many cores exist.  When that is the case
+    (checked from the footers, only when there are fewer files than cores),
+    hash-repartition by ``key`` so expensive per-row work runs in parallel.
+    A large table has many row groups and is returned untouched — never an
+    extra shuffle at scale."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    groups = _row_groups(files)
+    if groups is None or groups >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet scan with the declared schema; column pruning and filter
     pushdown reach the scan because everything downstream is declarative."""
-    return spark.read.schema(TABLES[name]).parquet(table_path(sf_dir, name))
+    df = spark.read.schema(TABLES[name]).parquet(table_path(sf_dir, name))
+    if name in SPREAD_KEYS:
+        df = spread_if_narrow(df, SPREAD_KEYS[name])
+    return df
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=None, views: bool = False) -> dict[str, DataFrame]:
