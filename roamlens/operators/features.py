@@ -43,8 +43,9 @@ def class_scores(df: DataFrame, features: str, label: str, positive=1, out: str
     ex = df.select(F.col(label).alias("__y"), F.explode(features).alias("word"))
     counts = ex.groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                     F.count(F.when(F.col("__y") == positive, 1)).alias("n_pos"))
-    s = (counts.withColumn("__N", counts.select(F.sum("n")).scalar())
-         .withColumn("__P", counts.select(F.sum("n_pos")).scalar()))
+    tot = counts.select(F.struct(F.sum("n").alias("N"), F.sum("n_pos").alias("P"))).scalar()
+    s = (counts.withColumn("__t", tot)
+         .withColumn("__N", F.col("__t.N")).withColumn("__P", F.col("__t.P")).drop("__t"))
     neg = F.col("n") - F.col("n_pos")
     score = (chi_sq("n_pos", "n", "__P", "__N") + chi_sq(neg, "n", F.col("__N") - F.col("__P"), "__N"))
     return s.select("word", "n", "n_pos", neg.alias("n_neg"), round6(score).alias(out))

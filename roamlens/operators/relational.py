@@ -77,7 +77,9 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
                      .otherwise(F.col("__lo0")).alias("__lo"),
                      F.when(F.col("__lo0") == F.col("__hi0"), F.col("__hi0") + 0.5)
                      .otherwise(F.col("__hi0")).alias("__hi")))
-    lo, hi = stats.select("__lo").scalar(), stats.select("__hi").scalar()
+    st = stats.select(F.struct("__lo", "__hi")).scalar()
+    df = df.withColumn("__st", st)
+    lo, hi = F.col("__st.__lo"), F.col("__st.__hi")
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col(value) - lo) / width), F.lit(bins - 1)).cast("int")
     x = (df.filter(F.col(value).isNotNull())

@@ -114,7 +114,7 @@ def classifier_grid(spark, sf_dir):
     }
     sets = {k: v.withColumn("label", F.col("label").cast("double")).select("label", "features", "split")
             for k, v in sets.items()}
-    rows = ML.grid(sets, ML.classifiers(max_iter=30))
+    rows = ML.grid(sets, ML.classifiers(max_iter=15))
     return spark.createDataFrame(rows, "method string, classifier string, accuracy double")
 
 
