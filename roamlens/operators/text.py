@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roamlens.functions.columns import col_, numeric_stop, round6, tokens
 from roamlens.functions.broadcast import checked_broadcast
+from roamlens.operators.ordering import top_k_per_group
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "words", mode: str = "words",
@@ -85,28 +86,31 @@ def tfidf_keywords(df: DataFrame, group: str, doc: str, words: str, k: int = 100
     tf = count(word in group) / tokens in group;
     idf = ln((N + 1) / (df + 1)) with N documents and df documents holding
     the word (learned from the corpus itself).  Ranking happens on the
-    (group, word) aggregate, whose size is bounded by the vocabulary."""
-    ex = df.select(group, doc, F.explode(words).alias("word"))
-    n_docs = df.select(doc).distinct().count()
-    dfreq = ex.select(doc, "word").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    tf = ex.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
+    (group, word) aggregate with the salted two-phase top-k, so a dominant
+    group (one language) is ranked by many tasks."""
+    # one (doc, group, word) pre-aggregate feeds both document frequency and
+    # term frequency
+    per_doc = df.select(group, doc, F.explode(words).alias("word")).groupBy(doc, group, "word") \
+                .agg(F.count(F.lit(1)).alias("c"))
+    n_docs = df.select(F.count_distinct(doc)).scalar()
+    dfreq = per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    tf = per_doc.groupBy(group, "word").agg(F.sum("c").alias("n"))
     tot = tf.groupBy(group).agg(F.sum("n").alias("total"))
     s = (tf.join(tot, group).join(dfreq, "word")
          .withColumn("weight", round6(F.col("n") / F.col("total") *
-                                      F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)))))
-    w = Window.partitionBy(group).orderBy(F.desc("weight"), F.asc("word"))
-    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+                                      F.log((n_docs + 1) / (F.col("df") + 1)))))
+    return (top_k_per_group(s, [group], [F.desc("weight"), F.asc("word")], k, "word")
             .select(group, "word", "n", "df", "weight", "rank"))
 
 
 def cloud_weights(df: DataFrame, group: str, words: str, n: int = 100) -> DataFrame:
-    """Word-cloud weights — frequency / the group's top frequency, top ``n``."""
+    """Word-cloud weights — frequency / the group's top frequency, top
+    ``n`` (salted two-phase top-k; the top frequency is the rank-1 row)."""
     c = df.select(group, F.explode(words).alias("word")).groupBy(group, "word").agg(
         F.count(F.lit(1)).alias("n"))
+    top = top_k_per_group(c, [group], [F.desc("n"), F.asc("word")], n, "word")
     w = Window.partitionBy(group)
-    r = Window.partitionBy(group).orderBy(F.desc("n"), F.asc("word"))
-    return (c.withColumn("weight", round6(F.col("n") / F.max("n").over(w)))
-            .withColumn("rank", F.row_number().over(r)).filter(F.col("rank") <= n))
+    return top.withColumn("weight", round6(F.col("n") / F.max("n").over(w)))
 
 
 def dictionary_segments(df: DataFrame, key: str, text: str, dictionary: DataFrame,
