@@ -229,3 +229,19 @@ def update_from(spark, sf_dir):
            .select(F.col("c_custkey").alias("custom_id"),
                    F.concat(F.lit("REGION_"), F.col("n_regionkey").cast("string")).alias("custom_province")))
     return R.update_from(target, upd, "custom_id", "custom_province")
+
+
+@register("poi_names", ids="S3 S18 P4", sql="""
+SELECT p_name AS scene_spot_name FROM part WHERE p_name IS NOT NULL AND trim(p_name) <> ''""")
+def poi_names(spark, sf_dir):
+    """S3: the POI-name projection that feeds the name dictionary."""
+    from roamlens.functions.columns import not_blank
+    return Tables(spark, sf_dir).poi.select("scene_spot_name").filter(not_blank("scene_spot_name"))
+
+
+@register("user_towns", ids="S3", sql="""
+SELECT c.c_custkey AS custom_id, n.n_name AS custom_cty
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey""")
+def user_towns(spark, sf_dir):
+    """S3: user id + home town projection (input of the region resolution)."""
+    return Tables(spark, sf_dir).users.select("custom_id", "custom_cty")
