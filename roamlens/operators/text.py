@@ -35,7 +35,11 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "words", mode: str =
             lambda i: F.substring(r, i, n))))
     else:
         raise ValueError(mode)
-    return df.withColumn(out, F.filter(c, lambda w: w != ""))
+    # the letter-run patterns cannot produce empty tokens; only n-grams need
+    # the (interpreted) higher-order filter
+    if mode == "ngram":
+        c = F.filter(c, lambda w: w != "")
+    return df.withColumn(out, c)
 
 
 def remove_stop_words(df: DataFrame, words: str, stop_words, out: str | None = None,
@@ -88,13 +92,13 @@ def tfidf_keywords(df: DataFrame, group: str, doc: str, words: str, k: int = 100
     the word (learned from the corpus itself).  Ranking happens on the
     (group, word) aggregate with the salted two-phase top-k, so a dominant
     group (one language) is ranked by many tasks."""
-    # one (doc, group, word) pre-aggregate feeds both document frequency and
-    # term frequency
-    per_doc = df.select(group, doc, F.explode(words).alias("word")).groupBy(doc, group, "word") \
-                .agg(F.count(F.lit(1)).alias("c"))
+    # document frequency from each row's distinct words, term frequency from
+    # all words: both are partial aggregations, so the shuffles carry at most
+    # one row per word per task, never the (doc, word) pairs
     n_docs = df.select(F.count_distinct(doc)).scalar()
-    dfreq = per_doc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    tf = per_doc.groupBy(group, "word").agg(F.sum("c").alias("n"))
+    dfreq = (df.select(F.explode(F.array_distinct(words)).alias("word"))
+             .groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+    tf = df.select(group, F.explode(words).alias("word")).groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
     tot = tf.groupBy(group).agg(F.sum("n").alias("total"))
     s = (tf.join(tot, group).join(dfreq, "word")
          .withColumn("weight", round6(F.col("n") / F.col("total") *

@@ -133,8 +133,7 @@ def known_vector_mean(spark, sf_dir):
     t = Tables(spark, sf_dir)
     d = _docs(t)
     vecs = t["embeddings"].select(F.col("vec_id"), F.col("embedding"))
-    toks = d.select("doc_id", F.transform("words", _vec_id).alias("ids"))
-    return VC.known_vector_mean(toks, "doc_id", "ids", vecs, "vec_id", "embedding").select(
+    return VC.known_vector_mean(d, "doc_id", "words", vecs, "vec_id", "embedding", word_fn=_vec_id).select(
         "doc_id", "dim", "mean", "n_known")
 
 
