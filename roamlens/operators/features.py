@@ -20,9 +20,11 @@ def bigrams(words) -> Column:
     as ``array<struct<w1,w2>>``; no shuffle."""
     w = col_(words)
     n = F.size(w)
-    return F.when(n >= 2, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1),
-                                     lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))) \
-            .otherwise(F.array().cast("array<struct<w1:string,w2:string>>"))
+    # arrays_zip + a positional struct cast stay in generated code (a
+    # zip_with lambda would be interpreted per element)
+    t = "array<struct<w1:string,w2:string>>"
+    return F.when(n >= 2, F.arrays_zip(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1)).cast(t)) \
+            .otherwise(F.array().cast(t))
 
 
 def bigram_strings(words, sep: str = "_") -> Column:
