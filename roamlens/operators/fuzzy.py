@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from roamlens.functions.broadcast import checked_broadcast
 from roamlens.functions.columns import col_, normalise_name, similarity
 from roamlens.operators.relational import update_from
+from roamlens.session import cut_lineage
 
 LEVELS = {1: "province", 2: "city", 3: "county"}
 THRESHOLD = 60
@@ -106,6 +107,9 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
     shuffle."""
     qn = queries.select(q).distinct().withColumn("__qn", normalise_name(q)).filter(F.col("__qn") != "")
     cn = choices.withColumn("__cn", normalise_name(name)).filter(F.col("__cn") != "")
+    # both sets feed the token ranking, the prefixes and the join: materialise
+    # them once (distinct strings and the gazetteer — small next to the data)
+    qn, cn = cut_lineage(qn), cut_lineage(cn)
     if threshold <= 0:
         qn = qn.withColumn("__qs", _chars(F.col("__qn")))
         cn = cn.withColumn("__cs", _chars(F.col("__cn")))
@@ -114,12 +118,25 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
                            cn.select(_occ_tokens(F.col("__cn")).alias("t")))
         qn = _prefix(qn, [q], "__qn", "__qs", rank, threshold)
         cn = _prefix(cn, [c for c in choices.columns], "__cn", "__cs", rank, threshold)
-    qc = qn.select("*", F.explode("__qs").alias("__ch"))
+    # the join fans out (pairs >> queries): spread the probe side over all
+    # shuffle partitions so verification is not left to the few tasks that a
+    # small distinct-query set would otherwise be coalesced into
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    qc = qn.select("*", F.explode("__qs").alias("__ch")).repartition(n, q, "__ch")
     cc = cn.select("*", F.explode("__cs").alias("__ch"))
     pairs = (qc.join(checked_broadcast(cc), "__ch")
              .filter(F.col("__ch") == F.array_min(F.array_intersect("__qs", "__cs"))))
+    if threshold > 0:
+        # exact necessary conditions of score > t, checked before Levenshtein:
+        #   lev >= |len(a) - len(b)|   and   lev >= max(len) - multiset overlap,
+        # while score > t implies lev < (1 - t/100) * max(len).
+        la, lb = F.length("__qn"), F.length("__cn")
+        m = F.greatest(la, lb)
+        slack = (1.0 - threshold / 100.0) * m
+        ov = F.size(F.array_intersect("__qs_all", "__cs_all"))
+        pairs = pairs.filter((F.abs(la - lb) <= slack) & ((m - ov) <= slack))
     return (pairs.withColumn("score", similarity("__qn", "__cn"))
-            .drop("__qn", "__cn", "__qs", "__cs", "__ch")
+            .drop("__qn", "__cn", "__qs", "__cs", "__ch", "__qs_all", "__cs_all")
             .filter(F.col("score") > threshold))
 
 
@@ -149,7 +166,8 @@ def _prefix(df: DataFrame, keys: list[str], norm: str, out: str, rank: DataFrame
               .agg(F.array_sort(F.collect_list("r")).alias("__all")))
     n = F.size("__all")
     plen = n - F.floor(n * threshold / 100.0).cast("int")
-    pref = ranked.select(*keys, F.slice("__all", 1, F.greatest(plen, F.lit(1))).alias(out))
+    pref = ranked.select(*keys, F.slice("__all", 1, F.greatest(plen, F.lit(1))).alias(out),
+                         F.col("__all").alias(out + "_all"))
     return df.join(pref, keys)
 
 
