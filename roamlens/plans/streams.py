@@ -56,3 +56,33 @@ def stream_daily_stats(spark, sf_dir):
     out = os.path.join(run, "out")
     ST.run_available_now(ST.append_sink(d, out, os.path.join(run, "ckpt")))
     return spark.read.parquet(out)
+
+
+COMMENT_EVENT_JSON = ("event_id string, poi_id string, custom_id string, comment_text string, "
+                      "comment_time timestamp, comment_star int")
+
+
+@register("stream_comment_events", ids="S21 R1 R3", sql="""
+SELECT CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS event_id,
+       CAST(l.l_partkey AS VARCHAR) AS poi_id, CAST(o.o_custkey AS VARCHAR) AS custom_id,
+       l.l_returnflag || l.l_linestatus AS comment_text,
+       strftime(l.l_shipdate, '%Y-%m-%d %H:%M:%S') AS comment_time, l.l_linenumber AS comment_star
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey""")
+def stream_comment_events(spark, sf_dir):
+    """S21 + R1: comment records leave as one JSON document each (files instead
+    of datagrams), a JSON file stream types them back, an append sink stores them."""
+    from roamlens.plans.standins import Tables
+    t = Tables(spark, sf_dir)
+    li, o = t["lineitem"], t["orders"]
+    ev = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("event_id"),
+        F.col("l_partkey").cast("string").alias("poi_id"), F.col("o_custkey").cast("string").alias("custom_id"),
+        F.concat("l_returnflag", "l_linestatus").alias("comment_text"),
+        F.col("l_shipdate").cast("timestamp").alias("comment_time"), F.col("l_linenumber").alias("comment_star"))
+    run = ST.new_run_dir(spark, "stream_comment_events")
+    ST.emit_json(ev, os.path.join(run, "events"))
+    raw = spark.readStream.format("text").load(os.path.join(run, "events"))
+    typed = ST.parse_json_events(raw, COMMENT_EVENT_JSON)
+    out = os.path.join(run, "out")
+    ST.run_available_now(ST.append_sink(typed, out, os.path.join(run, "ckpt")))
+    return spark.read.parquet(out).withColumn("comment_time", F.date_format("comment_time", "yyyy-MM-dd HH:mm:ss"))
