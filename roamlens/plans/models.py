@@ -99,7 +99,8 @@ def rbf_svc_eval(spark, sf_dir):
 @register("classifier_grid", ids="M15 M14 F2 F3")
 def classifier_grid(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    s = _split_labelled(t).withColumn("bigr", FT.bigram_strings("words"))
+    # the labelled split feeds five vocabularies and five feature sets: keep it
+    s = _split_labelled(t).withColumn("bigr", FT.bigram_strings("words")).persist()
     tr = s.filter(F.col("split") == "train")
     best_w = ML.collect_vocabulary(FT.best_words(FT.class_scores(tr, "words", "label"), K_BEST))
     best_wb = _best_vocab(tr)
@@ -115,6 +116,7 @@ def classifier_grid(spark, sf_dir):
     sets = {k: v.withColumn("label", F.col("label").cast("double")).select("label", "features", "split")
             for k, v in sets.items()}
     rows = ML.grid(sets, ML.classifiers(max_iter=15))
+    s.unpersist()
     return spark.createDataFrame(rows, "method string, classifier string, accuracy double")
 
 
