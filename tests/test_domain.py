@@ -203,3 +203,40 @@ def test_stop_words_keep_order_and_duplicates(spark):
     s = spark.createDataFrame([("the",), ("b",)], "word string")
     r2 = TX.remove_stop_words_table(d, "doc_id", "words", s).first()
     assert r2.words == ["a", "a", "7"]
+
+
+def test_prefix_filter_is_exact(spark):
+    """Thresholded candidates equal the unthresholded ones restricted to score > t."""
+    import random
+    rnd = random.Random(7)
+    alpha = "aabbcdeé桂林 -"
+    qs = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 9))) for _ in range(120)]
+    cs = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 9))) for _ in range(80)]
+    q = spark.createDataFrame([(x,) for x in qs], "q string")
+    ch = spark.createDataFrame([(i, 1 + i % 3, x) for i, x in enumerate(cs)], "ord long, level int, name string")
+    full = {(r.q, r.ord, r.score) for r in FZ.candidates(q, ch, threshold=0).collect() if r.score > 60}
+    pref = {(r.q, r.ord, r.score) for r in FZ.candidates(q, ch, threshold=60).collect()}
+    assert full and pref == full
+
+
+def test_salted_top_k_equals_window(spark):
+    from pyspark.sql import Window
+    from roamlens.operators.ordering import top_k_per_group
+    rows = [("hot", f"w{i}", i % 17) for i in range(2000)] + [("cold", f"v{i}", i) for i in range(7)]
+    df = spark.createDataFrame(rows, "g string, word string, n int")
+    order = [F.desc("n"), F.asc("word")]
+    got = {(r.g, r.word, r.rank) for r in top_k_per_group(df, ["g"], order, 25, "word", salt_buckets=8).collect()}
+    w = Window.partitionBy("g").orderBy(*order)
+    want = {(r.g, r.word, r.rank) for r in df.withColumn("rank", F.row_number().over(w)).filter("rank <= 25").collect()}
+    assert got == want
+
+
+def test_running_totals(spark):
+    from roamlens.operators.ordering import running_totals
+    df = spark.createDataFrame([(i, i % 3) for i in range(500)], "s int, x int")
+    got = {r.s: r.cum_x for r in running_totals(df, [F.desc("s")], ["x"], num_partitions=6).collect()}
+    acc, want = 0, {}
+    for s in range(499, -1, -1):
+        acc += s % 3
+        want[s] = acc
+    assert got == want
