@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.functions.columns import col_, numeric_stop, round6, tokens
+from roamlens.functions.columns import numeric_stop, round6, tokens
 from roamlens.functions.broadcast import checked_broadcast
 from roamlens.operators.ordering import top_k_per_group
 

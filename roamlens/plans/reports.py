@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roamlens.functions.columns import round6, year_of, date_rest
+from roamlens.functions.columns import year_of, date_rest
 from roamlens.operators import relational as R
 from roamlens.plans.registry import register
 from roamlens.plans.standins import (POPULAR_MIN, PROVINCES, SEXES, SQL_POPULAR,
