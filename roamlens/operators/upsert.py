@@ -48,8 +48,10 @@ def upsert_to_path(spark, updates: DataFrame, path: str, keys, seq: str = "inges
     """S16 on storage without a MERGE-capable catalog: read the newest
     version under ``path``, upsert, write the next version directory and
     return it.  Readers always see a complete version; a failed write leaves
-    the previous version current (idempotent by version number)."""
-    versions = sorted(int(d.split("=")[1]) for d in _list(spark, path) if d.startswith("v="))
+    the previous version current (idempotent by version number).  A version
+    counts only once its ``_SUCCESS`` marker exists, so a write that died
+    half-way is simply redone on replay."""
+    versions = _committed(spark, path)
     cur = versions[-1] if versions else None
     nxt = version if version is not None else (0 if cur is None else cur + 1)
     target = os.path.join(path, f"v={nxt}")
@@ -64,14 +66,25 @@ def upsert_to_path(spark, updates: DataFrame, path: str, keys, seq: str = "inges
 
 
 def current_version(spark, path: str) -> DataFrame:
-    versions = sorted(int(d.split("=")[1]) for d in _list(spark, path) if d.startswith("v="))
+    versions = _committed(spark, path)
     return spark.read.parquet(os.path.join(path, f"v={versions[-1]}"))
 
 
-def _list(spark, path: str) -> list[str]:
+def _fs(spark, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _committed(spark, path: str) -> list[int]:
+    """Version numbers under ``path`` whose write job committed (``_SUCCESS``)."""
+    p, fs = _fs(spark, path)
     if not fs.exists(p):
         return []
-    return [st.getPath().getName() for st in fs.listStatus(p)]
+    jvm = spark.sparkContext._jvm
+    out = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name.split("=")[1]))
+    return sorted(out)

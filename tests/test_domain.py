@@ -240,3 +240,14 @@ def test_running_totals(spark):
         acc += s % 3
         want[s] = acc
     assert got == want
+
+
+def test_upsert_redoes_uncommitted_version(spark, tmp):
+    import os
+    a = spark.createDataFrame([("k", "v1", 1)], "key string, val string, ingest_seq int")
+    b = spark.createDataFrame([("k", "v2", 2)], "key string, val string, ingest_seq int")
+    UP.upsert_to_path(spark, a, tmp, ["key"], version=1)
+    os.makedirs(os.path.join(tmp, "v=2", "_temporary"))          # a write that died half-way
+    assert {r.val for r in UP.current_version(spark, tmp).collect()} == {"v1"}
+    UP.upsert_to_path(spark, b, tmp, ["key"], version=2)          # replay redoes it
+    assert {r.val for r in UP.current_version(spark, tmp).collect()} == {"v2"}
