@@ -89,3 +89,22 @@ def score_summary(scores: DataFrame, score: str = "score") -> DataFrame:
                       F.min(score).alias("min"), F.max(score).alias("max"),
                       F.count(F.when(F.col(score) > 0, 1)).alias("n_positive"),
                       F.count(F.when(F.col(score) < 0, 1)).alias("n_negative"))
+
+
+def lexicon_score_window(df: DataFrame, key: str, words: str, lexicon: DataFrame,
+                         out: str = "score") -> DataFrame:
+    """W4 form of N13 on the hits table: the multiplier in front of hit k is
+    ``product(factor)`` over the preceding hits of the document, where a
+    modifier's factor is its weight (-1 for negation) once a sentiment word
+    has been seen, else 1.  Windows are partitioned by document (bounded)."""
+    from pyspark.sql import Window
+    hits = lexicon_hits(df, key, words, lexicon)
+    doc = Window.partitionBy(key)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    first_sen = F.min(F.when(F.col("kind") == "sen", F.col("pos"))).over(doc)
+    factor = F.when((F.col("kind") != "sen") & (F.col("pos") > first_sen), F.col("weight")).otherwise(F.lit(1.0))
+    w = hits.withColumn("__f", factor).withColumn("__w", F.coalesce(F.product("__f").over(before), F.lit(1.0)))
+    per_doc = w.groupBy(key).agg(F.sum(F.when(F.col("kind") == "sen", F.col("__w") * F.col("weight"))
+                                       .otherwise(F.lit(0.0))).alias(out))
+    return (df.select(key).join(per_doc, key, "left")
+            .withColumn(out, F.round(F.coalesce(F.col(out), F.lit(0.0)), 6)))

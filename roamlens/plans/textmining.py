@@ -323,6 +323,12 @@ def lexicon_score(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
+@register("lexicon_score_window", ids="W4 N13", sql=SQL_SCORES + "\nSELECT * FROM scores")
+def lexicon_score_window(spark, sf_dir):
+    d = _docs(Tables(spark, sf_dir))
+    return LX.lexicon_score_window(d, "doc_id", "words", _lexicon(spark))
+
+
 @register("score_rank", ids="W1 T1", sql=SQL_SCORES + """
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores""")
 def score_rank(spark, sf_dir):

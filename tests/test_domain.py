@@ -55,6 +55,8 @@ def test_lexicon_fold(spark):
                               "doc_id long, words array<string>")
     got = {r.doc_id: r.score for r in LX.lexicon_score(d, "doc_id", "words", lex).collect()}
     assert got == {1: -1.0, 2: 0.0, 3: 0.0}
+    win = {r.doc_id: r.score for r in LX.lexicon_score_window(d, "doc_id", "words", lex).collect()}
+    assert win == got
 
 
 def test_lexicon_precedence_and_last_wins(spark):
