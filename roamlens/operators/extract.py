@@ -134,3 +134,36 @@ def seed_provinces(spark) -> DataFrame:
 def route(df: DataFrame, type_col: str, value: str) -> DataFrame:
     """The records of one type, for its own sink."""
     return df.filter(F.col(type_col) == value)
+
+
+# Detail-page fragments (title block, detail list entries,
+# location block, navigation bar with the comment count).
+DETAIL_NAME_PATTERN = r'(?s)<div class="title">\s*<h1>(.*?)</h1>'
+DETAIL_DL_PATTERN = r'(?s)<div class="mod mod-detail">(.*?)</div>\s*<!--detail-end-->'
+DL_PATTERN = r"(?s)<dl>(.*?)</dl>"
+DD_PATTERN = r"(?s)<dd>(.*?)</dd>"
+DD_DIV_PATTERN = r"(?s)<dd>\s*<div>(.*?)</div>"
+LOCATION_PATTERN = r'(?s)<div class="mod mod-location">\s*<div>\s*<p>(.*?)</p>'
+NAVBAR_COUNT_PATTERN = r'(?s)<div id="poi-navbar">.*?<span>(.*?)</span>'
+
+
+def detail_fields(df: DataFrame, html: str = "html") -> DataFrame:
+    """X4 + X5 + X6: the fields of a POI detail page.  ``dl[1]`` gives the
+    traffic lines (array; empty when missing), ``dl[2]`` the price, ``dl[3]``
+    the opening time; each field falls back to its own default when absent
+    (null here, Q14); the comment count is the first digit run of the navbar
+    span; mddid / poiid come from the embedded ``window.Env`` JSON."""
+    h = F.col(html)
+    dls = F.regexp_extract_all(F.regexp_extract(h, DETAIL_DL_PATTERN, 1), F.lit(DL_PATTERN), 1)
+    dl = lambda i: F.try_element_at(dls, F.lit(i))
+    traffic = F.coalesce(F.transform(F.regexp_extract_all(dl(1), F.lit(DD_PATTERN), 1), lambda x: F.trim(strip_tags(x))),
+                         F.array().cast("array<string>"))
+    txt = lambda c: F.nullif(F.trim(strip_tags(c)), F.lit(""))
+    return (df.withColumn("scene_spot_name", txt(F.regexp_extract(h, DETAIL_NAME_PATTERN, 1)))
+              .withColumn("traffic", traffic)
+              .withColumn("price", txt(F.regexp_extract(F.coalesce(dl(2), F.lit("")), DD_DIV_PATTERN, 1)))
+              .withColumn("open_time", txt(F.regexp_extract(F.coalesce(dl(3), F.lit("")), DD_PATTERN, 1)))
+              .withColumn("position", txt(F.regexp_extract(h, LOCATION_PATTERN, 1)))
+              .withColumn("comment_num_count", first_digits(F.regexp_extract(h, NAVBAR_COUNT_PATTERN, 1)))
+              .withColumn("mddid", env_field(html, "mddid"))
+              .withColumn("poi_id", env_field(html, "poiid")))

@@ -246,3 +246,52 @@ SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click'""")
 def append_route(spark, sf_dir):
     e = Tables(spark, sf_dir)["events"]
     return X.route(e, "event_type", "click").select("event_id", "user_id", "ts", "value")
+
+
+def _detail_pages(t):
+    p = t["part"]
+    counts = t["lineitem"].groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("cnt"))
+    j = p.join(counts, "p_partkey", "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+    s = lambda c: F.col(c).cast("string")
+    open_dl = F.when(F.col("p_size") > 20, F.concat(F.lit("<dl><dt>o</dt><dd>"), s("p_size"), F.lit(":00</dd></dl>"))) \
+               .otherwise(F.lit(""))
+    html = F.concat(F.lit('<div class="title"><h1>'), F.col("p_name"),
+                    F.lit('</h1></div><div class="mod mod-detail"><dl><dt>t</dt><dd>'), F.col("p_type"),
+                    F.lit("</dd><dd> "), F.col("p_brand"), F.lit(" </dd></dl><dl><dt>p</dt><dd><div>"), s("p_size"),
+                    F.lit("元</div></dd></dl>"), open_dl,
+                    F.lit('</div><!--detail-end--><div class="mod mod-location"><div><p>'), F.col("p_brand"),
+                    F.lit('</p></div></div><div id="poi-navbar"><span>评论 ('), s("cnt"),
+                    F.lit('条)</span></div><script>window.Env = {"mddid": '), s("p_size"), F.lit(', "poiid": '),
+                    s("p_partkey"), F.lit("};\n</script>"))
+    return j.select(F.col("p_partkey").alias("page_key"), html.alias("html"))
+
+
+@register("detail_fields", ids="X4 X5 X6", sql=r"""
+WITH c AS (SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1),
+d AS (SELECT p.p_partkey AS page_key,
+        '<div class="title"><h1>' || p.p_name || '</h1></div><div class="mod mod-detail"><dl><dt>t</dt><dd>' || p.p_type ||
+        '</dd><dd> ' || p.p_brand || ' </dd></dl><dl><dt>p</dt><dd><div>' || CAST(p.p_size AS VARCHAR) || '元</div></dd></dl>' ||
+        CASE WHEN p.p_size > 20 THEN '<dl><dt>o</dt><dd>' || CAST(p.p_size AS VARCHAR) || ':00</dd></dl>' ELSE '' END ||
+        '</div><!--detail-end--><div class="mod mod-location"><div><p>' || p.p_brand ||
+        '</p></div></div><div id="poi-navbar"><span>评论 (' || CAST(coalesce(c.cnt, 0) AS VARCHAR) ||
+        '条)</span></div><script>window.Env = {"mddid": ' || CAST(p.p_size AS VARCHAR) || ', "poiid": ' ||
+        CAST(p.p_partkey AS VARCHAR) || '};' || chr(10) || '</script>' AS html
+      FROM part p LEFT JOIN c ON c.l_partkey = p.p_partkey),
+x AS (SELECT page_key, html,
+        regexp_extract_all(regexp_extract(html, '(?s)<div class="mod mod-detail">(.*?)</div>\s*<!--detail-end-->', 1),
+                           '(?s)<dl>(.*?)</dl>', 1) AS dls FROM d)
+SELECT page_key,
+  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="title">\s*<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS scene_spot_name,
+  array_to_string(coalesce(list_transform(regexp_extract_all(dls[1], '(?s)<dd>(.*?)</dd>', 1), lambda v: trim(regexp_replace(v, '<[^>]*>', '', 'g'))), []::VARCHAR[]), '|') AS traffic,
+  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[2], ''), '(?s)<dd>\s*<div>(.*?)</div>', 1), '<[^>]*>', '', 'g')), '') AS price,
+  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[3], ''), '(?s)<dd>(.*?)</dd>', 1), '<[^>]*>', '', 'g')), '') AS open_time,
+  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="mod mod-location">\s*<div>\s*<p>(.*?)</p>', 1), '<[^>]*>', '', 'g')), '') AS position,
+  NULLIF(regexp_extract(regexp_extract(html, '(?s)<div id="poi-navbar">.*?<span>(.*?)</span>', 1), '(\d+)', 1), '') AS comment_num_count,
+  json_extract_string(regexp_extract(html, 'window\.Env = (\{.*?\});', 1), '$.mddid') AS mddid,
+  json_extract_string(regexp_extract(html, 'window\.Env = (\{.*?\});', 1), '$.poiid') AS poi_id
+FROM x""")
+def detail_fields(spark, sf_dir):
+    d = _detail_pages(Tables(spark, sf_dir))
+    # the traffic list is rendered as one '|'-joined string for the value check
+    return X.detail_fields(d).select("page_key", "scene_spot_name", F.array_join("traffic", "|").alias("traffic"),
+                                     "price", "open_time", "position", "comment_num_count", "mddid", "poi_id")

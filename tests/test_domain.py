@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from roamlens.functions.columns import chi_sq, numeric_stop, whitespace_to_commas, year_of, date_rest
+from roamlens.functions.columns import chi_sq, numeric_stop, similarity, whitespace_to_commas, year_of, date_rest
 from roamlens.operators import extract as X
 from roamlens.operators import fuzzy as FZ
 from roamlens.operators import lexicon as LX
@@ -253,3 +253,31 @@ def test_upsert_redoes_uncommitted_version(spark, tmp):
     assert {r.val for r in UP.current_version(spark, tmp).collect()} == {"v1"}
     UP.upsert_to_path(spark, b, tmp, ["key"], version=2)          # replay redoes it
     assert {r.val for r in UP.current_version(spark, tmp).collect()} == {"v2"}
+
+
+PAGE = ('<html><div class="title"><h1>两江四湖</h1></div>'
+        '<div class="mod mod-detail"><dl><dt>交通</dt><dd>乘 <b>2</b> 路</dd><dd>步行</dd></dl>'
+        '<dl><dt>门票</dt><dd><div>120元</div></dd></dl><dl><dt>开放时间</dt><dd>8:00-22:00</dd></dl></div><!--detail-end-->'
+        '<div class="mod mod-location"><div><p>桂林市秀峰区</p></div></div>'
+        '<div id="poi-navbar"><a>评论</a><span>评论 (37条)</span></div>'
+        '<script>window.Env = {"mddid": 12810, "poiid": 5411};\n</script></html>')
+PAGE_SHORT = ('<div class="title"><h1>象鼻山</h1></div><div class="mod mod-detail"><dl><dt>交通</dt><dd>公交</dd></dl>'
+              '<dl><dt>门票</dt><dd><div>免费</div></dd></dl></div><!--detail-end--><div id="poi-navbar"><span>评论</span></div>')
+
+
+def test_detail_fields(spark):
+    df = spark.createDataFrame([("a", PAGE), ("b", PAGE_SHORT)], "poi_url string, html string")
+    r = {x.poi_url: x for x in X.detail_fields(df).collect()}
+    a, b = r["a"], r["b"]
+    assert (a.scene_spot_name, a.traffic, a.price, a.open_time, a.position) == (
+        "两江四湖", ["乘 2 路", "步行"], "120元", "8:00-22:00", "桂林市秀峰区")
+    assert (a.comment_num_count, a.mddid, a.poi_id) == ("37", "12810", "5411")
+    assert (b.scene_spot_name, b.traffic, b.price, b.open_time, b.position, b.comment_num_count, b.mddid) == (
+        "象鼻山", ["公交"], "免费", None, None, None, None)
+
+
+def test_partial_similarity(spark):
+    from roamlens.functions.columns import partial_similarity
+    r = spark.createDataFrame([("桂林市", "桂林"), ("abc", "xyz"), ("广西桂林", "桂林")], "a string, b string") \
+        .select(partial_similarity("a", "b").alias("p"), similarity("a", "b").alias("s")).collect()
+    assert [(x.p, x.s) for x in r] == [(100, 67), (0, 0), (100, 50)]
