@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import mixing, repetition, token_codes
+from roamlens.llm import minhash, mixing, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -23,6 +23,10 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(load(spark, sf_dir, "documents"))
 
 
+def op3_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op7_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op7_mix_sources)}
 ORACLES = {"op7_mix_sources": SQL_MIX}
