@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import minhash, mixing, repetition, token_codes
+from roamlens.llm import arc_warc, minhash, mixing, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -31,6 +31,19 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archive_pages(load(spark, sf_dir, "pages"))
+
+
+SQL_ARCHIVE = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 SQL_MIX = rf"""
 WITH sized AS (
   SELECT doc_id, source, md5(text) AS h,
@@ -64,5 +77,6 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op7_mix_sources)}
-ORACLES = {"op7_mix_sources": SQL_MIX}
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op7_mix_sources,
+                                  op8_arc_to_warc)}
+ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
