@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, minhash, mixing, repetition, token_codes
+from roamlens.llm import arc_warc, minhash, mixing, pseudonyms, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -35,6 +35,10 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archive_pages(load(spark, sf_dir, "pages"))
 
 
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 SQL_ARCHIVE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
@@ -78,5 +82,5 @@ FROM placed
 """
 
 QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op7_mix_sources,
-                                  op8_arc_to_warc)}
+                                  op8_arc_to_warc, op10_feistel_pseudonyms)}
 ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
