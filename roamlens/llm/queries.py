@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, minhash, mixing, pseudonyms, repetition, token_codes
+from roamlens.llm import arc_warc, html_blocks, minhash, mixing, pseudonyms, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -27,6 +27,10 @@ def op3_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(load(spark, sf_dir, "pages"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op7_mix_sources,
+QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op5_html_blocks,
+                                  op7_mix_sources,
                                   op8_arc_to_warc, op10_feistel_pseudonyms)}
 ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
