@@ -131,16 +131,38 @@ class TokenFile:
 
 # --- encoding --------------------------------------------------------------
 
-#: A space before a word: the byte-level splitter never joins across it.
-_CUT = re.compile(r" (?=\S)")
+#: Places where the byte-level splitter always cuts: before a single space, and
+#: between letters and anything else, as long as there is no apostrophe
+#: (contractions), no run of white space and no letter outside these ranges.
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f"
+_S = rf"{_L}0-9.,!?;:#$%&*|\"()+=@/<>_-"
+_SAFE = re.compile(rf"[ \n]?(?:[{_S}]+[ \n])*+[{_S}]*")
+_UNIT = re.compile(rf" ?[{_L}]+| ?[^{_L} ]+| ")
+
+
+class Kept:
+    """A dictionary of two generations: what was not asked for in a whole generation goes."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        """Those of ``keys`` that are not kept; afterwards the others are in ``now``."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        keys = keys.difference(self.now)
+        found = keys.intersection(self.old) if self.old else ()
+        self.now.update((k, self.old[k]) for k in found)
+        return list(keys.difference(found))
 
 
 class Encoder:
-    """Whole texts to ids with the tokenizers library.  The vocabulary's splitter
-    always cuts before a space that a word follows, so a text is encoded as its
-    pieces between such places, and each worker keeps the pieces it has seen."""
+    """Whole texts to ids with the tokenizers library.  A text is encoded as the
+    units between places where the vocabulary's splitter always cuts, and each
+    worker keeps the units it has seen, so the library sees each about once; a text
+    where the cuts are not certain goes to the library as it is."""
 
-    MOST_KEPT = 400_000
+    MOST_KEPT = 250_000
 
     def __init__(self, path: str):
         import os
@@ -149,7 +171,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}  # of a word: the ids of a space and the word
+        self.units = Kept(self.MOST_KEPT)
+        #: Strings that the library takes out of a text before it is split.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _certain(self, text: str) -> bool:
+        return _SAFE.fullmatch(text) is not None and not any(a in text for a in self.added)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -157,22 +184,15 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(t or "").split(" ") for t in texts]
-        heads = self._ids([x.pop(0) for x in cut])
-        words = set().union(*cut)
-        if len(self.kept) > self.MOST_KEPT:
-            self.kept.clear()
-        new = words.difference(self.kept)
-        odd = {w for w in new if not w or w[0].isspace()}  # more white space than one space
-        new = list(new - odd)
-        self.kept.update(zip(new, self._ids([" " + w for w in new])))
-        of, out = self.kept.get, []
-        for text, head, rest in zip(texts, heads, cut):
-            if odd and not odd.isdisjoint(rest):
-                first, *rest = _CUT.split(text)
-                out.append(b"".join(self._ids([first, *[" " + w for w in rest]])))
-            else:
-                out.append(head + b"".join(map(of, rest)))
+        texts = [t or "" for t in texts]
+        cut = [_UNIT.findall(t) if self._certain(t) else [] for t in texts]
+        new = self.units.missing(set().union(*cut))
+        self.units.now.update(zip(new, self._ids(new)))
+        of = self.units.now.get
+        out = [b"".join(map(of, units)) for units in cut]
+        whole = [i for i, t in enumerate(texts) if t and not cut[i]]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
+            out[i] = ids
         return out
 
     def encode(self, text: str | None) -> bytes:
