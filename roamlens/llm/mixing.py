@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roamlens.llm.common import materialise
+
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 20177
 #: Rows of a source in one range of keys.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,20 +70,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"),
                         word_count(docs[text_col]).alias("size"), F.md5(docs[text_col]).alias("h"),
                         *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
-    goal = source_targets(sized, weights, most)
-    # One row for each source; the join's size is known to AQE, which broadcasts it or splits hot sources.
-    both = sized.join(goal.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "inner")
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
-    ranges = F.ceil(F.col("n_rows") / range_rows)
-    both = (both.withColumn("key", key)
-            .withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2.0 ** 32)).cast("long")))
-    own = [F.col("source").eqNullSafe(F.col("s")), F.col("range") == F.col("r")]
-    sums = both.groupBy(F.col("source").alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("range_size"))
+    narrow = materialise(sized.select("id", "source", "size", "h"), "document-sizes")  # the texts are counted once
+    goal = source_targets(narrow, weights, most).withColumnRenamed("source", "of")
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        # One row for each source: AQE broadcasts it, or splits the hot sources.
+        rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
+        part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_rows") / range_rows)
+        return rows.withColumn("key", key).withColumn("range", F.floor(part / F.lit(2.0 ** 32)).cast("long"))
+
+    sums = keyed(narrow).groupBy(F.col("source").alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("range_size"))
     sums = sums.withColumn("range_start", F.coalesce(
         F.sum("range_size").over(Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("source", "range").orderBy("key", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    both = keyed(sized if keep else narrow)
+    # Both sides are dealt by (source, range) already: merged where they lie, never broadcast.
     placed = both.withColumn("place", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        sums, own[0] & own[1], "inner").withColumn("place", F.col("place") + F.col("range_start"))
+        sums.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")), "inner")
+    placed = placed.withColumn("place", F.col("place") + F.col("range_start"))
     budget = F.round(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     part = budget - epochs * F.col("source_size")
