@@ -82,18 +82,29 @@ class _Powers:
 _POW, _POW_INV = _Powers(_P), _Powers(_P_INV)
 
 
+def sequence_hash(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each run of ``values`` (what lies between two runs
+    counts to the first, and must be 0)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    n = len(values)
+    h = np.add.reduceat(values * _POW.upto(n), start) * _POW_INV.upto(n)[start]
+    return mix64(h + length.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 class Words:
     """The words of several texts, laid out flat: ``start``/``end`` are byte
-    positions in ``data``, ``doc`` the index of the text, ``hash`` 64 bits."""
+    positions in ``data``, ``doc`` the index of the text, ``hash`` 64 bits.
+    ``space`` (a lookup by byte, true for a line feed) can name other separators."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, space: np.ndarray = _SPACE):
         self.texts = texts
         buf = b"\n".join(texts) + b"\n"
         data = np.frombuffer(buf, np.uint8)
         if lower:
             data = _LOWER[data]
         self.data = data
-        solid = ~_SPACE[data]
+        solid = ~space[data]
         edge = np.diff(solid.astype(np.int8), prepend=0)
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)  # the buffer ends with white space
@@ -101,12 +112,8 @@ class Words:
         self.doc_start = np.concatenate(([0], np.cumsum(lens)))
         self.doc = np.searchsorted(self.doc_start, self.start, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        if len(self.start):
-            v = (data.astype(np.uint64) + np.uint64(1)) * solid * _POW.upto(len(data))
-            h = np.add.reduceat(v, self.start) * _POW_INV.upto(len(data))[self.start]
-            self.hash = mix64(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        v = (data.astype(np.uint64) + np.uint64(1)) * solid
+        self.hash = sequence_hash(v, self.start, self.end - self.start)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -129,3 +136,19 @@ def utf8(column) -> list[bytes]:
     import pyarrow as pa
 
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Kept:
+    """A dictionary of two generations: what was not asked for in a whole generation goes."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.old = most, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        """Those of ``keys`` that are not kept; afterwards the others are in ``now``."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        keys = keys.difference(self.now)
+        found = keys.intersection(self.old) if self.old else ()
+        self.now.update((k, self.old[k]) for k in found)
+        return list(keys.difference(found))

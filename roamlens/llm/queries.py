@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, html_blocks, minhash, mixing, pseudonyms, repetition, token_codes
+from roamlens.llm import arc_warc, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -31,6 +31,12 @@ def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(load(spark, sf_dir, "pages"))
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal_quality.train(docs, load(spark, sf_dir, "labels"))
+    return ordinal_quality.quality(docs, model).drop("text")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -39,6 +45,14 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc_warc.archive_pages(load(spark, sf_dir, "pages"))
 
 
+def op9_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts to piece ids and back."""
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    both = piece_trie.decode(piece_trie.encode(load(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
+                       F.length("text").cast("long").alias("decoded_chars"), F.md5("text").alias("decoded_md5"))
+
+
 def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,7 +99,7 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op5_html_blocks,
-                                  op7_mix_sources,
-                                  op8_arc_to_warc, op10_feistel_pseudonyms)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op5_html_blocks, op6_ordinal_quality,
+    op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms)}
 ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.llm.common import as_uri, materialise, new_folder
+from roamlens.llm.common import Kept, as_uri, materialise, new_folder
 
 END_ID = 2
 BLOCK_BITS = 512
@@ -140,22 +140,6 @@ _SAFE = re.compile(rf"[ \n]?(?:[{_S}]+[ \n])*+[{_S}]*")
 _UNIT = re.compile(rf" ?[{_L}]+| ?[^{_L} ]+| ")
 
 
-class Kept:
-    """A dictionary of two generations: what was not asked for in a whole generation goes."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
-
-    def missing(self, keys) -> list[str]:
-        """Those of ``keys`` that are not kept; afterwards the others are in ``now``."""
-        if len(self.now) > self.most:
-            self.now, self.old = {}, self.now
-        keys = keys.difference(self.now)
-        found = keys.intersection(self.old) if self.old else ()
-        self.now.update((k, self.old[k]) for k in found)
-        return list(keys.difference(found))
-
-
 class Encoder:
     """Whole texts to ids with the tokenizers library.  A text is encoded as the
     units between places where the vocabulary's splitter always cuts, and each
