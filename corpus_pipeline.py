@@ -1,16 +1,73 @@
 """The corpus pipeline: documents through the stages in order, each stage's rows
-written as Parquet and read again as the next one's input."""
+written as Parquet and read again as the next one's input.
+
+Every stage reads all rows its predecessor kept.  All but the last return the columns
+of ``documents``; extra input columns pass through the filters unread.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from roamlens.llm import minhash, mixing, ordinal_quality, piece_trie, pseudonyms
 from roamlens.llm.common import load, materialise
+from roamlens.llm.queries import TOKENIZERS
+
+#: Columns between the model and its filter.
+QUALITY = ("__expected_grade", "__p_good", "__kept")
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model takes for good text; those it rejects go."""
+    model = ordinal_quality.train(docs, load(spark, sf_dir, "labels"))
+    return ordinal_quality.quality(docs, model, out=QUALITY).filter(QUALITY[2]).drop(*QUALITY)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id (of
+    rows that share this id, one).  Rows without an id all stay."""
+    found = minhash.near_duplicates(docs)
+    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi")
+    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = named.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = named.join(once, "doc_id", "left_anti")
+    return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced; ``n_chars`` follows the new text."""
+    out = pseudonyms.pseudonyms(docs, spans_col=None)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as rows: a document once for each repeat that the mix takes, cut at the
+    budget's end where the last repeat is partial."""
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    rows = mixing.copies(mixing.mix(docs, keep=keep))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    return rows.select(docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece ids and their number, for every row of the mix."""
+    out = piece_trie.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality", select_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("pseudonyms", pseudonymise),
+    ("mix", mix_sources),
+    ("pieces", encode_pieces),
+]
 
-#: Hashed-text regression, MinHash and sub-word pieces have no SQL form; the
-#: stages are tested against brute-force versions instead.
+#: Hashed-text regression, MinHash and sub-word pieces have no SQL form: the stages
+#: are tested against brute-force versions instead.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, token_codes
+from roamlens.llm import arc_warc, collision_search, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -27,6 +27,10 @@ def op3_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op4_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(load(spark, sf_dir, "pages"))
 
@@ -100,6 +104,6 @@ FROM placed
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op5_html_blocks, op6_ordinal_quality,
-    op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms)}
+    op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op4_collision_search,
+    op5_html_blocks, op6_ordinal_quality, op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms)}
 ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
