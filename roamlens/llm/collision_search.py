@@ -67,7 +67,7 @@ class Segment:
         self.ids = np.split(ids[by][near], np.flatnonzero(np.diff(entry[by][near])) + 1)
         norm2 = (self.vectors ** 2).sum(1)
         lift = np.sqrt(np.maximum(top * top - norm2, 0.0))
-        self.axes, self.k = axes, k
+        self.axes, self.k, self.top = axes, k, top
         place = np.concatenate((self.vectors, lift[:, None]), 1) @ axes.T
         self.order = np.argsort(place, axis=0, kind="stable").T.astype(np.int32).copy()
         self.unit = float(np.sqrt((place ** 2).mean())) or 1.0
@@ -82,7 +82,8 @@ class Segment:
         n, m = len(self.vectors), len(self.axes)
         if enough >= n:
             return np.arange(n)
-        at = np.append(query, 0.0) @ self.axes.T + self.shift
+        # A query's length changes no order: the longest one tells vectors apart best.
+        at = np.append(query * (self.top / np.sqrt((query ** 2).sum())), 0.0) @ self.axes.T + self.shift
         own = n * np.arange(m)
         flat, width, counts = self.order.ravel(), WIDTH * self.unit, np.zeros(n, np.int64)
         lo = hi = np.clip(np.searchsorted(self.sorted, at), own, own + n)

@@ -31,6 +31,8 @@ _SPACE = re.compile(r"\s+")
 #: Tags that stay inside a block; every other tag ends it.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+PARAGRAPHS = frozenset(("p", "blockquote", "pre", "dd"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button dialog menu head label fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -45,7 +47,7 @@ MAIN_WORDS = frozenset("article content post entry story main body".split())
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
 FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density",
-            "in_main", "in_furniture", "in_list", "is_heading", "page_has_main")
+            "in_main", "in_furniture", "in_list", "is_heading", "in_paragraph", "page_has_main")
 
 
 def _kind(tag: str, attrs: str, inside_main: bool) -> int:
@@ -67,19 +69,19 @@ def _kind(tag: str, attrs: str, inside_main: bool) -> int:
     return 1 if furniture else 2 if main else 0
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
-    """(text, words, linked words, in main, in furniture, in a list, heading) of each
-    flat block with a word, in page order."""
+def blocks(html: str) -> list[tuple]:
+    """(text, words, linked words, in main, in furniture, in a list, heading, in a
+    paragraph) of each flat block with a word, in page order."""
     out: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, int]] = []
     at, links = 0, 0
 
-    def state() -> tuple[bool, bool, bool, bool]:
+    def state() -> tuple[bool, bool, bool, bool, bool]:
         kinds = [k for _, k in stack]
         names = [t for t, _ in stack]
-        return 2 in kinds, 1 in kinds, "li" in names, any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in names)
+        return 2 in kinds, 1 in kinds, "li" in names, any(t in HEADINGS for t in names), any(t in PARAGRAPHS for t in names)
 
     def flush() -> None:
         if text:
@@ -132,7 +134,7 @@ def features(found: list[tuple]) -> list[list[float]]:
     size = [(b[1], b[2] / b[1]) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
     main = float(any(b[3] for b in found))
-    return [[*size[i], *around[i], *around[i + 2], float(b[3]), float(b[4]), float(b[5]), float(b[6]), main]
+    return [[*size[i], *around[i], *around[i + 2], *map(float, b[3:]), main]
             for i, b in enumerate(found)]
 
 
@@ -167,6 +169,19 @@ LABELLED_PAGES = (
     "<body><div>-My page</div><div>-Since 1999</div><div>+A page without any marks begins with its name, and its first long words are those that matter to readers.</div>"
     "<div>+They go on here for a while, as long as the writer has something to tell about the sea and the soup.</div>"
     "<div>-All rights reserved.</div><div>-Best viewed at night</div>",
+    "<body>+A page may hold a single line of some fifteen words and nothing else beside it.",
+    "<body><h1>+On tea</h1><p>+Tea is a leaf.</p><p>+It is dried, rolled and boiled, and then it is drunk from small cups by those who have the time.</p>"
+    "<p>+More is not known.</p><p><a>-Back</a></p><div>-Updated in May</div>",
+    "<body><div><a>-News</a> <a>-Shop</a></div><p>+It rained.</p><p>+The roofs shone and the gutters sang.</p><p>+Then the sun came out.</p>"
+    "<div>-Printed on paper</div><p><a>-Print</a> <a>-Mail</a></p>",
+    "<body>+The sea was calm that day, the nets were full, and everyone who had a boat was out before the sun was up.",
+    "<body><div>-Harbour</div>+The first text of this page stands between its menus, without a tag of its own around it or near it.<br>"
+    "+It goes on in a second line.<div>-Made with care</div>",
+    "<body><div>-A box before the text offers a course in rowing to all readers who pay before the first of June, and a free lamp to the rest.</div>"
+    "<article><p>+Rowing is old.</p><p>+It is done with oars.</p></article><div>-A box after the text repeats the offer for those who came from below, "
+    "with a picture of the lamp and the rower who won it last year.</div><div>-Call us today</div>",
+    "<body><main><p>+The lamp burned all night.</p></main><div>-You have read three of five free texts this month, and after them you will be asked to pay a little.</div>"
+    "<div>-Readers of this text also liked the one about soup, the one about chairs and the one about the old bridge in the valley.</div>",
     "<body><div>-Weather: mild</div><main><h1>+Soup</h1><p>+Soup is old.</p><p>+It was cooked in clay before there were words for it.</p></main>"
     "<div>-Shop now</div><div>-Everything that is sold here is made by people who like soup and who live close to the harbour.</div>",
     "<body><nav>-Menu</nav><article><h1>+One</h1><p>+Two words.</p><section class=comments><article class=comment><p>-I do not agree with this at all, "
@@ -207,7 +222,7 @@ def _tree(depth: int) -> tuple:
     return flat(model._java_obj.rootNode())
 
 
-def train(depth: int = 6) -> tuple:
+def train(depth: int = 9) -> tuple:
     return _tree(depth)
 
 
