@@ -23,6 +23,8 @@ MAX_REPEATS = 3
 SEED = 20177
 #: Rows of a source in one range of keys.
 RANGE_ROWS = 4_000
+#: Sources (rows of five numbers) that may be broadcast.
+MOST_BROADCAST = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -71,11 +73,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
                         word_count(docs[text_col]).alias("size"), F.md5(docs[text_col]).alias("h"),
                         *[docs[c].alias(f"keep_{i}") for i, c in enumerate(keep)])
     narrow = materialise(sized.select("id", "source", "size", "h"), "document-sizes")  # the texts are counted once
-    goal = source_targets(narrow, weights, most).withColumnRenamed("source", "of")
+    goal = materialise(source_targets(narrow, weights, most).withColumnRenamed("source", "of"), "source-targets")
+    few = goal.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
     def keyed(rows: DataFrame) -> DataFrame:
-        # One row for each source: AQE broadcasts it, or splits the hot sources.
-        rows = rows.join(goal, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+        # One row for each source: broadcast if they are few, else merged (AQE splits hot sources).
+        rows = rows.join(goal.hint("broadcast" if few else "merge"), F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
         key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")))
         part = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_rows") / range_rows)
         return rows.withColumn("key", key).withColumn("range", F.floor(part / F.lit(2.0 ** 32)).cast("long"))
