@@ -1,3 +1,2 @@
 """Column -> Column helpers (all JVM-side built-ins, no Python UDFs)."""
 from roamlens.functions.columns import *  # noqa: F401,F403
-from roamlens.functions.broadcast import checked_broadcast  # noqa: F401

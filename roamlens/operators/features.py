@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import chi_sq, col_, pmi, round6
-from roamlens.functions.broadcast import checked_broadcast
 
 
 def bag_of_words(words) -> Column:
@@ -61,14 +60,12 @@ def best_words(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def best_word_features(df: DataFrame, key: str, words: str, best: DataFrame,
                        out: str = "features") -> DataFrame:
-    """Each document's distinct features restricted to the selected
-    set (bounded by k, so it is broadcast after a size check), regrouped per
-    document key — a document is a bounded group."""
-    ex = df.select(key, F.explode(F.array_distinct(words)).alias("word"))
-    kept = ex.join(checked_broadcast(best.select("word")), "word", "left_semi")
-    g = kept.groupBy(key).agg(F.array_sort(F.collect_list("word")).alias(out))
-    return (df.join(g, key, "left")
-            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>"))))
+    """Each document's distinct features restricted to the selected set.
+    The set (k words, a model parameter) is one scalar subquery, so a document is
+    worked on in its own row and nothing is shuffled."""
+    chosen = best.agg(F.collect_set("word").alias("w")).scalar()
+    with_set = df.withColumn("__best", chosen)
+    return with_set.withColumn(out, F.sort_array(F.array_intersect(words, "__best"))).drop("__best")
 
 
 def bigram_scores(df: DataFrame, words: str, by=None) -> DataFrame:

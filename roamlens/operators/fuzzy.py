@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.functions.broadcast import checked_broadcast
 from roamlens.functions.columns import col_, normalise_name, similarity
 from roamlens.operators.relational import update_from
 from roamlens.session import cut_lineage
@@ -124,7 +123,7 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     qc = qn.select("*", F.explode("__qs").alias("__ch")).repartition(n, q, "__ch")
     cc = cn.select("*", F.explode("__cs").alias("__ch"))
-    pairs = (qc.join(checked_broadcast(cc), "__ch")
+    pairs = (qc.join(cc, "__ch")
              .filter(F.col("__ch") == F.array_min(F.array_intersect("__qs", "__cs"))))
     if threshold > 0:
         # exact necessary conditions of score > t, checked before Levenshtein:
@@ -227,7 +226,7 @@ def resolve(queries: DataFrame, gazetteer: DataFrame, q: str = "q", threshold: i
                           .when(lv == 3, F.col("n3")))
               .withColumn("score", F.when(lv == 1, F.col("s1")).when(lv == 2, F.col("s2"))
                           .when(lv == 3, F.col("s3"))))
-    n2p = checked_broadcast(name_to_province(gazetteer))
+    n2p = name_to_province(gazetteer)
     return chosen.join(n2p.withColumnRenamed("name", "matched"), "matched", "left")
 
 

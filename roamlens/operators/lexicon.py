@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roamlens.functions.broadcast import checked_broadcast
 from roamlens.operators.ordering import global_row_number
 
 KIND_PRIORITY = {"deg": 0, "not": 1, "sen": 2}
@@ -47,7 +46,7 @@ def lexicon_hits(df: DataFrame, key: str, words: str, lexicon: DataFrame,
     document, at its last position (or every position with
     ``all_occurrences``).  The merged lexicon is joined by broadcast after a
     size check, before any shuffle, so only hits move."""
-    lex = checked_broadcast(merge_lexicon(lexicon))
+    lex = merge_lexicon(lexicon)
     ex = df.select(key, F.posexplode(words).alias("pos", "word")).join(lex, "word")
     if all_occurrences:
         return ex.select(key, "word", "pos", "kind", "weight")

@@ -34,14 +34,6 @@ def popular_join(poi: DataFrame, comments: DataFrame, key: str = "poi_id",
     return poi.join(comments, key).join(keep, key, "left_semi")
 
 
-def popular_join_users(poi: DataFrame, comments: DataFrame, users: DataFrame,
-                       key: str = "poi_id", user_key: str = "custom_id",
-                       min_count: int = 10) -> DataFrame:
-    """The three-way join with the popularity filter (AF/NP extraction)."""
-    keep = popular_keys(comments, key, min_count)
-    return poi.join(comments, key).join(users, user_key).join(keep, key, "left_semi")
-
-
 # ----------------------------------------------------------------- A2 / A3 / A11 / A12
 def value_counts(df: DataFrame, c: str, out: str = "n") -> DataFrame:
     """A2: count per non-null value (pandas ``value_counts`` drops nulls)."""
@@ -150,10 +142,13 @@ def anti_frontier(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return ids.select(key).distinct().join(known.select(key), key, "left_anti")
 
 
-def update_from(target: DataFrame, updates: DataFrame, key: str, col: str) -> DataFrame:
+def update_from(target: DataFrame, updates: DataFrame, key: str, col: str, order: str | None = None) -> DataFrame:
     """``UPDATE target SET col = u.col FROM updates u WHERE key`` —
-    unmatched rows and null updates keep the old value."""
-    u = updates.select(F.col(key), F.col(col).alias("__new")).dropDuplicates([key])
+    unmatched rows and null updates keep the old value.  Of several updates of a
+    key the last one by ``order`` that is not null counts (the greatest without
+    an order), whatever order the rows arrive in."""
+    u = updates.filter(F.col(col).isNotNull()).groupBy(key).agg(
+        F.max_by(col, F.struct(order, col) if order else F.col(col)).alias("__new"))
     return (target.join(u, key, "left")
             .withColumn(col, F.coalesce(F.col("__new"), F.col(col))).drop("__new"))
 
@@ -180,11 +175,6 @@ def strict_int(c) -> Column:
     return col_(c).cast("int")
 
 
-def lenient_int(c) -> Column:
-    """P2 lenient variant: malformed -> null."""
-    return F.expr(f"try_cast({c} as int)") if isinstance(c, str) else c.try_cast("int")
-
-
 def union_all(frames) -> DataFrame:
     """U1."""
     return reduce(lambda a, b: a.unionByName(b), frames)

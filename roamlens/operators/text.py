@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import numeric_stop, round6, tokens
-from roamlens.functions.broadcast import checked_broadcast
 from roamlens.operators.ordering import top_k_per_group
 
 
@@ -60,11 +59,11 @@ def remove_stop_words(df: DataFrame, words: str, stop_words, out: str | None = N
 def remove_stop_words_table(df: DataFrame, key: str, words: str, stop: DataFrame,
                             word_col: str = "word", out: str | None = None) -> DataFrame:
     """P8 join form for a stop table of any size: explode with positions,
-    anti-join (broadcast when the table is proven small), regroup per key in
+    anti-join (AQE chooses its form from the table's bytes), regroup per key in
     position order.  Groups are documents, so they are bounded."""
     ex = df.select(key, F.posexplode(words).alias("__p", "__w"))
     stop = stop.select(F.col(word_col).alias("__w")).distinct()
-    kept = ex.join(checked_broadcast(stop), "__w", "left_anti")
+    kept = ex.join(stop, "__w", "left_anti")
     regrouped = (kept.groupBy(key)
                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("__p", "__w"))),
                                   lambda s: s["__w"]).alias(out or words)))
@@ -120,25 +119,29 @@ def cloud_weights(df: DataFrame, group: str, words: str, n: int = 100) -> DataFr
 def dictionary_segments(df: DataFrame, key: str, text: str, dictionary: DataFrame,
                         word_col: str = "word", max_len: int | None = None) -> DataFrame:
     """N2 full-mode segmentation: every dictionary word found in the text
-    (overlaps included), ordered by (start, length); letters covered by no
-    dictionary word are emitted on their own.  Substrings up to the longest
-    dictionary word are generated per text (bounded by text length x L) and
-    equi-joined with the broadcast dictionary."""
+    (overlaps included), as (start, length, word); letters covered by no
+    dictionary word are emitted on their own.
+
+    A text's substrings up to the longest word leave the row as narrow (start,
+    length, word) rows, linear in the text, and are equi-joined with the dictionary.
+    The hits come back per document (a bounded group), where one hash-based
+    ``array_except`` gives the letters outside their spans."""
     d = dictionary.select(F.lower(F.col(word_col)).alias("word")).distinct()
     if max_len is None:
         max_len = d.agg(F.max(F.length("word"))).first()[0] or 1
-    t = df.select(key, F.lower(F.col(text)).alias("__t"))
-    pos = t.select(key, "__t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("__t"), F.lit(1))))
-                   .alias("start"))
-    sub = pos.select(key, "start", "__t", F.explode(F.sequence(F.lit(1), F.lit(max_len))).alias("len")) \
-             .filter(F.col("start") + F.col("len") - 1 <= F.length("__t")) \
-             .withColumn("word", F.substring("__t", F.col("start"), F.col("len")))
-    hits = sub.join(checked_broadcast(d), "word").select(key, "start", "len", "word")
-    # letters not covered by any hit
-    cover = hits.select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))
-                        .alias("start")).distinct()
-    single = (pos.withColumn("word", F.substring("__t", F.col("start"), 1))
-              .filter(F.col("word").rlike(r"^\p{L}$"))
-              .join(cover, [key, "start"], "left_anti")
-              .select(key, "start", F.lit(1).alias("len"), "word"))
-    return hits.unionByName(single)
+    t = df.select(F.col(key).alias("__k"), F.split(F.lower(F.col(text)), "").alias("__c"))
+    t = t.filter(F.element_at("__c", 1) != "")
+    at = F.sequence(F.lit(1), F.size("__c"))
+    windows = F.transform(at, lambda i: F.array_join(F.slice("__c", i, max_len), ""))
+    sub = t.select("__k", F.posexplode(windows).alias("__i", "__w"))
+    sub = sub.select("__k", (F.col("__i") + 1).alias("start"), "__w",
+                     F.explode(F.sequence(F.lit(1), F.length("__w"))).alias("len"))
+    hits = sub.withColumn("word", F.substring("__w", F.lit(1), F.col("len"))).join(d, "word").select("__k", "start", "len", "word")
+    spans = hits.groupBy("__k").agg(F.collect_set(F.struct("start", "len")).alias("__s"))
+    docs = t.join(spans.withColumnRenamed("__k", "__j"), F.col("__k").eqNullSafe(F.col("__j")), "left")
+    covered = F.flatten(F.transform("__s", lambda h: F.sequence(h["start"], h["start"] + h["len"] - 1)))
+    letters = F.filter(F.transform("__c", lambda c, i: F.when(c.rlike(r"^\p{L}$"), i + 1)), lambda i: i.isNotNull())
+    left = F.array_except(letters, F.coalesce(covered, F.array().cast("array<int>")))
+    ones = F.transform(left, lambda i: F.struct(i.alias("start"), F.lit(1).alias("len"), F.element_at("__c", i).alias("word")))
+    single = docs.select("__k", F.inline(ones))
+    return hits.unionByName(single).withColumnRenamed("__k", key)

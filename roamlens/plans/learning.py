@@ -20,7 +20,6 @@ from roamlens.plans.textmining import (K_BEST, LABELLED_SQL, SQL_WORD_SCORES, TO
 TEST_N, DEV_N = 124, 50
 FIRST_N = 100
 TRAIN_FRACTION = 0.6
-VEC_BUCKETS = 1000
 
 
 # ------------------------------------------------------------------ upsert
@@ -117,14 +116,17 @@ def standardize(spark, sf_dir):
     return VC.standardize(Tables(spark, sf_dir)["embeddings"], "vec_id", "embedding")
 
 
-def _vec_id(word):
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(VEC_BUCKETS))
+def _hash32(word):
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
 
 
+# Words hash into twice the range of the table's ids, so all vectors can be met and
+# about half of the words are unknown.
 @register("known_vector_mean", ids="J10 J12 M2", sql=f"""
-WITH ex AS (SELECT doc_id, unnest({TOK}) AS word FROM documents),
-k AS (SELECT ex.doc_id, e.embedding FROM ex JOIN embeddings e
-        ON e.vec_id = CAST(('0x' || substr(md5(ex.word), 1, 8)) AS BIGINT) % {VEC_BUCKETS}),
+WITH m AS (SELECT 2 * (max(vec_id) + 1) AS n FROM embeddings),
+ex AS (SELECT doc_id, unnest({TOK}) AS word FROM documents),
+k AS (SELECT ex.doc_id, e.embedding FROM ex, m JOIN embeddings e
+        ON e.vec_id = CAST(('0x' || substr(md5(ex.word), 1, 8)) AS BIGINT) % m.n),
 n AS (SELECT doc_id, count(*) AS n_known FROM k GROUP BY doc_id),
 l AS (SELECT doc_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim FROM k)
 SELECT l.doc_id, dim, round(avg(x), 6) AS mean, any_value(n_known) AS n_known
@@ -133,12 +135,13 @@ def known_vector_mean(spark, sf_dir):
     t = Tables(spark, sf_dir)
     d = _docs(t)
     vecs = t["embeddings"].select(F.col("vec_id"), F.col("embedding"))
-    return VC.known_vector_mean(d, "doc_id", "words", vecs, "vec_id", "embedding", word_fn=_vec_id).select(
-        "doc_id", "dim", "mean", "n_known")
+    n = vecs.agg((F.max("vec_id") + 1) * 2).scalar()
+    return VC.known_vector_mean(d, "doc_id", "words", vecs, "vec_id", "embedding",
+                                word_fn=lambda w: F.pmod(_hash32(w), n)).select("doc_id", "dim", "mean", "n_known")
 
 
 @register("polygon_lines", ids="S20 W8", sql="""
-WITH v AS (SELECT vec_id, CAST(unnest(range(0, 4)) AS INTEGER) AS i, embedding FROM embeddings)
+WITH v AS (SELECT vec_id, CAST(unnest(range(0, len(embedding) // 2)) AS INTEGER) AS i, embedding FROM embeddings)
 SELECT CAST(-1 AS BIGINT) AS area_ord, 0 AS kind, 0 AS i, 'Polygon' AS line
 UNION ALL SELECT vec_id, 0, 0, CAST(vec_id AS VARCHAR) || ' 0' FROM embeddings
 UNION ALL SELECT vec_id, 1, i, CAST(i AS VARCHAR) || ' ' || printf('%.6f', CAST(embedding[2 * i + 2] AS DOUBLE)) || ' ' ||
@@ -146,7 +149,7 @@ UNION ALL SELECT vec_id, 1, i, CAST(i AS VARCHAR) || ' ' || printf('%.6f', CAST(
 UNION ALL SELECT CAST(4611686018427387904 AS BIGINT), 2, 0, 'END'""")
 def polygon_lines(spark, sf_dir):
     e = Tables(spark, sf_dir)["embeddings"]
-    areas = e.select(F.col("vec_id"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
+    areas = e.select(F.col("vec_id"), F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1), lambda i: F.struct(
         F.col("embedding")[i * 2].alias("lat"), F.col("embedding")[i * 2 + 1].alias("lng"))).alias("path"))
     return VC.polygon_lines(areas, "vec_id", "path")
 

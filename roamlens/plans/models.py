@@ -4,8 +4,6 @@ check); their formulas are covered by the NB oracle queries and pytest."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
@@ -150,7 +148,7 @@ def nb_final_eval(spark, sf_dir):
                                                                  binary=True),
                             NaiveBayes(modelType="bernoulli")])
     model = pipe.fit(tr)
-    path = scratch_path(spark, f"nb_final_{os.getpid()}")
+    path = scratch_path(spark, "nb_final")
     ML.save_model(model, path)
     loaded = PipelineModel.load(path)
     docs = _docs(t).withColumn("feats", FT.word_and_bigram_features("words"))

@@ -262,20 +262,20 @@ DICT_SQL = "(VALUES " + ", ".join(f"('{w}')" for w in DICTIONARY) + ") AS dct(wo
 
 
 @register("dictionary_segments", ids="N2", sql=fr"""
-WITH t AS (SELECT item_id, lower(text) AS s FROM benchmark),
-pos AS (SELECT item_id, s, CAST(unnest(generate_series(1, greatest(length(s), 1))) AS INTEGER) AS start FROM t),
+WITH t AS (SELECT doc_id, lower(text) AS s FROM documents),
+pos AS (SELECT doc_id, s, CAST(unnest(generate_series(1, greatest(length(s), 1))) AS INTEGER) AS start FROM t),
 lens AS (SELECT CAST(unnest(generate_series(1, {max(len(w) for w in DICTIONARY)})) AS INTEGER) AS len),
-sub AS (SELECT item_id, start, len, substr(s, start, len) AS word FROM pos, lens WHERE start + len - 1 <= length(s)),
-hits AS (SELECT sub.item_id, sub.start, sub.len, sub.word FROM sub JOIN {DICT_SQL} ON dct.word = sub.word),
-cover AS (SELECT DISTINCT item_id, CAST(unnest(generate_series(start, start + len - 1)) AS INTEGER) AS start FROM hits),
-single AS (SELECT p.item_id, p.start, 1 AS len, substr(p.s, p.start, 1) AS word FROM pos p
+sub AS (SELECT doc_id, start, len, substr(s, start, len) AS word FROM pos, lens WHERE start + len - 1 <= length(s)),
+hits AS (SELECT sub.doc_id, sub.start, sub.len, sub.word FROM sub JOIN {DICT_SQL} ON dct.word = sub.word),
+cover AS (SELECT DISTINCT doc_id, CAST(unnest(generate_series(start, start + len - 1)) AS INTEGER) AS start FROM hits),
+single AS (SELECT p.doc_id, p.start, 1 AS len, substr(p.s, p.start, 1) AS word FROM pos p
            WHERE regexp_matches(substr(p.s, p.start, 1), '^\p{{L}}$')
-             AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.item_id = p.item_id AND c.start = p.start))
+             AND NOT EXISTS (SELECT 1 FROM cover c WHERE c.doc_id = p.doc_id AND c.start = p.start))
 SELECT * FROM hits UNION ALL SELECT * FROM single""")
 def dictionary_segments(spark, sf_dir):
     t = Tables(spark, sf_dir)
     d = spark.createDataFrame([(w,) for w in DICTIONARY], "word string")
-    return TX.dictionary_segments(t["benchmark"], "item_id", "text", d).select("item_id", "start", "len", "word")
+    return TX.dictionary_segments(t["documents"], "doc_id", "text", d).select("doc_id", "start", "len", "word")
 
 
 # ------------------------------------------------------------------ lexicon sentiment
@@ -355,11 +355,11 @@ def conversation_join(spark, sf_dir):
 
 
 @register("char_tokens_count", ids="N1", sql=r"""
-SELECT item_id, CAST(len(regexp_extract_all(lower(text), '\p{L}')) AS BIGINT) AS n_chars,
+SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '\p{L}')) AS BIGINT) AS n_chars,
        CAST(len(list_distinct(regexp_extract_all(lower(text), '\p{L}'))) AS BIGINT) AS n_distinct
-FROM benchmark""")
+FROM documents""")
 def char_tokens_count(spark, sf_dir):
     """N1 'chars' mode (unspaced scripts: every letter is a token)."""
-    b = TX.tokenize(Tables(spark, sf_dir)["benchmark"], "text", mode="chars")
-    return b.select("item_id", F.size("words").cast("long").alias("n_chars"),
+    b = TX.tokenize(Tables(spark, sf_dir)["documents"], "text", mode="chars")
+    return b.select("doc_id", F.size("words").cast("long").alias("n_chars"),
                     F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))

@@ -5,19 +5,16 @@ sink versions its table by batch id, so a replayed batch is a no-op."""
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamlens.operators.upsert import latest_by_key, upsert_to_path
-from roamlens.session import checkpoint_dir
+from roamlens.session import scratch_path
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder for one streaming run."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_path(spark, name)
 
 
 # ------------------------------------------------------------------ sources
