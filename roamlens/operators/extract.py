@@ -15,9 +15,9 @@ LINK_PATTERN = r'<a href="([^"]*)"'
 LISTING_LINK_PATTERN = r'<a href="(.*?)html'
 NEXT_PAGE_PATTERN = r'<a class="pi pg-next" data-page="(.*?)" rel'
 ENV_PATTERN = r'window\.Env = (\{.*?\});'
-COMMENT_BLOCK_PATTERN = r'(?s)<li class="rev-item comment-item clearfix">(.*?)</li>'
-COMMENT_TEXT_PATTERN = r'(?s)rev-txt">(.*?)</p>'
-COMMENT_TIME_PATTERN = r'class="time">(.*?)<'
+COMMENT_BLOCK_OPEN = r'<li class="rev-item comment-item clearfix"[^>]*>'
+COMMENT_TEXT_PATTERN = r'(?s)rev-txt"[^>]*>(.*?)</p>'
+COMMENT_TIME_PATTERN = r'class="time"[^>]*>(.*?)<'
 COMMENT_STAR_PATTERN = r's-star[^>]*?(\d)'
 COMMENT_USER_PATTERN = r'class="name" href="([^"]*)"'
 PROFILE_CITY_PATTERN = r'class="MAvaPlace flt1" title="([^"]*)"'
@@ -88,17 +88,40 @@ def strip_tags(c) -> Column:
 def comment_blocks(df: DataFrame, html: str = "html") -> DataFrame:
     """X8–X10 + X6: one row per ``li.rev-item.comment-item`` block with text
     (tags stripped, every whitespace char -> ','), time, star digit and the
-    commenter id from the profile link."""
-    blocks = df.select("*", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(COMMENT_BLOCK_PATTERN), 1))
-                       .alias("__pos", "__blk"))
+    commenter id from the profile link.  A block runs from its opening tag to the
+    next one, so lists inside it are part of it."""
+    blocks = df.select("*", F.posexplode(F.split(F.col(html), COMMENT_BLOCK_OPEN)).alias("pos", "__blk")).filter("pos > 0")
     b = F.col("__blk")
     return (blocks
-            .withColumn("pos", (F.col("__pos") + 1).cast("int"))
             .withColumn("comment_text", whitespace_to_commas(strip_tags(F.regexp_extract(b, COMMENT_TEXT_PATTERN, 1))))
             .withColumn("comment_time", F.regexp_extract(b, COMMENT_TIME_PATTERN, 1))
             .withColumn("comment_star", F.nullif(F.regexp_extract(b, COMMENT_STAR_PATTERN, 1), F.lit("")))
             .withColumn("custom_id", first_digits(F.regexp_extract(b, COMMENT_USER_PATTERN, 1)))
-            .drop("__pos", "__blk"))
+            .drop("__blk"))
+
+
+# Fixed value: the fields of a comment response that are read.
+COMMENT_RESPONSE = ("data struct<html:string,controller_data:struct<poi_id:string,comment_count:string>>")
+LISTING_RESPONSE = "data struct<list:string,page:string>"
+
+
+def comment_response_rows(df: DataFrame, body: str = "body") -> DataFrame:
+    """S15 + X8: comment blocks of a JSON response, each with the response's
+    ``poi_id`` and ``comment_count``; a body that is no such JSON gives no rows."""
+    d = df.withColumn("__r", F.from_json(body, COMMENT_RESPONSE))
+    d = (d.withColumn("__html", F.col("__r.data.html"))
+          .withColumn("poi_id", F.col("__r.data.controller_data.poi_id"))
+          .withColumn("comment_count", F.col("__r.data.controller_data.comment_count").cast("int")))
+    return comment_blocks(d.drop("__r"), "__html").drop("__html")
+
+
+def listing_response(df: DataFrame, body: str = "body") -> DataFrame:
+    """S15 + X1 + X2: the detail links (array, without site) and the next-page token
+    of a listing response."""
+    d = df.withColumn("__r", F.from_json(body, LISTING_RESPONSE))
+    links_ = F.transform(F.regexp_extract_all(F.col("__r.data.list"), F.lit(LISTING_LINK_PATTERN), 1),
+                         lambda x: F.concat(x, F.lit("html")))
+    return d.withColumn("links", links_).withColumn("next_page", next_page(F.col("__r.data.page"))).drop("__r")
 
 
 def user_id_from_url(url) -> Column:
@@ -138,13 +161,14 @@ def route(df: DataFrame, type_col: str, value: str) -> DataFrame:
 
 # Detail-page fragments (title block, detail list entries,
 # location block, navigation bar with the comment count).
-DETAIL_NAME_PATTERN = r'(?s)<div class="title">\s*<h1>(.*?)</h1>'
-DETAIL_DL_PATTERN = r'(?s)<div class="mod mod-detail">(.*?)</div>\s*<!--detail-end-->'
-DL_PATTERN = r"(?s)<dl>(.*?)</dl>"
-DD_PATTERN = r"(?s)<dd>(.*?)</dd>"
-DD_DIV_PATTERN = r"(?s)<dd>\s*<div>(.*?)</div>"
-LOCATION_PATTERN = r'(?s)<div class="mod mod-location">\s*<div>\s*<p>(.*?)</p>'
-NAVBAR_COUNT_PATTERN = r'(?s)<div id="poi-navbar">.*?<span>(.*?)</span>'
+DETAIL_NAME_PATTERN = r'(?s)<div class="title"[^>]*>\s*<h1[^>]*>(.*?)</h1>'
+# the detail block runs to the next module or the end of the page
+DETAIL_DL_PATTERN = r'(?s)<div class="mod mod-detail"[^>]*>(.*?)(?:<div class="mod |\z)'
+DL_PATTERN = r"(?s)<dl\b[^>]*>(.*?)</dl>"
+DD_PATTERN = r"(?s)<dd\b[^>]*>(.*?)</dd>"
+DD_DIV_PATTERN = r"(?s)<dd\b[^>]*>\s*<div\b[^>]*>(.*?)</div>"
+LOCATION_PATTERN = r'(?s)<div class="mod mod-location"[^>]*>\s*<div[^>]*>\s*<p[^>]*>(.*?)</p>'
+NAVBAR_COUNT_PATTERN = r'(?s)<div id="poi-navbar"[^>]*>.*?<span[^>]*>(.*?)</span>'
 
 
 def detail_fields(df: DataFrame, html: str = "html") -> DataFrame:

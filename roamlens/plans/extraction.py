@@ -58,7 +58,7 @@ def _listing(p):
     return p.select("page_id", F.concat_ws("", F.col("html"), anchor).alias("listing"))
 
 
-@register("page_next_token", ids="X2 S15", sql=r"""
+@register("page_next_token", ids="X2", sql=r"""
 WITH l AS (SELECT page_id, html || COALESCE(CASE WHEN regexp_extract(url, 'page=(\d+)', 1) <> ''
              THEN '<a class="pi pg-next" data-page="' || CAST(CAST(regexp_extract(url, 'page=(\d+)', 1) AS INTEGER) + 1 AS VARCHAR) || '" rel="next">' END, '') AS listing
            FROM pages)
@@ -134,7 +134,7 @@ def whitespace_commas(spark, sf_dir):
 def _comment_html(t):
     li, o, p = t["lineitem"], t["orders"], t["part"]
     blk = F.concat(
-        F.lit('<li class="rev-item comment-item clearfix"><a class="name" href="/u/'),
+        F.lit('<li class="rev-item comment-item clearfix" data-id="1"><ul><li>badge</li></ul><a class="name" href="/u/'),
         F.col("o_custkey").cast("string"), F.lit('.html">u</a><span class="s-star s-star'),
         F.col("l_linenumber").cast("string"), F.lit('"></span><p class="rev-txt">'),
         F.col("p_name"), F.lit(NBSP), F.col("l_returnflag"), F.lit(" <b>"), F.col("l_linestatus"),
@@ -148,21 +148,20 @@ def _comment_html(t):
 
 SQL_COMMENT_HTML = r"""
 WITH j AS (SELECT l.l_orderkey, l.l_linenumber,
-   '<li class="rev-item comment-item clearfix"><a class="name" href="/u/' || CAST(o.o_custkey AS VARCHAR) ||
+   '<li class="rev-item comment-item clearfix" data-id="1"><ul><li>badge</li></ul><a class="name" href="/u/' || CAST(o.o_custkey AS VARCHAR) ||
    '.html">u</a><span class="s-star s-star' || CAST(l.l_linenumber AS VARCHAR) || '"></span><p class="rev-txt">' ||
    p.p_name || chr(160) || l.l_returnflag || ' <b>' || l.l_linestatus || '</b>' || chr(12288) || 'ok</p><span class="time">' ||
    strftime(l.l_shipdate, '%Y-%m-%d %H:%M:%S') || '</span></li>' AS b
    FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey),
 h AS (SELECT l_orderkey, string_agg(b, '' ORDER BY l_linenumber, b) AS html FROM j GROUP BY 1),
-x AS (SELECT l_orderkey, unnest(regexp_extract_all(html, '(?s)<li class="rev-item comment-item clearfix">(.*?)</li>', 1)) AS blk,
-             unnest(range(1, len(regexp_extract_all(html, '(?s)<li class="rev-item comment-item clearfix">(.*?)</li>', 1)) + 1)) AS pos
-      FROM h)"""
+s AS (SELECT l_orderkey, html, regexp_split_to_array(html, '<li class="rev-item comment-item clearfix"[^>]*>')[2:] AS parts FROM h),
+x AS (SELECT l_orderkey, unnest(parts) AS blk, unnest(range(1, len(parts) + 1)) AS pos FROM s)"""
 
 
 @register("comment_blocks", ids="X8 X9 X10 X6", sql=SQL_COMMENT_HTML + r"""
 SELECT l_orderkey AS order_key, CAST(pos AS INTEGER) AS pos,
-       regexp_replace(regexp_replace(regexp_extract(blk, '(?s)rev-txt">(.*?)</p>', 1), '<[^>]*>', '', 'g'), '[\s\p{Z}]', ',', 'g') AS comment_text,
-       regexp_extract(blk, 'class="time">(.*?)<', 1) AS comment_time,
+       regexp_replace(regexp_replace(regexp_extract(blk, '(?s)rev-txt"[^>]*>(.*?)</p>', 1), '<[^>]*>', '', 'g'), '[\s\p{Z}]', ',', 'g') AS comment_text,
+       regexp_extract(blk, 'class="time"[^>]*>(.*?)<', 1) AS comment_time,
        NULLIF(regexp_extract(blk, 's-star[^>]*?(\d)', 1), '') AS comment_star,
        NULLIF(regexp_extract(regexp_extract(blk, 'class="name" href="([^"]*)"', 1), '(\d+)', 1), '') AS custom_id
 FROM x""")
@@ -172,6 +171,45 @@ def comment_blocks(spark, sf_dir):
                                       "comment_time", "comment_star", "custom_id")
 
 
+@register("comment_response_rows", ids="S15 X8 X9 X10 X6", sql=SQL_COMMENT_HTML.replace(
+    "h AS (SELECT l_orderkey, string_agg", "h0 AS (SELECT l_orderkey, count(*) AS cnt, string_agg").replace(
+    "s AS (SELECT", """b AS (SELECT l_orderkey, to_json({'data': {'html': html, 'controller_data':
+        {'poi_id': CAST(l_orderkey AS VARCHAR), 'comment_count': cnt}}}) AS body FROM h0),
+h AS (SELECT l_orderkey, json_extract_string(body, '$.data.html') AS html,
+        json_extract_string(body, '$.data.controller_data.poi_id') AS poi_id,
+        CAST(json_extract_string(body, '$.data.controller_data.comment_count') AS INTEGER) AS comment_count FROM b),
+s AS (SELECT poi_id, comment_count,""", 1).replace("x AS (SELECT", "x AS (SELECT poi_id, comment_count,") + r"""
+SELECT poi_id, comment_count, CAST(pos AS INTEGER) AS pos,
+       regexp_replace(regexp_replace(regexp_extract(blk, '(?s)rev-txt"[^>]*>(.*?)</p>', 1), '<[^>]*>', '', 'g'), '[\s\p{Z}]', ',', 'g') AS comment_text,
+       regexp_extract(blk, 'class="time"[^>]*>(.*?)<', 1) AS comment_time
+FROM x""")
+def comment_response_rows(spark, sf_dir):
+    """The comment pages of the crawl as JSON bodies (one per order)."""
+    h = _comment_html(Tables(spark, sf_dir))
+    n = F.size(F.split("html", X.COMMENT_BLOCK_OPEN)) - 1
+    body = F.to_json(F.struct(F.struct(F.col("html"), F.struct(
+        F.col("l_orderkey").cast("string").alias("poi_id"), n.alias("comment_count")).alias("controller_data")).alias("data")))
+    return X.comment_response_rows(h.select(body.alias("body"))).select(
+        "poi_id", "comment_count", "pos", "comment_text", "comment_time")
+
+
+@register("listing_response", ids="S15 X1 X2", sql=r"""
+WITH b AS (SELECT page_id, to_json({'data': {'list': regexp_replace(html, '(<a href="[^"]*)"', '\1.html"', 'g'),
+             'page': '<a class="pi pg-next" data-page="' || CAST(page_id + 1 AS VARCHAR) || '" rel="next">'}}) AS body FROM pages),
+p AS (SELECT page_id, regexp_extract_all(json_extract_string(body, '$.data.list'), '<a href="(.*?)html', 1) AS l,
+             json_extract_string(body, '$.data.page') AS page FROM b)
+SELECT page_id, CAST(len(l) AS INTEGER) AS n_links, l[1] || 'html' AS first_link,
+       NULLIF(regexp_extract(page, '<a class="pi pg-next" data-page="(.*?)" rel', 1), '') AS next_page FROM p""")
+def listing_response(spark, sf_dir):
+    p = Tables(spark, sf_dir)["pages"]
+    body = F.to_json(F.struct(F.struct(
+        F.regexp_replace("html", r'(<a href="[^"]*)"', '$1.html"').alias("list"),
+        F.concat(F.lit('<a class="pi pg-next" data-page="'), (F.col("page_id") + 1).cast("string"),
+                 F.lit('" rel="next">')).alias("page")).alias("data")))
+    d = X.listing_response(p.select("page_id", body.alias("body")))
+    return d.select("page_id", F.size("links").alias("n_links"), F.try_element_at("links", F.lit(1)).alias("first_link"), "next_page")
+
+
 def _profile_html(c, n):
     place = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit('<span class="MAvaPlace flt1" title="'),
                                                      F.col("n_name"), F.lit('"></span>')))
@@ -256,10 +294,10 @@ def _detail_pages(t):
     open_dl = F.when(F.col("p_size") > 20, F.concat(F.lit("<dl><dt>o</dt><dd>"), s("p_size"), F.lit(":00</dd></dl>"))) \
                .otherwise(F.lit(""))
     html = F.concat(F.lit('<div class="title"><h1>'), F.col("p_name"),
-                    F.lit('</h1></div><div class="mod mod-detail"><dl><dt>t</dt><dd>'), F.col("p_type"),
+                    F.lit('</h1></div><div class="mod mod-detail"><dl class="d"><dt>t</dt><dd class="x">'), F.col("p_type"),
                     F.lit("</dd><dd> "), F.col("p_brand"), F.lit(" </dd></dl><dl><dt>p</dt><dd><div>"), s("p_size"),
                     F.lit("元</div></dd></dl>"), open_dl,
-                    F.lit('</div><!--detail-end--><div class="mod mod-location"><div><p>'), F.col("p_brand"),
+                    F.lit('</div><div class="mod mod-location" id="loc"><div class="in"><p>'), F.col("p_brand"),
                     F.lit('</p></div></div><div id="poi-navbar"><span>评论 ('), s("cnt"),
                     F.lit('条)</span></div><script>window.Env = {"mddid": '), s("p_size"), F.lit(', "poiid": '),
                     s("p_partkey"), F.lit("};\n</script>"))
@@ -269,24 +307,24 @@ def _detail_pages(t):
 @register("detail_fields", ids="X4 X5 X6", sql=r"""
 WITH c AS (SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY 1),
 d AS (SELECT p.p_partkey AS page_key,
-        '<div class="title"><h1>' || p.p_name || '</h1></div><div class="mod mod-detail"><dl><dt>t</dt><dd>' || p.p_type ||
+        '<div class="title"><h1>' || p.p_name || '</h1></div><div class="mod mod-detail"><dl class="d"><dt>t</dt><dd class="x">' || p.p_type ||
         '</dd><dd> ' || p.p_brand || ' </dd></dl><dl><dt>p</dt><dd><div>' || CAST(p.p_size AS VARCHAR) || '元</div></dd></dl>' ||
         CASE WHEN p.p_size > 20 THEN '<dl><dt>o</dt><dd>' || CAST(p.p_size AS VARCHAR) || ':00</dd></dl>' ELSE '' END ||
-        '</div><!--detail-end--><div class="mod mod-location"><div><p>' || p.p_brand ||
+        '</div><div class="mod mod-location" id="loc"><div class="in"><p>' || p.p_brand ||
         '</p></div></div><div id="poi-navbar"><span>评论 (' || CAST(coalesce(c.cnt, 0) AS VARCHAR) ||
         '条)</span></div><script>window.Env = {"mddid": ' || CAST(p.p_size AS VARCHAR) || ', "poiid": ' ||
         CAST(p.p_partkey AS VARCHAR) || '};' || chr(10) || '</script>' AS html
       FROM part p LEFT JOIN c ON c.l_partkey = p.p_partkey),
 x AS (SELECT page_key, html,
-        regexp_extract_all(regexp_extract(html, '(?s)<div class="mod mod-detail">(.*?)</div>\s*<!--detail-end-->', 1),
-                           '(?s)<dl>(.*?)</dl>', 1) AS dls FROM d)
+        regexp_extract_all(regexp_extract(html, '(?s)<div class="mod mod-detail"[^>]*>(.*?)(?:<div class="mod |\z)', 1),
+                           '(?s)<dl\b[^>]*>(.*?)</dl>', 1) AS dls FROM d)
 SELECT page_key,
-  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="title">\s*<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS scene_spot_name,
-  array_to_string(coalesce(list_transform(regexp_extract_all(dls[1], '(?s)<dd>(.*?)</dd>', 1), lambda v: trim(regexp_replace(v, '<[^>]*>', '', 'g'))), []::VARCHAR[]), '|') AS traffic,
-  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[2], ''), '(?s)<dd>\s*<div>(.*?)</div>', 1), '<[^>]*>', '', 'g')), '') AS price,
-  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[3], ''), '(?s)<dd>(.*?)</dd>', 1), '<[^>]*>', '', 'g')), '') AS open_time,
-  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="mod mod-location">\s*<div>\s*<p>(.*?)</p>', 1), '<[^>]*>', '', 'g')), '') AS position,
-  NULLIF(regexp_extract(regexp_extract(html, '(?s)<div id="poi-navbar">.*?<span>(.*?)</span>', 1), '(\d+)', 1), '') AS comment_num_count,
+  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="title"[^>]*>\s*<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')), '') AS scene_spot_name,
+  array_to_string(coalesce(list_transform(regexp_extract_all(dls[1], '(?s)<dd\b[^>]*>(.*?)</dd>', 1), lambda v: trim(regexp_replace(v, '<[^>]*>', '', 'g'))), []::VARCHAR[]), '|') AS traffic,
+  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[2], ''), '(?s)<dd\b[^>]*>\s*<div\b[^>]*>(.*?)</div>', 1), '<[^>]*>', '', 'g')), '') AS price,
+  NULLIF(trim(regexp_replace(regexp_extract(coalesce(dls[3], ''), '(?s)<dd\b[^>]*>(.*?)</dd>', 1), '<[^>]*>', '', 'g')), '') AS open_time,
+  NULLIF(trim(regexp_replace(regexp_extract(html, '(?s)<div class="mod mod-location"[^>]*>\s*<div[^>]*>\s*<p[^>]*>(.*?)</p>', 1), '<[^>]*>', '', 'g')), '') AS position,
+  NULLIF(regexp_extract(regexp_extract(html, '(?s)<div id="poi-navbar"[^>]*>.*?<span[^>]*>(.*?)</span>', 1), '(\d+)', 1), '') AS comment_num_count,
   json_extract_string(regexp_extract(html, 'window\.Env = (\{.*?\});', 1), '$.mddid') AS mddid,
   json_extract_string(regexp_extract(html, 'window\.Env = (\{.*?\});', 1), '$.poiid') AS poi_id
 FROM x""")

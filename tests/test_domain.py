@@ -150,7 +150,7 @@ def test_group_ordinal_hot_group(spark):
 
 
 def test_comment_blocks(spark):
-    html = ('<ul><li class="rev-item comment-item clearfix"><a class="name" href="/u/52409679.html">n</a>'
+    html = ('<ul><li class="rev-item comment-item clearfix"><a class="name" href="/u/40123456.html">n</a>'
             '<span class="s-star s-star5"></span><p class="rev-txt">很 好 看<br/>　!</p>'
             '<span class="time">2018-07-01 10:00:00</span></li>'
             '<li class="rev-item comment-item clearfix"><a class="name" href="/u/7.html">m</a>'
@@ -158,7 +158,7 @@ def test_comment_blocks(spark):
     df = spark.createDataFrame([(html,)], "html string")
     r = X.comment_blocks(df).orderBy("pos").collect()
     assert [(x.custom_id, x.comment_star, x.comment_time) for x in r] == [
-        ("52409679", "5", "2018-07-01 10:00:00"), ("7", "3", "2019-01-02")]
+        ("40123456", "5", "2018-07-01 10:00:00"), ("7", "3", "2019-01-02")]
     assert r[0].comment_text == "很,好,看,!"
 
 
@@ -172,12 +172,12 @@ def test_area_json_rows(spark):
 
 def test_profile_and_url(spark):
     df = spark.createDataFrame([('<div class="MAvaName"><i class="MGenderf"></i></div>'
-                                 '<span class="MAvaPlace flt1" title="深圳"></span>',
-                                 "http://www.x.cn/u/52409679.html"),
+                                 '<span class="MAvaPlace flt1" title="海口"></span>',
+                                 "http://www.x.cn/u/40123456.html"),
                                 ('<div class="MAvaName"><i class="MGender"></i></div>', "http://www.x.cn/u/1.html")],
                                "html string, url string")
     r = X.profile_fields(df).withColumn("id", X.user_id_from_url("url")).collect()
-    assert [(x.custom_cty, x.custom_sex, x.id) for x in r] == [("深圳", "f", "52409679"), (None, None, "1")]
+    assert [(x.custom_cty, x.custom_sex, x.id) for x in r] == [("海口", "f", "40123456"), (None, None, "1")]
 
 
 def test_similarity_and_blocking_exact(spark):
@@ -257,12 +257,12 @@ def test_upsert_redoes_uncommitted_version(spark, tmp):
 
 PAGE = ('<html><div class="title"><h1>两江四湖</h1></div>'
         '<div class="mod mod-detail"><dl><dt>交通</dt><dd>乘 <b>2</b> 路</dd><dd>步行</dd></dl>'
-        '<dl><dt>门票</dt><dd><div>120元</div></dd></dl><dl><dt>开放时间</dt><dd>8:00-22:00</dd></dl></div><!--detail-end-->'
+        '<dl><dt>门票</dt><dd><div>120元</div></dd></dl><dl><dt>开放时间</dt><dd>8:00-22:00</dd></dl></div>'
         '<div class="mod mod-location"><div><p>桂林市秀峰区</p></div></div>'
         '<div id="poi-navbar"><a>评论</a><span>评论 (37条)</span></div>'
         '<script>window.Env = {"mddid": 12810, "poiid": 5411};\n</script></html>')
 PAGE_SHORT = ('<div class="title"><h1>象鼻山</h1></div><div class="mod mod-detail"><dl><dt>交通</dt><dd>公交</dd></dl>'
-              '<dl><dt>门票</dt><dd><div>免费</div></dd></dl></div><!--detail-end--><div id="poi-navbar"><span>评论</span></div>')
+              '<dl><dt>门票</dt><dd><div>免费</div></dd></dl></div><div id="poi-navbar"><span>评论</span></div>')
 
 
 def test_detail_fields(spark):
@@ -276,6 +276,48 @@ def test_detail_fields(spark):
         "象鼻山", ["公交"], "免费", None, None, None, None)
 
 
+def test_detail_fields_with_attributes(spark):
+    page = ('<div class="title big"><h1>no</h1></div><div class="title" id="t">\n<h1 class="n">石林</h1></div>'
+            '<div class="mod mod-detail" data-x="1"><dl class="a"><dt>交通</dt><dd class="l">车<ul><li>1</li></ul></dd></dl>'
+            '<dl><dt>门票</dt><dd>\n<div class="p">80元</div></dd></dl></div><div class="mod mod-x"><dl><dd>other</dd></dl></div>'
+            '<div class="mod mod-location" id="l"><div class="i"><p class="s">昆明</p></div></div>')
+    r = X.detail_fields(spark.createDataFrame([(page,), ("",), (None,)], "html string")).collect()
+    assert (r[0].scene_spot_name, r[0].traffic, r[0].price, r[0].open_time, r[0].position) == ("石林", ["车1"], "80元", None, "昆明")
+    assert [(x.scene_spot_name, x.price) for x in r[1:]] == [(None, None)] * 2
+
+
+def test_comment_response(spark):
+    import json
+    block = ('<li class="rev-item comment-item clearfix" id="{0}"><ul><li>tag</li></ul><a class="name" href="/u/{0}.html">n</a>'
+             '<span class="s-star s-star4"></span><p class="rev-txt" data-a="b">好 {0}</p><span class="time" x="y">2018-07-0{0}</span></li>')
+    body = json.dumps({"data": {"html": "<ul>" + block.format(1) + block.format(2) + "</ul>",
+                                "controller_data": {"poi_id": 54, "comment_count": 2}}})
+    df = spark.createDataFrame([(body,), ("[]",), (None,), ("no json",)], "body string")
+    r = X.comment_response_rows(df).orderBy("pos").collect()
+    assert [(x.poi_id, x.comment_count, x.pos, x.comment_text, x.comment_time, x.comment_star, x.custom_id) for x in r] == [
+        ("54", 2, 1, "好,1", "2018-07-01", "4", "1"), ("54", 2, 2, "好,2", "2018-07-02", "4", "2")]
+    listing = json.dumps({"data": {"list": '<a href="/poi/7.html">a</a><a href="/poi/8.html">b</a>',
+                                   "page": '<a class="pi pg-next" data-page="3" rel="next">'}})
+    l = X.listing_response(spark.createDataFrame([(listing,)], "body string")).first()
+    assert (l.links, l.next_page) == (["/poi/7.html", "/poi/8.html"], "3")
+
+
+def test_null_group_keys_stay(spark):
+    from roamlens.operators import sampling as SM
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "g string, o int")
+    assert sorted((r.g or "", r.o, r.rn) for r in group_ordinal(df, ["g"], ["o"], num_partitions=3).collect()) == [
+        ("", 3, 1), ("", 4, 2), ("a", 1, 1), ("a", 2, 2)]
+    assert SM.first_n_per_class(df, "g", "o", 1).count() == 2
+    assert R.bundle_per_group(df, "g", ["o"], ["o"]).count() == 4
+
+
+def test_update_from_takes_the_last(spark):
+    t = spark.createDataFrame([("k", "old"), ("j", "old")], "key string, v string")
+    for rows in ([(1, "k", None), (2, "k", "new")], [(2, "k", "new"), (1, "k", "first"), (3, "k", None)]):
+        u = spark.createDataFrame(rows, "n int, key string, v string")
+        assert {r.key: r.v for r in R.update_from(t, u, "key", "v", "n").collect()} == {"k": "new", "j": "old"}
+
+
 def test_partial_similarity(spark):
     from roamlens.functions.columns import partial_similarity
     r = spark.createDataFrame([("桂林市", "桂林"), ("abc", "xyz"), ("广西桂林", "桂林")], "a string, b string") \
