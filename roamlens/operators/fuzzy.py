@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import col_, normalise_name, similarity
-from roamlens.operators.relational import update_from
 from roamlens.session import cut_lineage
 
 LEVELS = {1: "province", 2: "city", 3: "county"}
@@ -90,8 +89,11 @@ def _chars(c: Column) -> Column:
 
 
 def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name",
-               threshold: int = 0) -> DataFrame:
-    """Pairs (query, choice) with similarity > ``threshold``, with the score.
+               threshold: int = 0, scorer=similarity) -> DataFrame:
+    """Pairs (query, choice) with score > ``threshold``, with the score.
+    ``scorer`` (two columns -> 0..100) may be any function that is 0 for strings
+    without a common character; the prefix filter below is exact for ``similarity``
+    only, so another scorer is joined on shared characters at any threshold.
     ``choices`` keeps its other columns (ord, level, ...).
 
     threshold 0: pairs sharing a character (all positive scores).
@@ -109,7 +111,8 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
     # both sets feed the token ranking, the prefixes and the join: materialise
     # them once (distinct strings and the gazetteer — small next to the data)
     qn, cn = cut_lineage(qn), cut_lineage(cn)
-    if threshold <= 0:
+    prefixed = threshold > 0 and scorer is similarity
+    if not prefixed:
         qn = qn.withColumn("__qs", _chars(F.col("__qn")))
         cn = cn.withColumn("__cs", _chars(F.col("__cn")))
     else:
@@ -125,7 +128,7 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
     cc = cn.select("*", F.explode("__cs").alias("__ch"))
     pairs = (qc.join(cc, "__ch")
              .filter(F.col("__ch") == F.array_min(F.array_intersect("__qs", "__cs"))))
-    if threshold > 0:
+    if prefixed:
         # exact necessary conditions of score > t, checked before Levenshtein:
         #   lev >= |len(a) - len(b)|   and   lev >= max(len) - multiset overlap,
         # while score > t implies lev < (1 - t/100) * max(len).
@@ -134,7 +137,7 @@ def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str =
         slack = (1.0 - threshold / 100.0) * m
         ov = F.size(F.array_intersect("__qs_all", "__cs_all"))
         pairs = pairs.filter((F.abs(la - lb) <= slack) & ((m - ov) <= slack))
-    return (pairs.withColumn("score", similarity("__qn", "__cn"))
+    return (pairs.withColumn("score", scorer("__qn", "__cn"))
             .drop("__qn", "__cn", "__qs", "__cs", "__ch", "__qs_all", "__cs_all")
             .filter(F.col("score") > threshold))
 
@@ -171,7 +174,7 @@ def _prefix(df: DataFrame, keys: list[str], norm: str, out: str, rank: DataFrame
 
 
 def top_matches(queries: DataFrame, choices: DataFrame, limit: int = 1, q: str = "q",
-                name: str = "name", by=("level",), threshold: int = 0) -> DataFrame:
+                name: str = "name", by=("level",), threshold: int = 0, scorer=similarity) -> DataFrame:
     """The ``limit`` best choices per query (and level): score desc,
     then choice order.  Only positive scores exist as candidates.
 
@@ -179,7 +182,7 @@ def top_matches(queries: DataFrame, choices: DataFrame, limit: int = 1, q: str =
     shuffle); larger limits rank inside (query, level) groups, which are
     bounded by the size of the choice list."""
     by = list(by)
-    cand = candidates(queries, choices, q, name, threshold)
+    cand = candidates(queries, choices, q, name, threshold, scorer)
     if limit == 1:
         rest = [c for c in cand.columns if c not in [q, *by]]
         best = cand.groupBy(q, *by).agg(
@@ -210,6 +213,26 @@ def first_token(c, max_len: int = 3) -> Column:
             .otherwise(F.when(~F.trim(c).isin("", "-"), c))
 
 
+def dictionary_token(towns: DataFrame, names: DataFrame, town: str, name: str = "name",
+                     max_len: int = 3, out: str = "token") -> DataFrame:
+    """P6 + N16 for unspaced strings: a town longer than ``max_len`` characters is
+    matched by its first word, the longest name that it begins with (blanks, dashes
+    and separators before it skipped); without one, by its first separated token.
+
+    The towns' prefixes (no longer than the longest name) are equi-joined with the
+    names, so a town meets only names it begins with."""
+    d = names.select(F.col(name).alias("__n")).filter(F.length("__n") > 0).distinct()
+    longest = d.agg(F.max(F.length("__n"))).scalar()
+    lead = F.regexp_replace(F.col(town), r"^[\s,，、;；/-]+", "")
+    t = towns.select(town).distinct().withColumn("__t", lead).withColumn("__max", longest)
+    pre = t.filter((F.length(town) > max_len) & (F.length("__t") > 0) & (F.col("__max") > 0))
+    pre = pre.select(town, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("__t"), F.col("__max"))),
+                                                 lambda n: F.substring(F.col("__t"), F.lit(1), n))).alias("__n"))
+    found = pre.join(d, "__n").groupBy(town).agg(F.max_by("__n", F.length("__n")).alias("__w"))
+    return (t.drop("__t", "__max").join(found, town, "left")
+            .select(town, F.coalesce("__w", first_token(town, max_len)).alias(out)))
+
+
 def resolve(queries: DataFrame, gazetteer: DataFrame, q: str = "q", threshold: int = THRESHOLD) -> DataFrame:
     """N15 + J7 on distinct query strings: (q, p/c/k top-1 name and score,
     chosen level, matched name, province)."""
@@ -233,13 +256,14 @@ def resolve(queries: DataFrame, gazetteer: DataFrame, q: str = "q", threshold: i
 def resolve_users(users: DataFrame, gazetteer: DataFrame, town: str = "custom_cty",
                   key: str = "custom_id", target: str = "custom_province",
                   threshold: int = THRESHOLD) -> DataFrame:
-    """N17 whole flow: P6/N16 query selection -> distinct -> three-level
-    top-1 -> N15 -> J7 -> J9 update-from (unmatched users keep their value)."""
-    u = users.withColumn("__q", first_token(town))
-    res = resolve(u.select("__q").filter(F.col("__q").isNotNull()), gazetteer, "__q", threshold)
-    upd = (u.select(key, "__q").join(res.select("__q", "level", "matched", "score", "province"), "__q")
-           .filter(F.col("province").isNotNull()))
-    resolved = update_from(users, upd.select(key, F.col("province").alias(target)), key, target)
-    detail = upd.select(key, F.col("level").alias("match_level"), F.col("matched").alias("match_name"),
-                        F.col("score").alias("match_score"))
-    return resolved.join(detail, key, "left")
+    """N17 whole flow: the distinct towns get their token (P6/N16), the distinct
+    tokens are resolved once (three-level top-1 -> N15 -> J7), and the users take the
+    result over their town (J9: unmatched users keep their value)."""
+    towns = cut_lineage(dictionary_token(users.filter(F.col(town).isNotNull()), gazetteer, town, out="__q"))
+    res = resolve(towns.select("__q").filter(F.col("__q").isNotNull()), gazetteer, "__q", threshold)
+    hit = F.col("__new").isNotNull()
+    found = (towns.join(res.select("__q", "level", "matched", "score", F.col("province").alias("__new")), "__q")
+             .filter(hit).select(F.col(town), "__new", F.col("level").alias("match_level"),
+                                 F.col("matched").alias("match_name"), F.col("score").alias("match_score")))
+    return (users.join(found, town, "left")
+            .withColumn(target, F.coalesce("__new", target)).drop("__new"))

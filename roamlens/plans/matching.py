@@ -37,6 +37,7 @@ def users(t):
     town = (F.when(seg == "AUTOMOBILE", F.col("n_name"))
             .when(seg == "BUILDING", F.concat(F.expr("substr(r_name, 1, length(r_name) - 1)"), F.lit("x")))
             .when(seg == "FURNITURE", F.concat(F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))), F.lit("a")))
+            .when((seg == "HOUSEHOLD") & (F.col("c_custkey") % 2 == 0), F.concat("n_name", F.lit("town")))  # unspaced
             .when(seg == "HOUSEHOLD", F.col("c_name"))
             .otherwise(F.concat(F.lit("- "), F.col("n_name"))))
     return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
@@ -56,17 +57,21 @@ g AS (SELECT CAST(r_regionkey AS BIGINT) * {BIG} * {BIG} AS ord, 1 AS level, r_n
 
 SQL_USERS = r"""
 u0 AS (SELECT c.c_custkey AS custom_id,
-         CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN n.n_name
-              WHEN 'BUILDING' THEN substr(r.r_name, 1, length(r.r_name) - 1) || 'x'
-              WHEN 'FURNITURE' THEN lower(replace(n.n_name, '_', ' ')) || 'a'
-              WHEN 'HOUSEHOLD' THEN c.c_name
+         CASE WHEN c.c_mktsegment = 'AUTOMOBILE' THEN n.n_name
+              WHEN c.c_mktsegment = 'BUILDING' THEN substr(r.r_name, 1, length(r.r_name) - 1) || 'x'
+              WHEN c.c_mktsegment = 'FURNITURE' THEN lower(replace(n.n_name, '_', ' ')) || 'a'
+              WHEN c.c_mktsegment = 'HOUSEHOLD' AND c.c_custkey % 2 = 0 THEN n.n_name || 'town'
+              WHEN c.c_mktsegment = 'HOUSEHOLD' THEN c.c_name
               ELSE '- ' || n.n_name END AS custom_cty,
          CASE WHEN c.c_acctbal > 5000 THEN 'OLD_' || r.r_name END AS custom_province
        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey),
-u AS (SELECT *, CASE WHEN custom_cty IS NULL THEN NULL
+u1 AS (SELECT *, CASE WHEN length(custom_cty) > 3 THEN (SELECT arg_max(g.name, length(g.name)) FROM g
+             WHERE starts_with(regexp_replace(u0.custom_cty, '^[\s,，、;；/-]+', ''), g.name)) END AS word FROM u0),
+u AS (SELECT custom_id, custom_cty, custom_province, CASE WHEN custom_cty IS NULL THEN NULL
+                     WHEN word IS NOT NULL THEN word
                      WHEN length(custom_cty) > 3 THEN list_filter(regexp_split_to_array(custom_cty, '[\s,，、;；/]+'),
                                                         lambda x: trim(x) NOT IN ('', '-'))[1]
-                     WHEN trim(custom_cty) NOT IN ('', '-') THEN custom_cty END AS q FROM u0)"""
+                     WHEN trim(custom_cty) NOT IN ('', '-') THEN custom_cty END AS q FROM u1)"""
 
 NORM = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -90,7 +95,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q, level ORDER BY score DES
 SELECT q, level, name, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 1""")
 def fuzzy_top1(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    u = users(t).select(FZ.first_token("custom_cty").alias("q")).filter(F.col("q").isNotNull())
+    u = FZ.dictionary_token(users(t), gazetteer(t), "custom_cty", out="q").select("q").filter(F.col("q").isNotNull())
     return FZ.top_matches(u, gazetteer(t).select("ord", "level", "name"), 1).select(
         "q", "level", "name", "score", "rank")
 
@@ -99,7 +104,7 @@ def fuzzy_top1(spark, sf_dir):
 SELECT q, level, name, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3""")
 def fuzzy_topn(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    u = users(t).select(FZ.first_token("custom_cty").alias("q")).filter(F.col("q").isNotNull())
+    u = FZ.dictionary_token(users(t), gazetteer(t), "custom_cty", out="q").select("q").filter(F.col("q").isNotNull())
     return FZ.top_matches(u, gazetteer(t).select("ord", "level", "name"), 3).select(
         "q", "level", "name", "score", "rank")
 

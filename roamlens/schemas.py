@@ -78,4 +78,5 @@ COMMENT_EVENT = _st(("event_id", S), ("poi_id", S), ("custom_id", S), ("comment_
 #   list form  [{province: [{city: [county, ...]}, ...]}, ...]
 #   map form   {province: {city: [county, ...]}}
 GAZETTEER_JSON_LIST = T.ArrayType(T.MapType(S, T.ArrayType(T.MapType(S, T.ArrayType(S)))))
+GAZETTEER_JSON_MAPS = T.ArrayType(T.MapType(S, T.MapType(S, T.ArrayType(S))))
 GAZETTEER_JSON_MAP = T.MapType(S, T.MapType(S, T.ArrayType(S)))

@@ -59,15 +59,28 @@ def read_gazetteer_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gazetteer_json(spark: SparkSession, path: str) -> DataFrame:
-    """Gazetteer JSON in the list or the map shape -> flat
-    (ord, level, name, province).  The file is parsed as text with both
-    declared schemas; whichever matches is flattened."""
+    """Gazetteer JSON -> flat (ord, level, name, province), in any of its shapes:
+    a list of ``{province: {city: [county]}}``, one such map, or a list of
+    ``{province: [{city: [county]}]}``.  The text is parsed with each declared schema;
+    the one that loses no entry is taken, and a file that fits none is an error."""
     raw = spark.read.text(path, wholetext=True)
-    as_list = raw.select(F.from_json("value", S.GAZETTEER_JSON_LIST).alias("value"))
-    if as_list.filter(F.col("value").isNotNull()).limit(1).count():
-        return flatten_gazetteer_list(as_list, "value")
-    as_map = raw.select(F.from_json("value", S.GAZETTEER_JSON_MAP).alias("value"))
-    return flatten_gazetteer_map(as_map, "value")
+    maps = raw.select(F.from_json("value", S.GAZETTEER_JSON_MAPS).alias("value"))
+    if _whole(maps.select(F.explode("value").alias("v")).select(F.explode("v"))):
+        one = F.map_from_entries(F.flatten(F.transform("value", lambda m: F.map_entries(m))))
+        return flatten_gazetteer_map(maps.select(one.alias("value")), "value")
+    one = raw.select(F.from_json("value", S.GAZETTEER_JSON_MAP).alias("value"))
+    if _whole(one.select(F.explode("value"))):
+        return flatten_gazetteer_map(one, "value")
+    lists = raw.select(F.from_json("value", S.GAZETTEER_JSON_LIST).alias("value"))
+    if _whole(lists.select(F.explode("value").alias("v")).select(F.explode("v"))):
+        return flatten_gazetteer_list(lists, "value")
+    raise ValueError(f"{path} has none of the known gazetteer shapes")
+
+
+def _whole(provinces: DataFrame) -> bool:
+    """Whether (key, value) rows exist and all values were parsed."""
+    r = provinces.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("lost")).first()
+    return r["n"] > 0 and r["lost"] == 0
 
 
 def read_labelled_tokens(spark: SparkSession, path: str) -> DataFrame:

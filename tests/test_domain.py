@@ -198,6 +198,26 @@ def test_resolve_users(spark):
     assert got == {"u1": "广西", "u2": "广西", "u3": "旧省", "u4": "旧省", "u5": "四川"}
 
 
+def test_resolve_unspaced_towns(spark):
+    gaz = spark.createDataFrame([(1, 1, "广西", "广西"), (2, 2, "桂林", "广西"), (3, 3, "阳朔", "广西"),
+                                 (10, 1, "四川", "四川"), (11, 2, "成都", "四川"), (12, 2, "成", "四川")],
+                                "ord long, level int, name string, province string")
+    towns = ["广西桂林市", "四川成都", "- 桂林阳朔县", "成都市区内", "桂林市", "海边的小镇", None, "-", ""]
+    users = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(towns)],
+                                  "custom_id string, custom_cty string, custom_province string")
+    got = {r.custom_id: (r.custom_province, r.match_name) for r in FZ.resolve_users(users, gaz).collect()}
+    assert [got[str(i)][0] for i in range(9)] == ["广西", "四川", "广西", "四川", "广西", None, None, None, None]
+    assert got["3"][1] == "成都"
+
+
+def test_scorer_is_a_parameter(spark):
+    from roamlens.functions.columns import partial_similarity
+    q = spark.createDataFrame([("广西桂林",), ("xyz",)], "q string")
+    ch = spark.createDataFrame([(1, 1, "桂林"), (2, 1, "南宁")], "ord long, level int, name string")
+    got = {(r.q, r.name): r.score for r in FZ.candidates(q, ch, threshold=60, scorer=partial_similarity).collect()}
+    assert got == {("广西桂林", "桂林"): 100}
+
+
 def test_stop_words_keep_order_and_duplicates(spark):
     d = spark.createDataFrame([(1, ["a", "the", "b", "a", "7"])], "doc_id long, words array<string>")
     r = TX.remove_stop_words(d, "words", ["the"], numeric=True).first()

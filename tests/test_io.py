@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from roamlens import schemas as S
@@ -50,8 +51,13 @@ def test_gazetteer_text_and_json(spark, tmp):
                                              '"四川": {"成都": ["武侯", "阳朔"]}}')
     lst = [{"广西": [{"南宁": ["青秀", "兴宁"]}, {"桂林": ["阳朔", "临桂"]}]}, {"四川": [{"成都": ["武侯", "阳朔"]}]}]
     _write(os.path.join(tmp, "g_list.json"), json.dumps(lst, ensure_ascii=False))
+    _write(os.path.join(tmp, "g_maps.json"), json.dumps(
+        [{"广西": {"南宁": ["青秀", "兴宁"], "桂林": ["阳朔", "临桂"]}}, {"四川": {"成都": ["武侯", "阳朔"]}}], ensure_ascii=False))
+    _write(os.path.join(tmp, "g_bad.json"), '{"a": 1}')
+    with pytest.raises(ValueError):
+        RD.read_gazetteer_json(spark, os.path.join(tmp, "g_bad.json"))
     from roamlens.operators.fuzzy import name_to_province
-    for f in ["g_map.json", "g_list.json"]:
+    for f in ["g_map.json", "g_list.json", "g_maps.json"]:
         flat = RD.read_gazetteer_json(spark, os.path.join(tmp, f))
         rows = flat.orderBy("ord").collect()
         assert [r.name for r in rows] == ["广西", "南宁", "青秀", "兴宁", "桂林", "阳朔", "临桂", "四川", "成都", "武侯", "阳朔"]
