@@ -8,9 +8,12 @@ two smallest and two largest values of four different permutations.
 
 1. equal sets become one class (named by its smallest id), so copies cost a row;
 2. classes that share a band fall into a bucket, whose members are checked on
-   their full sets against one leader, then against a second one;
+   their full sets against one leader (the smallest id, the same in many buckets),
+   then against a random one (another in each bucket);
 3. only members of a bucket that are still in different components and were not
-   checked yet are paired; no pair is formed inside a component;
+   checked yet are paired; no pair is formed inside a component.  A member's own
+   shingles, those that no other open member has, bound its similarity to any of
+   them, and a pair whose bound stays below the threshold is not formed either;
 4. components come from alternating large-star and small-star steps.
 
 A link at similarity 0.75 shares none of the 32 bands with probability
@@ -153,6 +156,26 @@ def check_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, "a long, b long, linked boolean")
 
 
+def own_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, own: how many shingles of each member no other member has.  A repeated id
+    counts its shingles again, which only loosens the bound."""
+    import pyarrow as pa
+
+    def batches(it):
+        for b in it:
+            for at, part in text_chunks(utf8(b.column(1))):
+                found = distinct_sets(part)
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rep", "h"])
+
+    texts = docs.join(members.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+    each = texts.mapInArrow(batches, "rep long, h array<long>").select("rep", F.explode("h").alias("h"))
+    single = each.groupBy("h").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """v, label: the smallest vertex reachable, for every vertex of an edge (u, v),
     by alternating large-star and small-star steps until all edges form stars."""
@@ -195,13 +218,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done: list[DataFrame] = []
     texts = src.filter("id IS NOT NULL")
     label = None
-    for turn in ("min", "max", "rest"):
+    for turn in ("min", "any", "rest"):
         flat = classes.select("rep", F.col("n_shingles").alias("n"), "bands")
         flat = (flat.withColumn("label", F.col("rep")) if label is None else
                 flat.join(label.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
         flat = flat.select("rep", "n", "label", F.explode("bands").alias("key"))
-        pick = F.min if turn == "min" else F.max
-        open_ = flat.groupBy("key").agg(pick(F.struct("rep", "n", "label")).alias("lead"), F.min("label").alias("l0"),
+        place = F.col("rep") if turn == "min" else F.xxhash64("key", "rep")
+        open_ = flat.groupBy("key").agg(F.min(F.struct(place.alias("place"), "rep", "n", "label")).alias("lead"), F.min("label").alias("l0"),
                                         F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"))
         open_ = open_.filter("l0 != l1")
         if turn != "rest":
@@ -210,8 +233,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:  # what no leader has settled: across components only
             open_ = open_.filter("members > 2").select("key")
             rest = materialise(flat.join(open_, "key"), "open-buckets")
-            other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"))
-            pairs = rest.join(other, "key").filter("label < label_b").select(F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
+            own = own_shingles(rest.select("rep").distinct(), texts)
+            rest = materialise(rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))), "open-members")
+            other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"),
+                                F.col("most").alias("most_b"))
+            # The intersection holds no own shingle of either side.
+            both = F.least("most", "most_b")
+            near = (F.col("label") < F.col("label_b")) & (100 * both >= PERCENT * (F.col("n") + F.col("nb") - both))
+            pairs = rest.join(other, (rest["key"] == other["key"]) & near).select(
+                F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
         pairs = pairs.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
         pairs = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
         if done:
