@@ -28,12 +28,12 @@ NEIGHBOURS = 20
 #: segment that must be candidates before its windows stop growing.
 DIRECTIONS = 64
 THRESHOLD = 0.56
-CANDIDATES = 0.4
+CANDIDATES = 0.35
 #: First half-width of a window, against the spread of the projections, and its growth.
-WIDTH, GROWTH = 0.7, 1.1
+WIDTH, GROWTH = 0.85, 1.1
 SEED = 4021
-#: Rows of a segment and of a query block: table / 8 within these bounds.
-SEGMENT_ROWS, BLOCK_ROWS = (2_048, 65_536), (256, 16_384)
+#: Rows of a segment and of a query block: a share of the table within these bounds.
+SEGMENT_ROWS, BLOCK_ROWS, SHARES = (4_096, 65_536), (128, 16_384), (4, 12)
 
 
 def usable(vector: Column) -> Column:
@@ -69,7 +69,7 @@ class Segment:
         lift = np.sqrt(np.maximum(top * top - norm2, 0.0))
         self.axes, self.k, self.top = axes, k, top
         place = np.concatenate((self.vectors, lift[:, None]), 1) @ axes.T
-        self.order = np.argsort(place, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(place, axis=0, kind="stable").T.astype(np.intp).copy()
         self.unit = float(np.sqrt((place ** 2).mean())) or 1.0
         # All sorted arrays in one, each moved above the one before.
         step = 4 * np.abs(place).max() + 8 * self.unit
@@ -101,11 +101,12 @@ class Segment:
     def search(self, query: np.ndarray, threshold: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k + 1 best verified rows, best first."""
         found = self.candidates(query, threshold, max(self.k + 1, int(np.ceil(share * len(self.vectors)))))
+        close = self.vectors[found] @ query
+        if len(found) > self.k + 1:  # those that rounding may still put among the best
+            slack = 1e-9 * self.top * float(np.sqrt((query ** 2).sum()))
+            found = found[close >= np.partition(close, -self.k - 1)[-self.k - 1] - slack]
+        # Row by row in one order of summation: equal vectors get equal products everywhere.
         score = (self.vectors[found] * query).sum(1)
-        if len(found) > self.k + 1:
-            cut = np.partition(score, -self.k - 1)[-self.k - 1]
-            keep = score >= cut
-            found, score = found[keep], score[keep]
         ids = np.concatenate([self.ids[e] for e in found])
         score = np.repeat(score, [len(self.ids[e]) for e in found])
         best = np.lexsort((ids, -score))[:self.k + 1]
@@ -156,8 +157,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_col: s
         return vectors.sparkSession.createDataFrame([], empty)
     size, top = dim["dim"], float(dim["top"])
     axes = directions(size + 1, min(m, 4 * (size + 1)))
-    deal = lambda n, bounds: max(1, -(-n // min(max(n // 8, bounds[0]), bounds[1])))
-    segments, blocks = deal(dim["n"], SEGMENT_ROWS), deal(dim["nq"], BLOCK_ROWS)
+    deal = lambda n, bounds, share: max(1, -(-n // min(max(n // share, bounds[0]), bounds[1])))
+    segments, blocks = deal(dim["n"], SEGMENT_ROWS, SHARES[0]), deal(dim["nq"], BLOCK_ROWS, SHARES[1])
     rows = rows.filter(F.col("dim") == size)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     data = rows.select("id", "v", F.pmod(F.xxhash64("id", "norm"), F.lit(segments)).alias("segment"), every(blocks).alias("block"))
