@@ -28,7 +28,7 @@ NEIGHBOURS = 20
 #: segment that must be candidates before its windows stop growing.
 DIRECTIONS = 64
 THRESHOLD = 0.56
-CANDIDATES = 0.35
+CANDIDATES = 0.4
 #: First half-width of a window, against the spread of the projections, and its growth.
 WIDTH, GROWTH = 0.85, 1.1
 SEED = 4021
