@@ -7,25 +7,18 @@ rows costs one pre-aggregated row per task, not one task for the key."""
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Default upsert keys per record type; the reference keyed
-# comments by text alone and areas by mddid alone (Q2) — available as
-# ``REFERENCE_KEYS``.
+# Upsert keys per record type (comments by all that tells them apart, Q2).
 DEFAULT_KEYS = {
     "poi": ["poi_id"],
     "comment": ["poi_id", "custom_id", "comment_time", "comment_text"],
     "hotel_area": ["mddid", "name"],
     "user": ["custom_id"],
 }
-REFERENCE_KEYS = {
-    "poi": ["poi_id"],
-    "comment": ["comment_text"],
-    "hotel_area": ["mddid"],
-    "user": ["custom_id"],
-}
 
 
 def latest_by_key(df: DataFrame, keys, order_cols) -> DataFrame:
@@ -45,29 +38,42 @@ def upsert(existing: DataFrame, updates: DataFrame, keys, seq: str = "ingest_seq
 
 def upsert_to_path(spark, updates: DataFrame, path: str, keys, seq: str = "ingest_seq",
                    version: int | None = None) -> str:
-    """S16 on storage without a MERGE-capable catalog: read the newest
-    version under ``path``, upsert, write the next version directory and
-    return it.  Readers always see a complete version; a failed write leaves
-    the previous version current (idempotent by version number).  A version
-    counts only once its ``_SUCCESS`` marker exists, so a write that died
-    half-way is simply redone on replay."""
-    versions = _committed(spark, path)
-    cur = versions[-1] if versions else None
-    nxt = version if version is not None else (0 if cur is None else cur + 1)
+    """S16 on storage without a MERGE-capable catalog: the batch's latest row per
+    key is written as the delta ``v=<version>``; the table itself is not read or
+    rewritten.  A delta counts once its ``_SUCCESS`` marker exists, so a write that
+    died half-way is redone on replay and a replayed batch is a no-op."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    done = _committed(spark, path, "v")
+    nxt = version if version is not None else max([-1, *done, *_committed(spark, path, "base")]) + 1
     target = os.path.join(path, f"v={nxt}")
-    if cur is not None and cur >= nxt:
-        return os.path.join(path, f"v={cur}")  # this version already committed
-    base = spark.read.parquet(os.path.join(path, f"v={cur}")) if cur is not None else None
-    out = updates if base is None else upsert(base, updates, keys, seq)
-    if base is None:
-        out = latest_by_key(updates, keys, [seq])
-    out.write.mode("overwrite").parquet(target)
+    if nxt not in done:
+        if not _committed(spark, path, "meta"):
+            spark.createDataFrame([(keys, seq)], "keys array<string>, seq string").coalesce(1).write.mode(
+                "overwrite").parquet(os.path.join(path, "meta=0"))
+        latest_by_key(updates, keys, [seq]).write.mode("overwrite").parquet(target)
     return target
 
 
 def current_version(spark, path: str) -> DataFrame:
-    versions = _committed(spark, path)
-    return spark.read.parquet(os.path.join(path, f"v={versions[-1]}"))
+    """The table: the last compacted base and the deltas after it, merged on read
+    (greatest sequence per key, ties to the later batch)."""
+    meta = spark.read.parquet(os.path.join(path, "meta=0")).first()
+    base = _committed(spark, path, "base")[-1:]
+    deltas = [v for v in _committed(spark, path, "v") if not base or v > base[0]]
+    parts = [("base", b) for b in base] + [("v", v) for v in deltas]
+    frames = [spark.read.parquet(os.path.join(path, f"{kind}={n}")).withColumn("__v", F.lit(n)) for kind, n in parts]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return latest_by_key(rows, list(meta["keys"]), [meta["seq"], "__v"]).drop("__v")
+
+
+def compact(spark, path: str) -> str:
+    """Merge all deltas so far into one base, separately from the upserts; readers go
+    on with the old files until the base is committed."""
+    last = max([*_committed(spark, path, "v"), *_committed(spark, path, "base")])
+    target = os.path.join(path, f"base={last}")
+    if last not in _committed(spark, path, "base"):
+        current_version(spark, path).write.mode("overwrite").parquet(target)
+    return target
 
 
 def _fs(spark, path: str):
@@ -76,8 +82,8 @@ def _fs(spark, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _committed(spark, path: str) -> list[int]:
-    """Version numbers under ``path`` whose write job committed (``_SUCCESS``)."""
+def _committed(spark, path: str, kind: str) -> list[int]:
+    """Numbers ``n`` of the folders ``kind=n`` whose write job committed (``_SUCCESS``)."""
     p, fs = _fs(spark, path)
     if not fs.exists(p):
         return []
@@ -85,6 +91,6 @@ def _committed(spark, path: str) -> list[int]:
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if name.startswith(f"{kind}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             out.append(int(name.split("=")[1]))
     return sorted(out)

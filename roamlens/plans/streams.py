@@ -26,7 +26,12 @@ WHERE rn = 1""")
 def stream_upsert(spark, sf_dir):
     run = ST.new_run_dir(spark, "stream_upsert")
     table = os.path.join(run, "table")
-    s = _events_stream(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "value")
+    # the table dealt into files that arrive one by one: several micro-batches
+    arriving = os.path.join(run, "events")
+    static = spark.read.schema(TABLES["events"]).parquet(os.path.join(sf_dir, "events.parquet"))
+    static.repartition(4, "event_id").write.parquet(arriving)
+    s = ST.file_stream(spark, arriving, TABLES["events"], max_files_per_trigger=1)
+    s = s.withColumn("ts", F.col("ts").cast("timestamp")).select("user_id", "event_id", "ts", "event_type", "value")
     ST.run_available_now(ST.upsert_sink(s, table, ["user_id"], ["ts", "event_id"], os.path.join(run, "ckpt")))
     out = current_version(spark, table)
     return out.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
@@ -48,14 +53,13 @@ def stream_dedup(spark, sf_dir):
 @register("stream_daily_stats", ids="R1 A3 A5", sql="""
 WITH b AS (SELECT date_trunc('day', ts) AS ws, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1)
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
-       strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, n, mean_value
-FROM b WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+       strftime(ws + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, n, mean_value FROM b""")
 def stream_daily_stats(spark, sf_dir):
     run = ST.new_run_dir(spark, "stream_daily")
     d = ST.daily_stats(_events_stream(spark, sf_dir), "ts", "value", "1 hour")
     out = os.path.join(run, "out")
-    ST.run_available_now(ST.append_sink(d, out, os.path.join(run, "ckpt")))
-    return spark.read.parquet(out)
+    ST.run_available_now(ST.update_sink(d, out, ["window_start"], os.path.join(run, "ckpt")))
+    return current_version(spark, out).select("window_start", "window_end", "n", "mean_value")
 
 
 COMMENT_EVENT_JSON = ("event_id string, poi_id string, custom_id string, comment_text string, "

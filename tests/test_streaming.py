@@ -41,6 +41,23 @@ def test_comment_stream_upsert_and_dedup(spark, tmp):
     assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == ["e1", "e2", "e3", "e4"]
 
 
+def test_upsert_writes_follow_the_batch(spark, tmp):
+    from roamlens.operators.upsert import compact, upsert_to_path
+    size = lambda d: sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d) if f.endswith(".parquet"))
+    big = spark.range(20000).select(F.col("id").cast("string").alias("k"), F.lit("a").alias("v"), F.lit(1).alias("ingest_seq"))
+    one = spark.createDataFrame([("7", "b", 2)], "k string, v string, ingest_seq int")
+    first = upsert_to_path(spark, big, tmp, ["k"], version=1)
+    second = upsert_to_path(spark, one, tmp, ["k"], version=2)
+    assert size(second) < size(first) / 20
+    upsert_to_path(spark, one.withColumn("v", F.lit("replayed")), tmp, ["k"], version=2)
+    for _ in range(2):
+        t = current_version(spark, tmp)
+        assert t.count() == 20000 and t.filter("k = '7'").first().v == "b"
+        compact(spark, tmp)
+    upsert_to_path(spark, one.withColumn("ingest_seq", F.lit(2)).withColumn("v", F.lit("c")), tmp, ["k"], version=3)
+    assert current_version(spark, tmp).filter("k = '7'").first().v == "c"
+
+
 def test_restart_resumes(spark, tmp):
     src = os.path.join(tmp, "in")
     _emit(src, "b1.json", [ev("e1", "p1", "u1", "a", "2018-07-01 10:00:00", 5)])
