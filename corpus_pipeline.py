@@ -45,11 +45,13 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as rows: a document once for each repeat that the mix takes, cut at the
     budget's end where the last repeat is partial."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    rows = mixing.copies(mixing.mix(docs, keep=keep))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select("doc_id", "text", "source", F.struct(*rest).alias("__rest"))  # no name can clash
+    rows = mixing.copies(mixing.mix(whole, keep=("text", "__rest")))
+    out = {c: F.col(f"__rest.{c}") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast("long")
+    return rows.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
