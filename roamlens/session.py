@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,24 @@ def get_session(master: str | None = None, app: str = "roamlens",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once for each context), so
+    Arrow functions import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_roamlens_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="roamlens-py-"), "roamlens.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("roamlens", os.path.relpath(path, top)))
+    sc.addPyFile(archive)
+    sc._roamlens_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 

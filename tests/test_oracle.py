@@ -6,10 +6,10 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from roamlens import plans
 from roamlens.plans.compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"classifier_grid", "dimension_sweep", "w2v_vectors", "linear_svc_eval", "rbf_svc_eval"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
@@ -28,19 +28,13 @@ def test_contract(spark):
     assert df.count() >= 0
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(plans.oracle_sql()))
 def test_oracle(spark, con, key):
     r = compare(E.queries()[key](spark, SF), con, E.oracle_sql()[key])
     assert r["columns_match"], r
     assert r["match"], r
 
 
-@pytest.mark.parametrize("key", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("key", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_rows_only(spark, key):
     assert E.queries()[key](spark, SF).count() > 0
-
-
-@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="set RUN_SLOW=1")
-@pytest.mark.parametrize("key", sorted(SLOW))
-def test_rows_only_slow(spark, key):
-    assert E.queries()[key](spark, SF).count() > 0
