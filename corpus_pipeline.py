@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from roamlens.llm import minhash, mixing, ordinal_quality, piece_trie, pseudonyms
 from roamlens.llm.common import load, materialise
 from roamlens.llm.queries import TOKENIZERS
+from roamlens.session import ship_package
 
 #: Columns between the model and its filter.
 QUALITY = ("__expected_grade", "__p_good", "__kept")
@@ -60,13 +61,21 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
 
 
-STAGES = [
+def _with_package(stage):
+    """The stage, run with the package on the executors."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+    run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
+    return run_stage
+
+
+STAGES = [(name, _with_package(stage)) for name, stage in (
     ("quality", select_quality),
     ("near_duplicates", drop_near_duplicates),
     ("pseudonyms", pseudonymise),
     ("mix", mix_sources),
-    ("pieces", encode_pieces),
-]
+    ("pieces", encode_pieces))]
 
 #: Hashed-text regression, MinHash and sub-word pieces have no SQL form: the stages
 #: are tested against brute-force versions instead.
