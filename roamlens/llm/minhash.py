@@ -8,13 +8,16 @@ two smallest and two largest values of four different permutations.
 
 1. equal sets become one class (named by its smallest id), so copies cost a row;
 2. classes that share a band fall into a bucket, whose members are checked on
-   their full sets against one leader (the smallest id, the same in many buckets),
-   then against a random one (another in each bucket);
-3. only members of a bucket that are still in different components and were not
-   checked yet are paired; no pair is formed inside a component.  A member's own
-   shingles, those that no other open member has, bound its similarity to any of
-   them, and a pair whose bound stays below the threshold is not formed either;
-4. components come from alternating large-star and small-star steps.
+   their full sets against two leaders: the smallest id (the same in many buckets)
+   and a random one (another in each bucket);
+3. buckets that still hold several components are checked against a third leader,
+   the member with the smallest share of own shingles (those that no other open
+   member has), which stands nearest to the middle of a family of copies;
+4. only members of a bucket that are still in different components and were not
+   checked yet are paired; no pair is formed inside a component.  Own shingles bound
+   the similarity to any other open member, and a pair whose bound stays below the
+   threshold is not formed either;
+5. components come from alternating large-star and small-star steps.
 
 A link at similarity 0.75 shares none of the 32 bands with probability
 ``(1 - 0.75**4) ** 32 < 6e-6``.  Sizes that rule a link out are never compared.
@@ -215,50 +218,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ties = named.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).filter("x != y")
     ties = named.join(ties.select("id"), "id").join(classes.select("h1", "h2", "n_shingles", "rep"), ["h1", "h2", "n_shingles"])
     edges = [materialise(ties.select(F.col("id").alias("u"), F.col("rep").alias("v")), "id-ties")]
-    done: list[DataFrame] = []
     texts = src.filter("id IS NOT NULL")
-    label = None
-    for turn in ("min", "any", "rest"):
-        flat = classes.select("rep", F.col("n_shingles").alias("n"), "bands")
-        flat = (flat.withColumn("label", F.col("rep")) if label is None else
-                flat.join(label.withColumnRenamed("v", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-        flat = flat.select("rep", "n", "label", F.explode("bands").alias("key"))
-        place = F.col("rep") if turn == "min" else F.xxhash64("key", "rep")
-        open_ = flat.groupBy("key").agg(F.min(F.struct(place.alias("place"), "rep", "n", "label")).alias("lead"), F.min("label").alias("l0"),
-                                        F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"))
-        open_ = open_.filter("l0 != l1")
-        if turn != "rest":
-            pairs = flat.join(open_.select("key", "lead"), "key").filter("label != lead.label")
-            pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"))
-        else:  # what no leader has settled: across components only
-            open_ = open_.filter("members > 2").select("key")
-            rest = materialise(flat.join(open_, "key"), "open-buckets")
-            own = own_shingles(rest.select("rep").distinct(), texts)
-            rest = materialise(rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))), "open-members")
-            other = rest.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("label_b"),
-                                F.col("most").alias("most_b"))
-            # The intersection holds no own shingle of either side.
-            both = F.least("most", "most_b")
-            near = (F.col("label") < F.col("label_b")) & (100 * both >= PERCENT * (F.col("n") + F.col("nb") - both))
-            pairs = rest.join(other, (rest["key"] == other["key"]) & near).select(
-                F.col("rep").alias("a"), "b", F.col("n").alias("na"), "nb")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """Each pair once, smaller id first, without those whose sizes rule a link out."""
         pairs = pairs.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        pairs = pairs.select(F.col("a").alias("p"), F.col("b").alias("q")).distinct()
-        if done:
-            old = reduce(DataFrame.union, done)
-            old = old.select(F.col("a").alias("p"), F.col("b").alias("q")).union(old.select(F.col("b").alias("p"), F.col("a").alias("q")))
-            pairs = pairs.join(old, ["p", "q"], "left_anti")
-        pairs = materialise(pairs.select(F.col("p").alias("a"), F.col("q").alias("b")), "candidate-pairs")
-        if pairs.isEmpty():
-            if turn == "min":
-                break
-            continue
-        checked = materialise(check_pairs(pairs, texts), "checked-pairs")
-        done.append(checked.select("a", "b"))
-        edges.append(checked.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+
+    def settle(pairs: DataFrame) -> DataFrame:
+        found = materialise(check_pairs(materialise(pairs, "candidate-pairs"), texts), "checked-pairs")
+        edges.append(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return found.select("a", "b")
+
+    # All members against two leaders of their bucket.
+    done = None
+    flat = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    some = F.struct(F.xxhash64("key", "rep").alias("place"), "rep", "n")
+    leads = flat.groupBy("key").agg(F.min(F.struct(F.col("rep").alias("place"), "rep", "n")).alias("x"), F.min(some).alias("y"),
+                                    F.count(F.lit(1)).alias("members")).filter("members > 1")
+    pairs = flat.join(leads, "key").withColumn("lead", F.explode(F.array("x", "y"))).filter("rep != lead.rep")
+    done = settle(checked(pairs.select(F.col("lead.rep").alias("p"), F.col("rep").alias("q"), F.col("lead.n").alias("na"),
+                                       F.col("n").alias("nb"))))
+    label = materialise(components(reduce(DataFrame.union, edges)), "labels")
+    # What no leader has settled: buckets of several components, across components only.
+    flat = classes.select("rep", F.col("n_shingles").alias("n"), "bands").join(label.withColumnRenamed("v", "rep"), "rep", "left")
+    flat = flat.select("rep", "n", F.coalesce("label", "rep").alias("label"), F.explode("bands").alias("key"))
+    open_ = flat.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"))
+    rest = materialise(flat.join(open_.filter("l0 != l1 AND members > 2").select("key"), "key"), "open-buckets")
+    if not rest.isEmpty():
+        own = own_shingles(rest.select("rep").distinct(), texts)
+        rest = materialise(rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))), "open-members")
+        # First against a third leader, the member with the smallest share of own shingles.
+        central = rest.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("place"), "rep", "n", "label")).alias("lead"))
+        pairs = rest.join(central, "key").filter("label != lead.label")
+        done = done.union(settle(checked(pairs.select(F.col("lead.rep").alias("p"), F.col("rep").alias("q"),
+                                                      F.col("lead.n").alias("na"), F.col("n").alias("nb")))))
         label = materialise(components(reduce(DataFrame.union, edges)), "labels")
-    if label is None:
-        label = components(edges[0])
+        rest = rest.drop("label").join(label.withColumnRenamed("v", "rep"), "rep", "left")
+        rest = materialise(rest.withColumn("label", F.coalesce("label", "rep")), "open-members")
+        other = rest.select("key", F.col("rep").alias("q"), F.col("n").alias("nb"), F.col("label").alias("label_b"),
+                            F.col("most").alias("most_b"))
+        # The intersection holds no own shingle of either side.
+        both = F.least("most", "most_b")
+        near = (F.col("label") < F.col("label_b")) & (100 * both >= PERCENT * (F.col("n") + F.col("nb") - both))
+        pairs = rest.join(other, (rest["key"] == other["key"]) & near)
+        settle(checked(pairs.select(F.col("rep").alias("p"), "q", F.col("n").alias("na"), "nb")))
+        label = components(reduce(DataFrame.union, edges))
     home = classes.select("h1", "h2", F.col("n_shingles").alias("n"), "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left")
     home = home.select("h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
     out = sets.select("id", "n_shingles", "h1", "h2").join(
