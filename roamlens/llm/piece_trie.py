@@ -28,9 +28,11 @@ from roamlens.llm.common import Kept, text_chunks
 
 MARK = "▁"
 #: Texts whose units are sorted and walked together (bytes).
-TRIE_BYTES = 1_000_000
-#: Units and pairs of pieces kept by a worker.
-MOST_KEPT = 300_000
+TRIE_BYTES = 6_000_000
+#: Units (in each of two generations) and pairs of pieces kept by a worker.
+MOST_KEPT, MOST_PAIRS = 150_000, 400_000
+#: Ids decoded together.
+RUN_IDS = 1 << 18
 
 
 class Pieces:
@@ -40,18 +42,23 @@ class Pieces:
                  bpe: bool, add_prefix: bool = True):
         self.scores, self.ids, self.byte_ids, self.unk_id = scores, ids, byte_ids, unk_id
         self.bpe, self.add_prefix = bpe, add_prefix
-        #: Lengths of the longer pieces by their last two characters, longest first.
-        ends: dict[str, set[int]] = {}
+        #: The pieces read backwards as a trie: a node's piece is at the empty key.
+        self.ends: dict = {}
         for s in scores:
-            if len(s) > 1:
-                ends.setdefault(s[-2:], set()).add(len(s))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+            node = self.ends
+            for c in reversed(s):
+                node = node.setdefault(c, {})
+            node[""] = s
         self.kept = Kept(MOST_KEPT)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.unit = self._units()
-        names = {i: p.replace(MARK, " ").encode() for p, i in ids.items()}
-        names |= {i: bytes([b]) for b, i in enumerate(byte_ids or [])}
-        self.names = names
+        #: The bytes of each id.
+        self.names = [b""] * (max([unk_id, *ids.values(), *(byte_ids or [])]) + 1)
+        for p, i in ids.items():
+            self.names[i] = p.replace(MARK, " ").encode()
+        for b, i in enumerate(byte_ids or []):
+            self.names[i] = bytes([b])
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -104,38 +111,44 @@ class Pieces:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def stable(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        found = self.pairs.get(key)
+        after = self.pairs.get(before)
+        if after is None:
+            after = self.pairs[before] = {}
+        found = after.get(piece)
         if found is None:
-            if len(self.pairs) > 4 * MOST_KEPT:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
+            if self.n_pairs > MOST_PAIRS:
+                self.pairs, self.n_pairs, after = {}, 0, {}
+                self.pairs[before] = after
+            found = after[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
+            self.n_pairs += 1
         return found
 
     # --- the forward pass
 
     def _extend(self, s: str, i: int, last: list[str], score: list[float]) -> None:
         """The state of the prefix that ends with character ``i`` of ``s``."""
-        scores, best, value = self.scores, s[i], None
-        for k in self.lengths.get(s[i - 1:i + 1], ()) if i else ():
-            if k > i + 1:
-                continue
-            piece = s[i + 1 - k:i + 1]
-            known = scores.get(piece)
-            if known is None:
-                continue
-            before = last[i - k] if i >= k else ""
-            if not self.bpe:
-                x = known + (score[i - k] if i >= k else 0.0)
-                if value is None or x > value:
-                    best, value = piece, x
-            elif self.stable(before if before in scores else "", piece):
-                best, value = piece, 0.0
-                break
-        if value is None or not self.bpe:  # one character alone, with a piece or not
-            x = scores.get(s[i], -1e9) + (score[i - 1] if i else 0.0)
-            if value is None or x > value:
-                best, value = s[i], x
+        node, at, found = self.ends, i, []
+        while at >= 0 and (node := node.get(s[at])) is not None:  # pieces that end here, short to long
+            at -= 1
+            if "" in node:
+                found.append(node[""])
+        if self.bpe:
+            for piece in reversed(found):
+                k = len(piece)
+                if k == 1:
+                    break
+                before = last[i - k] if i >= k else ""
+                if self.stable(before if before in self.scores else "", piece):
+                    last.append(piece)
+                    return
+            last.append(s[i])  # a character alone, with a piece or not
+            return
+        best, value = s[i], self.scores.get(s[i], -1e9) + (score[i - 1] if i else 0.0)
+        for piece in found:
+            k = len(piece)
+            x = self.scores[piece] + (score[i - k] if i >= k else 0.0)
+            if x > value:
+                best, value = piece, x
         last.append(best)
         score.append(value)
 
@@ -222,7 +235,17 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
     def batches(it):
         vocabulary = pieces(model)
         for b in it:
-            texts = [vocabulary.decode(x) if x else "" for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
+            lists = b.column(place)
+            starts, flat = lists.offsets.to_numpy(), lists.values
+            whole, at = lists.is_valid().to_numpy(zero_copy_only=False), 0
+            while at < len(lists):  # a run of rows, not the whole batch as Python numbers
+                to = max(at + 1, int(np.searchsorted(starts, starts[at] + RUN_IDS, "right")) - 1)
+                to = min(to, len(lists))
+                ids = flat.slice(starts[at], starts[to] - starts[at]).to_pylist()
+                cut = (starts[at:to + 1] - starts[at]).tolist()
+                texts = [vocabulary.decode(ids[x:y]) if ok else "" for x, y, ok in zip(cut[:-1], cut[1:], whole[at:to])]
+                yield pa.RecordBatch.from_arrays([*b.slice(at, to - at).columns, pa.array(texts, pa.string())],
+                                                 [*b.schema.names, text_col])
+                at = to
 
     return src.mapInArrow(batches, T.StructType([*src.schema.fields, T.StructField(text_col, T.StringType())]))
