@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roamlens.llm import minhash, mixing, ordinal_quality, piece_trie, pseudonyms
-from roamlens.llm.common import load, materialise
+from roamlens.llm.common import load, materialise, prepare
 from roamlens.llm.queries import TOKENIZERS
-from roamlens.session import ship_package
 
 #: Columns between the model and its filter.
 QUALITY = ("__expected_grade", "__p_good", "__kept")
@@ -64,7 +63,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def _with_package(stage):
     """The stage, run with the package on the executors."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return stage(spark, docs, sf_dir)
     run_stage.__name__, run_stage.__doc__ = stage.__name__, stage.__doc__
     return run_stage

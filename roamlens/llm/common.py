@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from roamlens.session import ship_package
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``, as a lookup by byte.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -20,8 +22,16 @@ _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 
 
+def prepare(spark: SparkSession) -> None:
+    """What every operator needs of the session: the package on the executors, and
+    Arrow batches of few rows, as rows hold whole texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read by Spark alone (any store that Spark can read)."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -119,7 +129,7 @@ class Words:
         return len(self.start)
 
 
-def text_chunks(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def text_chunks(texts: list[bytes], most: int = 600_000) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of whole texts of about ``most`` bytes (a longer text comes alone)."""
     at, size = 0, 0
     for i, t in enumerate(texts):

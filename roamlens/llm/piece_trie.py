@@ -28,7 +28,7 @@ from roamlens.llm.common import Kept, text_chunks
 
 MARK = "▁"
 #: Texts whose units are sorted and walked together (bytes).
-TRIE_BYTES = 6_000_000
+TRIE_BYTES = 2_000_000
 #: Units (in each of two generations) and pairs of pieces kept by a worker.
 MOST_KEPT, MOST_PAIRS = 150_000, 400_000
 #: Ids decoded together.
