@@ -4,7 +4,9 @@ A validated value is read as a number of its format's domain, permuted there by
 keyed Feistel network (cycle-walking back into the domain) and written in the same
 format: a card number stays a card number, a date a date of the same style.  The
 permutation depends on the key and the kind alone, so equal values stay equal in
-all documents and, with the key, values can be told back.
+all documents and, with the key, values can be told back.  Only where a new value
+and the digits or letters right beside it would be read as another value does it
+walk on, so that the text can still be told back.
 
 Kinds: dates; card numbers (Luhn; others of that length stay), IBANs (mod 97),
 social security and telephone numbers, IPv4 addresses, e-mail names, and secrets
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -228,24 +230,118 @@ def _combined() -> re.Pattern:
 
 _PATTERN = _combined()
 _MAKE = {name: make for name, _, make in RULES}
+_ONE = {name: re.compile(pattern) for name, pattern, _ in RULES}
+#: Kinds of several groups: a rejected candidate may hold a value that ends at an earlier gap.
+_GROUPED = {"iban": " ", "card": " -", "phone": " .-"}
+#: Characters beside a value that a candidate across its border can reach.
+REACH = 64
+
+
+class _Still(Feistel):
+    """Moves nothing: the checks of the formats alone."""
+
+    def permute(self, kind: str, x: int, n: int, ok: Callable[[int], bool] | None = None, back: bool = False) -> int:
+        return x
+
+
+_STILL = _Still(b"")
+
+
+def _valid(name: str, value: str) -> bool:
+    return name in ("secret", "email", "hex") or _MAKE[name](_STILL, value) is not None
+
+
+def _candidates(text: str, m: re.Match) -> Iterator[tuple[str, int, int]]:
+    """All values that may begin where ``m`` does: kinds in the order of the rules, the
+    longest of each first."""
+    names, start = list(_MAKE), m.start()
+    name = m.lastgroup if m.lastgroup in _MAKE else next(n for n in names if m[n] is not None)
+    yield name, *m.span("secret_value" if name == "secret" else name)
+    for other in names[names.index(name):]:
+        if found := _ONE[other].match(text, start):
+            if other != name:
+                yield other, *found.span("secret_value" if other == "secret" else 0)
+            for end in range(found.end() - 1, start, -1) if other in _GROUPED else ():
+                if text[end] in _GROUPED[other] and _ONE[other].fullmatch(text, start, end):
+                    yield other, start, end
+
+
+def _values(text: str, at: int = 0) -> Iterator[tuple[str, int, int]]:
+    """(rule, start, end) of each value from ``at`` on.  Where all candidates of a place
+    fail their check, the search goes on one place further."""
+    while m := _PATTERN.search(text, at):
+        at = m.start() + 1
+        for name, a, b in _candidates(text, m):
+            if _valid(name, text[a:b]):
+                yield name, a, b
+                at = b
+                break
+
+
+def _moved(f: Feistel, name: str, value: str, left: list[str], right: list[str], back: bool) -> tuple[str, str]:
+    """Kind and image of a value between ``left`` and ``right`` (texts and values in
+    turn), walking on while the new text would be read in another way: a group of
+    digits beside it may make a card with a part of the new value."""
+    size, i, j = 0, len(left), 0
+    while i and size < REACH:
+        i -= 1
+        size += len(left[i])
+    before = "".join(left[max(0, i - 2):i])[-2:]
+    at = len(before)
+    if i % 2 == 0 and size > REACH:  # a text may be cut, a value not
+        rest = REACH - size + len(left[i])
+        before = (before + left[i])[-2 - rest:]
+        at = len(before) - rest
+        before += "".join(left[i + 1:])
+    else:
+        before += "".join(left[i:])
+    after, size = [], 0
+    while j < len(right) and size < REACH:
+        after.append(right[j] if j % 2 else right[j][:REACH])
+        size += len(after[-1])
+        j += 1
+    after, a = "".join(after), len(before)
+
+    def read(v: str) -> list[tuple[str, int, int]]:
+        found = []
+        for rule, x, y in _values(before + v + after, at):
+            x, y = (p if p <= a else max(a, p - len(v)) for p in (x, y))
+            if x > a + 2:
+                break
+            found.append((rule, x, y))
+        return found
+
+    want, first = read(value), None
+    new = value
+    for _ in range(1000):  # without end for an IBAN whose check digits no bank gives
+        kind, new = _MAKE[name](f, new, back)
+        first = first or new
+        if read(new) == want:
+            return kind, new
+    return kind, first
 
 
 def pseudonymise(f: Feistel, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with all values replaced, and (kind, start, length) of each in it."""
-    out, spans, at, size = [], [], 0, 0
-    for m in _PATTERN.finditer(text):
-        name = m.lastgroup if m.lastgroup in _MAKE else next(n for n in _MAKE if m[n] is not None)
-        a, b = m.span("secret_value") if name == "secret" else m.span(name)
-        made = _MAKE[name](f, text[a:b], back)
-        if made is None:
-            continue
-        kind, new = made
-        out += (text[at:a], new)
-        size += a - at
-        spans.append((kind, size, len(new)))
-        size, at = size + len(new), b
-    out.append(text[at:])
-    return "".join(out), spans
+    parts, names, at = [], [], 0
+    for name, a, b in _values(text):
+        parts += (text[at:a], text[a:b])
+        names.append(name)
+        at = b
+    parts.append(text[at:])
+    # Each value is moved between new ones on its left and old ones on its right; back, the last comes first.
+    kinds = [""] * len(names)
+    for i in reversed(range(len(names))) if back else range(len(names)):
+        k = 2 * i + 1
+        near = max(0, k - 2 * REACH), k + 2 * REACH
+        near = near[0] + near[0] % 2, near[1]
+        kinds[i], parts[k] = _moved(f, names[i], parts[k], parts[near[0]:k], parts[k + 1:near[1]], back)
+    spans, size = [], 0
+    for i, part in enumerate(parts):
+        if i % 2:
+            spans.append((kinds[i // 2], size, len(part)))
+        size += len(part)
+    return "".join(parts), spans
 
 
 def pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text", spans_col: str | None = "spans",

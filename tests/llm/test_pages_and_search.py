@@ -169,6 +169,29 @@ def test_dates_back(d):
         assert N.pseudonymise(F1, N.pseudonymise(F1, v)[0], back=True)[0] == v
 
 
+def test_value_behind_a_rejected_candidate():
+    card = "4111 1111 1111 1111"
+    made = N.pseudonymise(F1, card)[0]
+    for text in (f"exp 2027 {card}", f"AB12 {card}", f"GB84 WEST 1234 {card} or", f"2027-05 {card}", f"{card} 2027", f"1999 2027 {card} 2028",
+                 "pay BE68 5390 0754 7034 NOW", "12345 +49 3000 1234 5678 9012 3456", "2021-02-30 078-05-1120"):
+        new, spans = N.pseudonymise(F1, text)
+        assert len(spans) == 1 and (card not in text or (spans[0][0] == "card" and card not in new)), text
+        assert N.pseudonymise(F1, new, back=True)[0] == text
+    for v in VALUES:  # planted after a group of four digits and before one
+        for text in (f"exp 2027 {v}", f"AB12 {v}", f"{v} 2027."):
+            new, spans = N.pseudonymise(F1, text)
+            assert spans and v not in new and N.pseudonymise(F1, new, back=True)[0] == text, text
+    assert N.pseudonymise(F1, f"see {card}")[0] == f"see {made}"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*VALUES, *STAY, "2027", "12", "AB12", "1111 2222", "f(212) 555-0101", "NOW", "é"]), max_size=12),
+       st.sampled_from([" ", "-", ", ", "  "]))
+def test_crowded_values_back(parts, gap):
+    text = gap.join(parts)
+    assert N.pseudonymise(F1, N.pseudonymise(F1, text)[0], back=True)[0] == text
+
+
 def test_pseudonyms(make_docs):
     text = "call +1 (826) 555-4081 or mail x.9@y.org"
     rows = [(1, text), (1, text), (2, None), (3, ""), (None, "ip 190.137.223.204"), (4, "word " * 50000 + text), (5, "nothing here")]
