@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 #: The key of the registered query; a deployment passes its own.
 DEFAULT_KEY = b"pseudonym key of the example query"
 ROUNDS = 10
+#: Domains from here on have more decimal digits than Python writes.
+LARGE = 10 ** 4300
 FIRST_DAY, N_DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
           "November", "December")
@@ -37,11 +39,12 @@ class Feistel:
         self.key, self.rounds = hashlib.blake2b(key, digest_size=32).digest(), rounds
 
     def _f(self, kind: str, n: int, i: int, half: int, bits: int) -> int:
-        data = f"{kind}|{n}|{i}|{half}".encode()
         size = -(-bits // 8)
-        out = b""
-        while len(out) < size:
-            out += hashlib.blake2b(data + bytes([len(out) // 64]), key=self.key).digest()
+        if n < LARGE:
+            data, width = f"{kind}|{n}|{i}|{half}".encode(), 1
+        else:  # too long for decimal digits: hashed once, then block by block
+            data, width = hashlib.blake2b(f"{kind}|x{n:x}|{i}|{half:x}".encode(), key=self.key).digest(), 8
+        out = b"".join(hashlib.blake2b(data + block.to_bytes(width, "big"), key=self.key).digest() for block in range(-(-size // 64)))
         return int.from_bytes(out[:size], "big") & ((1 << bits) - 1)
 
     def _once(self, kind: str, x: int, n: int, back: bool) -> int:
@@ -83,26 +86,24 @@ def iban_ok(s: str) -> bool:
 def fill(shape: str, digits: str) -> str:
     """``shape`` with its digits replaced in order."""
     it = iter(digits)
-    return "".join(next(it) if c.isdigit() else c for c in shape)
+    return "".join(next(it) if "0" <= c <= "9" else c for c in shape)
 
 
 def by_class(f: Feistel, kind: str, s: str, back: bool = False) -> str:
     """Letters stay letters of their case and digits digits, at their places."""
     base = [10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 1 for c in s]
     zero = ["0" if b == 10 else "A" if c.isupper() else "a" for b, c in zip(base, s)]
-    x, n = 0, 1
-    for b, z, c in zip(base, zero, s):
-        if b > 1:
-            x, n = x * b + ord(c) - ord(z), n * b
+    # Number and size of the domain by halves, and back: a long value costs few long products.
+    levels = [[(ord(c) - ord(z) if b > 1 else 0, b) for b, z, c in zip(base, zero, s)]]
+    while len(last := levels[-1]) > 1:
+        levels.append([(x * m + y, n * m) for (x, n), (y, m) in zip(last[::2], last[1::2])] + last[len(last) & ~1:])
+    x, n = levels[-1][0] if s else (0, 1)
     if n == 1:
         return s
-    x, out = f.permute(kind, x, n, back=back), []
-    for b, z, c in zip(reversed(base), reversed(zero), reversed(s)):
-        if b > 1:
-            x, r = divmod(x, b)
-            c = chr(ord(z) + r)
-        out.append(c)
-    return "".join(reversed(out))
+    xs = [f.permute(kind, x, n, back=back)]
+    for level in reversed(levels[:-1]):
+        xs = [y for i, x in enumerate(xs) for y in (divmod(x, level[2 * i + 1][1]) if 2 * i + 1 < len(level) else (x,))]
+    return "".join(chr(ord(z) + x) if b > 1 else c for b, z, c, x in zip(base, zero, s, xs))
 
 
 def digits_of(s: str) -> str:
@@ -205,16 +206,17 @@ def when(f: Feistel, s: str, back: bool = False) -> tuple[str, str] | None:
 
 
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
+#: Digits are those of ASCII: \d would take those of every script.
 RULES: list[tuple[str, str, Callable]] = [
     ("secret", r"(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_-]{12,})", secret),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("hex", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])", secret),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
-    ("date", rf"(?<![\d.])(?:\d{{4}}([-/.])\d\d\1\d\d|\d\d([-/.])\d\d\2\d{{4}})(?![\d])|(?<!\d)\d{{1,2}} {_MONTH} \d{{4}}(?!\d)|{_MONTH} \d{{1,2}}, \d{{4}}(?!\d)", when),
-    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", ipv4),
-    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\d)", card),
-    ("ssn", r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])", ssn),
-    ("phone", r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?!\d)", phone),
+    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
+    ("date", rf"(?<![0-9.])(?:[0-9]{{4}}([-/.])[0-9][0-9]\1[0-9][0-9]|[0-9][0-9]([-/.])[0-9][0-9]\2[0-9]{{4}})(?![0-9])|(?<![0-9])[0-9]{{1,2}} {_MONTH} [0-9]{{4}}(?![0-9])|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])", when),
+    ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),
+    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9])", card),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?![0-9-])", ssn),
+    ("phone", r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])", phone),
 ]
 
 
