@@ -8,7 +8,9 @@ all documents and, with the key, values can be told back.  Only where a new valu
 and the digits or letters right beside it would be read as another value does it
 walk on, so that the text can still be told back.
 
-Kinds: dates; card numbers (Luhn; others of that length stay), IBANs (mod 97),
+Kinds: dates (days and months of one or two digits, whole or short month names);
+card numbers (13 to 19 digits in any single-gapped groups; inside a longer run of
+digits, in groups of four and more; Luhn, others of that length stay), IBANs (mod 97),
 social security and telephone numbers, IPv4 addresses, e-mail names, and secrets
 (hexadecimal or by character class).  All work is inside a row.
 """
@@ -113,7 +115,7 @@ def digits_of(s: str) -> str:
 def card(f: Feistel, s: str, back: bool = False) -> tuple[str, str] | None:
     """Card numbers: the check digit must be right, and is right again after."""
     d = digits_of(s)
-    if not luhn(d):
+    if not 13 <= len(d) <= 19 or not luhn(d):
         return None
     head = f"{f.permute('card', int(d[:-1]), 10 ** (len(d) - 1), back=back):0{len(d) - 1}d}"
     return "card", fill(s, next(head + c for c in "0123456789" if luhn(head + c)))
@@ -183,40 +185,64 @@ def when(f: Feistel, s: str, back: bool = False) -> tuple[str, str] | None:
         test = None if ok is None else lambda n: ok(FIRST_DAY + timedelta(n))
         return FIRST_DAY + timedelta(f.permute("date" + style, (x - FIRST_DAY).days, N_DAYS, test, back))
 
-    if m := re.fullmatch(r"(\d{4})([-/.])(\d\d)\2(\d\d)", s):
+    def fits(d: str, m: str):
+        """A field of one digit stays one; fields of two take all values."""
+        return lambda z: (len(d) == 2 or z.day < 10) and (len(m) == 2 or z.month < 10)
+
+    if m := re.fullmatch(r"(\d{4})([-/.])(\d\d?)\2(\d\d?)", s):
         if x := _day(m[1], m[3], m[4]):
-            y = moved(x, "ymd")
-            return "date", f"{y.year}{m[2]}{y.month:02d}{m[2]}{y.day:02d}"
-    elif m := re.fullmatch(r"(\d\d)([-/.])(\d\d)\2(\d{4})", s):
+            y = moved(x, "ymd", fits(m[4], m[3]))
+            return "date", f"{y.year}{m[2]}{y.month:0{len(m[3])}d}{m[2]}{y.day:0{len(m[4])}d}"
+    elif m := re.fullmatch(r"(\d\d?)([-/.])(\d\d?)\2(\d{4})", s):
         if x := _day(m[4], m[3], m[1]):
-            y = moved(x, "dmy")
-            return "date", f"{y.day:02d}{m[2]}{y.month:02d}{m[2]}{y.year}"
+            y = moved(x, "dmy", fits(m[1], m[3]))
+            return "date", f"{y.day:0{len(m[1])}d}{m[2]}{y.month:0{len(m[3])}d}{m[2]}{y.year}"
         if x := _day(m[4], m[1], m[3]):  # months first, told by the day above 12
-            y = moved(x, "mdy", lambda z: z.day > 12)
-            return "date", f"{y.month:02d}{m[2]}{y.day:02d}{m[2]}{y.year}"
-    elif m := re.fullmatch(r"(\d{1,2}) ([A-Z][a-z]+) (\d{4})", s):
-        if x := _day(m[3], str(MONTHS.index(m[2]) + 1), m[1]):
-            y = moved(x, "d m y")
-            return "date", f"{y.day} {MONTHS[y.month - 1]} {y.year}"
-    elif m := re.fullmatch(r"([A-Z][a-z]+) (\d{1,2}), (\d{4})", s):
-        if x := _day(m[3], str(MONTHS.index(m[1]) + 1), m[2]):
-            y = moved(x, "m d, y")
-            return "date", f"{MONTHS[y.month - 1]} {y.day}, {y.year}"
+            fit = fits(m[3], m[1])
+            y = moved(x, "mdy", lambda z: z.day > 12 and fit(z))
+            return "date", f"{y.month:0{len(m[1])}d}{m[2]}{y.day:0{len(m[3])}d}{m[2]}{y.year}"
+    elif m := re.fullmatch(r"(\d{1,2}) ([A-Z][a-z]+\.?) (\d{4})", s):
+        names, style = _months(m[2])
+        if x := _day(m[3], str(names.index(m[2]) + 1), m[1]):
+            y = moved(x, "d m y" + style, _written(names, m[1]))
+            return "date", f"{y.day:0{1 + (m[1][0] == '0')}d} {names[y.month - 1]} {y.year}"
+    elif m := re.fullmatch(r"([A-Z][a-z]+\.?) (\d{1,2}), (\d{4})", s):
+        names, style = _months(m[1])
+        if x := _day(m[3], str(names.index(m[1]) + 1), m[2]):
+            y = moved(x, "m d, y" + style, _written(names, m[2]))
+            return "date", f"{names[y.month - 1]} {y.day:0{1 + (m[2][0] == '0')}d}, {y.year}"
     return None
 
 
-_MONTH = "(?:" + "|".join(MONTHS) + ")"
-#: Digits are those of ASCII: \d would take those of every script.
+def _months(name: str) -> tuple[tuple[str, ...], str]:
+    """The names in the style of ``name`` (empty: not in it), and the style.  A short
+    May without a dot is the whole name; Sept has no other month of its style."""
+    if name in MONTHS:
+        return MONTHS, ""
+    dot = "." if name.endswith(".") else ""
+    if name == "Sept" + dot:
+        return tuple(name if m == "September" else "" for m in MONTHS), " sept" + dot
+    return tuple(m[:3] + dot if dot or m != "May" else "" for m in MONTHS), " short" + dot
+
+
+def _written(names: tuple[str, ...], day: str) -> Callable[[date], bool]:
+    return lambda z: names[z.month - 1] != "" and (day[0] != "0" or z.day < 10)
+
+
+_SHORT = "(?:" + "|".join(["Sept", *(m[:3] for m in MONTHS)]) + r")\.?"
+_MONTH = "(?:" + "|".join(MONTHS) + rf"|(?<![A-Za-z]){_SHORT})"
 RULES: list[tuple[str, str, Callable]] = [
     ("secret", r"(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?)(?P<secret_value>[A-Za-z0-9+/_-]{12,})", secret),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
     ("hex", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])", secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", iban),
-    ("date", rf"(?<![0-9.])(?:[0-9]{{4}}([-/.])[0-9][0-9]\1[0-9][0-9]|[0-9][0-9]([-/.])[0-9][0-9]\2[0-9]{{4}})(?![0-9])|(?<![0-9])[0-9]{{1,2}} {_MONTH} [0-9]{{4}}(?![0-9])|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])", when),
+    ("date", rf"(?<![0-9.])(?:[0-9]{{4}}([-/.])[0-9]{{1,2}}\1[0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}\2[0-9]{{4}})(?![0-9])|(?<![0-9])[0-9]{{1,2}} {_MONTH} [0-9]{{4}}(?![0-9])|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}}(?![0-9])", when),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),
-    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2}[ -][0-9]{1,7})(?![0-9])", card),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9][0-9]-[0-9]{4}(?![0-9-])", ssn),
-    ("phone", r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[.-][0-9]{4}(?![0-9])", phone),
+    # A whole run of digits and single gaps, then one inside a longer run, of groups of four and more (the last any).
+    ("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])", card),
+    ("phone", r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", phone),
+    ("inner_card", r"(?<![0-9])[0-9]{4}(?:(?:[ -](?=[0-9]{4}))?[0-9]){6,15}(?:[ -][0-9]{1,3})?(?![0-9])", card),
 ]
 
 
@@ -234,7 +260,7 @@ _PATTERN = _combined()
 _MAKE = {name: make for name, _, make in RULES}
 _ONE = {name: re.compile(pattern) for name, pattern, _ in RULES}
 #: Kinds of several groups: a rejected candidate may hold a value that ends at an earlier gap.
-_GROUPED = {"iban": " ", "card": " -", "phone": " .-"}
+_GROUPED = {"iban": " ", "inner_card": " -", "phone": " .-"}
 #: Characters beside a value that a candidate across its border can reach.
 REACH = 64
 

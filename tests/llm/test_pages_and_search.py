@@ -185,13 +185,41 @@ def test_value_behind_a_rejected_candidate():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([*VALUES, *STAY, "2027", "12", "AB12", "1111 2222", "f(212) 555-0101", "NOW", "é"]), max_size=12),
+@given(st.lists(st.sampled_from([*VALUES, *STAY, "2027", "12", "AB12", "1111 2222", "f(212) 555-0101", "NOW", "é", "212 555 0101", "3782 822463 10005", "1/5/2024", "Feb 30,", "5 Jan 2024"]), max_size=12),
        st.sampled_from([" ", "-", ", ", "  "]))
 def test_crowded_values_back(parts, gap):
     text = gap.join(parts)
     assert N.pseudonymise(F1, N.pseudonymise(F1, text)[0], back=True)[0] == text
 
 
+MORE = {"card": ["3782 822463 10005", "3782-822463-10005", "30569 309025904", "41 11 1111 1111 1111", "6304 0000 0000 0000 000", "4222 2222 2222 2"],
+        "phone": ["(212) 555 0101", "212 555 0101", "212-555 0101", "(212)555 0101"],
+        "date": ["1/5/2024", "13/5/2024", "1/15/2024", "1/05/2024", "01/5/2024", "2024-1-5", "2024-11-5", "1.5.2024", "Jan 5, 2024", "Sep. 15, 1999",
+                 "5 Jan 2024", "Sept 5, 2024", "5 Sept. 2024", "May. 5, 2024", "03 March 1980", "Dec 03, 1980"]}
+
+
+def test_more_formats():
+    for kind, values in MORE.items():
+        for v in values:
+            for text in (f"see {v}, or", v, f"exp 2027 {v}" if v[:4] in ("3782", "6304", "4222") else f"on {v}."):
+                new, spans = N.pseudonymise(F1, text)
+                assert [s[0] for s in spans] == [kind] and v not in new, text
+                assert N.pseudonymise(F1, new, back=True)[0] == text
+                if kind != "date":
+                    assert re.sub("[0-9]", "x", new[-len(v):]) == re.sub("[0-9]", "x", text[-len(v):])
+    for v in ("3782 822463 10006", "30/2/2024", "Feb 30, 2024", "Omar 5, 2024", "MacMar 5, 2024", "2024-13-1", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15", "12 555 0101"):
+        assert N.pseudonymise(F1, f"see {v}, or") == (f"see {v}, or", []), v
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dates(date(1900, 1, 1), date(2099, 12, 31)))
+def test_more_dates_back(d):
+    for v in (f"{d.day}/{d.month}/{d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.year}-{d.month}-{d.day}", f"{d:%b} {d.day}, {d.year}", f"{d:%d} {d:%b}. {d.year}",
+              f"{d:%d %B} {d.year}"):
+        new, spans = N.pseudonymise(F1, v)
+        assert len(spans) == 1 and N.pseudonymise(F1, new, back=True)[0] == v
+
+
 def test_digits_of_other_scripts():
     for zero in "٠०０𝟎":
         run = "".join(chr(ord(zero) + i % 10) for i in range(16))
