@@ -18,10 +18,16 @@ from pyspark.sql import functions as F
 
 # --- blocks ----------------------------------------------------------------
 
+#: Tags that end an element left open: its own end tag is missing.
+_BOUND = ("address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|li|main|"
+          "menu|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math|object|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r".*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<open>iframe|svg|math|object|select)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+    r"(?:(?:(?!<(?P=open)[\s/>]).)*?</(?P=open)\s*>|(?<=/>)|.*?(?=</?(?:" + _BOUND + r")[\s/>]|<(?P=open)[\s/>]|\Z))"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I)
@@ -102,7 +108,7 @@ def blocks(html: str) -> list[tuple]:
         at = m.end()
         tag = m["tag"]
         if tag is None:
-            if m["raw"] and m["raw"].lower() in ("title", "iframe", "select", "textarea", "object"):
+            if (m["raw"] or m["open"] or "").lower() in ("title", "iframe", "select", "textarea", "object"):
                 flush()
             continue
         tag = tag.lower()

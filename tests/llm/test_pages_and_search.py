@@ -105,6 +105,21 @@ def test_tree_knows_its_table(spark):
     assert all(H.is_main(tree, x) == bool(y) for x, y in H.labelled_rows())
 
 
+def test_open_elements():
+    text = "<article><h1>Title</h1><p>First words.</p><p>Second words.</p></article>"
+    want = ["Title", "First words.", "Second words."]
+    for tag in ('<svg class="i"/>', "<svg viewBox='0 0 9 9' />", "<math/>", "<SVG/>", "<select><option>one<option>two", "<select name=a>", "<object data=x>", "<iframe src=y>",
+                "<iframe src=y />", "<svg><path d=z>", "<svg-icon name=a></svg-icon>", "<object><param name=b>fallback"):
+        assert [b[0] for b in H.blocks(f"<body>{tag}{text}")] == want, tag
+        assert [b[0] for b in H.blocks(f"<body><table><tr><td>{tag}</td></tr></table>{text}{tag}")] == want, tag
+        inside = [b[0] for b in H.blocks("<body>" + text.replace("</h1>", f"{tag}</h1>").replace("</p><p>", f"</p>{tag}<p>"))]
+        assert inside == want, tag
+        name = re.match("<([a-zA-Z]+)", tag)[1]
+        assert [b[0] for b in H.blocks(f"<body>{tag}{text}<{name}>gone</{name}>")] == want, tag
+    assert [b[0] for b in H.blocks("<p>a <svg/>b <svg><text>no</text></svg>c</p>")] == ["a b c"]
+    assert [b[0] for b in H.blocks("<p>a</p><object><p>no</p></object><select><option>no</select><iframe>no</iframe>b")] == ["a", "b"]
+
+
 def test_extract_on_table(spark):
     """The synthetic pages mark their text: the article element."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
