@@ -56,23 +56,44 @@ FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_wo
             "in_main", "in_furniture", "in_list", "is_heading", "in_paragraph", "page_has_main")
 
 
+#: What an element opens: furniture by its tag, role or being hidden; furniture by a word of
+#: its class or id, or a form (either may wrap a whole page); main text by such a word; main
+#: text by its tag or role.
+HARD, SOFT, NAMED, MAIN = 1, 2, 3, 4
+#: A class that tells how the page is laid out, not what the element is.
+_LAYOUT = re.compile(r"(?:has|have|no|with|without)[-_]")
+
+
 def _kind(tag: str, attrs: str, inside_main: bool) -> int:
-    """1: the element opens furniture, 2: main text, 0: neither."""
-    furniture = tag in FURNITURE_TAGS or (tag == "header" and not inside_main)
-    main = tag in MAIN_TAGS
+    """One of the above, furniture first, or 0."""
+    hard = (tag in FURNITURE_TAGS and tag != "form") or (tag == "header" and not inside_main)
+    soft = tag == "form"
+    main, named = tag in MAIN_TAGS, False
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             value, name = (a or b or c).lower(), name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                furniture = True
+                hard = True
             elif name == "role":
-                furniture |= value in FURNITURE_ROLES
+                hard |= value in FURNITURE_ROLES
                 main |= value in ("main", "article")
             elif name in ("class", "id") and tag not in INLINE and tag not in ("body", "html"):
-                words = set(re.split(r"[^a-z]+", value))
-                furniture |= bool(words & FURNITURE_WORDS)
-                main |= bool(words & MAIN_WORDS)
-    return 1 if furniture else 2 if main else 0
+                words = set(re.split(r"[^a-z]+", " ".join(x for x in value.split() if not _LAYOUT.match(x))))
+                soft |= bool(words & FURNITURE_WORDS)
+                named |= bool(words & MAIN_WORDS)
+    return HARD if hard else SOFT if soft else MAIN if main else NAMED if named else 0
+
+
+def _wrappers(found: list[tuple]) -> int:
+    """How many soft furniture elements merely wrap the page's main text: none if an
+    article or main element has text outside of any, else the fewest around articles
+    and main elements with half as many words as those of any other number."""
+    size: dict[int, int] = {}
+    for block in found:
+        hard, soft, around = block[3]
+        if around is not None and soft == around and not hard:
+            size[around] = size.get(around, 0) + block[1]
+    return 0 if not size or 0 in size else min(k for k in size if 2 * size[k] >= max(size.values()))
 
 
 def blocks(html: str) -> list[tuple]:
@@ -84,10 +105,13 @@ def blocks(html: str) -> list[tuple]:
     stack: list[tuple[str, int]] = []
     at, links = 0, 0
 
-    def state() -> tuple[bool, bool, bool, bool, bool]:
+    def state() -> tuple:
         kinds = [k for _, k in stack]
         names = [t for t, _ in stack]
-        return 2 in kinds, 1 in kinds, "li" in names, any(t in HEADINGS for t in names), any(t in PARAGRAPHS for t in names)
+        # Soft furniture in all, and around the innermost article or main element.
+        last = max((i for i, k in enumerate(kinds) if k == MAIN), default=None)
+        around = None if last is None else kinds[:last].count(SOFT)
+        return (HARD in kinds, kinds.count(SOFT), around), last is not None or NAMED in kinds, "li" in names, any(t in HEADINGS for t in names), any(t in PARAGRAPHS for t in names)
 
     def flush() -> None:
         if text:
@@ -129,11 +153,12 @@ def blocks(html: str) -> list[tuple]:
             if tag == "body":  # the head's end tag may be missing
                 stack = [x for x in stack if x[0] != "head"]
             if not m["attrs"].endswith("/"):
-                stack.append((tag, _kind(tag, m["attrs"], any(k == 2 for _, k in stack))))
+                stack.append((tag, _kind(tag, m["attrs"], any(k in (NAMED, MAIN) for _, k in stack))))
     if at < len(html):
         text.append(html[at:])
     flush()
-    return out
+    base = _wrappers(out)
+    return [(*b[:3], b[4], b[3][0] or b[3][1] > (base if b[3][2] is not None else 0), *b[5:]) for b in out]
 
 
 def features(found: list[tuple]) -> list[list[float]]:
@@ -198,6 +223,12 @@ LABELLED_PAGES = (
     "<aside><p>-Our newsletter brings you a letter every week with all that we wrote and some things that we did not write.</p></aside>"
     "<div>-Mild today, rain tomorrow.</div><div>-This box stands beside the article without saying what it is, and it sells holidays by the sea.</div>"
     "<div role=dialog><p>-Please log in to read more of these fine articles on this site today.</p></div>",
+    "<body><div id=page class='site has-sidebar no-comments'><nav><a>-Home</a></nav><div class='content-sidebar wrap'><article><h1>+Nets</h1>"
+    "<p>+Nets are mended in winter.</p><p>+It takes two people, a long table and more patience than most of them have in the first week of it.</p>"
+    "<div class=share><a>-Tweet</a></div></article><aside><p>-The shop by the harbour sells nets to all who ask for them politely before noon.</p></aside>"
+    "<div class=related><article><h3>-How to mend a chair</h3><p>-Take the seat off first.</p></article></div></div></div>",
+    "<body><form id=page><div class='with-nav'><div class=menu><a>-Start</a></div><main class=sidebar-right><p>-A box.</p></main><main><h1>+Oars</h1>"
+    "<p>+Short.</p><p>+Oars are made of ash, and ash does not mind the salt as much as other woods that grow here.</p></main></div></form>",
 )
 
 

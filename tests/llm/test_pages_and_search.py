@@ -120,6 +120,21 @@ def test_open_elements():
     assert [b[0] for b in H.blocks("<p>a</p><object><p>no</p></object><select><option>no</select><iframe>no</iframe>b")] == ["a", "b"]
 
 
+def test_layout_wrappers(spark):
+    article = "<article><h1>Title</h1><p>First words of it.</p><div class=share>Tweet this</div><p>Second.</p></article>"
+    want = "Title First words of it. Second."
+    card = "<div class=related><article><h3>Another title</h3><p>And the first words of another text.</p></article></div>"
+    pages = [f"<body><div id=page class='{c}'><nav>Menu</nav>{x}<aside>Read on</aside>{more}</div>" for more in ("", card) for x in
+             (article, article.replace("article>", "main>"), f"<div class='x with-menu'>{article}</div>", f"<div class=content>{article}</div>")
+             for c in ("has-sidebar", "content-sidebar", "no-comments", "with-nav", "site", "two-sidebar side")]
+    pages += [f"<body><form id=aspnet>{article}</form>", f"<body>{article}{card}", f"<body><section class=comments><article>{'My comment. ' * 90}</article></section>{article}",
+              "<body><div class=has-sidebar><div class=entry><h1>Title</h1><p>First words of it.</p><p>Second.</p></div></div>"]
+    rows = H.extract(make_pages(spark, [(i, "u", x) for i, x in enumerate(pages)])).collect()
+    assert {r.page_id: r.text for r in rows} == dict.fromkeys(range(len(pages)), want)
+    for x in ("<aside>{}</aside>", "<div hidden>{}</div>", "<div role=dialog>{}</div>", "<nav>{}</nav>"):  # what is never read stays out
+        assert all(b[4] for b in H.blocks(x.format(article)))
+
+
 def test_extract_on_table(spark):
     """The synthetic pages mark their text: the article element."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
