@@ -100,6 +100,10 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 # --- the corpus ------------------------------------------------------------
 
+#: Of the two halves of a set's name: sums of its salted and mixed shingles.
+SALTS = (0x1234567890ABCDEF, 0x0FEDCBA987654321)
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """id, n_shingles, a 128-bit name of the set (h1, h2) and its band keys."""
     import pyarrow as pa
@@ -121,7 +125,7 @@ def set_table(docs: DataFrame) -> DataFrame:
                     new = np.concatenate(([True], (hs[1:] != hs[:-1]) | (owner[1:] != owner[:-1])))
                     size = np.bincount(owner[new], minlength=len(part))
                     start = np.searchsorted(owner[new], full)
-                    for i, salt in enumerate((0x1234567890ABCDEF, 0x0FEDCBA987654321)):
+                    for i, salt in enumerate(SALTS):
                         names[i, full] = np.add.reduceat(mix64(hs[new] + np.uint64(salt)), start)
                 offsets = np.arange(0, (len(part) + 1) * BANDS, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -160,8 +164,9 @@ def check_pairs(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def own_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """rep, own: how many shingles of each member no other member has.  A repeated id
-    counts its shingles again, which only loosens the bound."""
+    """rep, h1, own: how many shingles of each member's set no other text of a member
+    has.  An id with several texts has a row for each set; equal texts count their
+    shingles again, which only loosens the bound."""
     import pyarrow as pa
 
     def batches(it):
@@ -170,13 +175,14 @@ def own_shingles(members: DataFrame, docs: DataFrame) -> DataFrame:
                 found = distinct_sets(part)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rep", "h"])
+                names = np.array([np.add.reduce(mix64(x + np.uint64(SALTS[0]))) for x in found], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(names),
+                                                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["rep", "h1", "h"])
 
     texts = docs.join(members.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
-    each = texts.mapInArrow(batches, "rep long, h array<long>").select("rep", F.explode("h").alias("h"))
-    single = each.groupBy("h").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
+    each = texts.mapInArrow(batches, "rep long, h1 long, h array<long>").select("rep", "h1", F.explode("h").alias("h"))
+    single = each.groupBy("h").agg(F.min("rep").alias("rep"), F.min("h1").alias("h1"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.groupBy("rep", "h1").agg(F.count(F.lit(1)).alias("own"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,13 +248,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                        F.col("n").alias("nb"))))
     label = materialise(components(reduce(DataFrame.union, edges)), "labels")
     # What no leader has settled: buckets of several components, across components only.
-    flat = classes.select("rep", F.col("n_shingles").alias("n"), "bands").join(label.withColumnRenamed("v", "rep"), "rep", "left")
-    flat = flat.select("rep", "n", F.coalesce("label", "rep").alias("label"), F.explode("bands").alias("key"))
+    flat = classes.select("rep", "h1", F.col("n_shingles").alias("n"), "bands").join(label.withColumnRenamed("v", "rep"), "rep", "left")
+    flat = flat.select("rep", "h1", "n", F.coalesce("label", "rep").alias("label"), F.explode("bands").alias("key"))
     open_ = flat.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("members"))
     rest = materialise(flat.join(open_.filter("l0 != l1 AND members > 2").select("key"), "key"), "open-buckets")
     if not rest.isEmpty():
         own = own_shingles(rest.select("rep").distinct(), texts)
-        rest = materialise(rest.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))), "open-members")
+        rest = materialise(rest.join(own, ["rep", "h1"], "left").drop("h1").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))), "open-members")
         # First against a third leader, the member with the smallest share of own shingles.
         central = rest.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("place"), "rep", "n", "label")).alias("lead"))
         pairs = rest.join(central, "key").filter("label != lead.label")

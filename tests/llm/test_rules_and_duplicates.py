@@ -131,6 +131,13 @@ def test_near_duplicates(make_docs):
     assert [r.kept for r in M.near_duplicates(make_docs([(1, None), (2, "")])).collect()] == [True, True]
 
 
+def test_own_shingles_by_set(spark, make_docs):
+    near, twin, other = "a b c d e f g h i j k l", "a b c d e f g h i j k m", " ".join(f"w{i}" for i in range(90))
+    docs = make_docs([(1, near), (1, other), (2, twin)]).selectExpr("doc_id AS id", "text")
+    rows = M.own_shingles(spark.createDataFrame([(1,), (2,)], "rep long"), docs).collect()
+    assert sorted((r.rep, r.own) for r in rows) == [(1, 1), (1, 86), (2, 1)]
+
+
 def test_signature_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
