@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, collision_search, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, token_codes
+from roamlens.llm import arc_warc, collision_search, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -61,6 +61,10 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 SQL_ARCHIVE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
@@ -105,5 +109,6 @@ FROM placed
 
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op4_collision_search,
-    op5_html_blocks, op6_ordinal_quality, op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms)}
+    op5_html_blocks, op6_ordinal_quality, op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms,
+    op12_simhash_blocks)}
 ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
