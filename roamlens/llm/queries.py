@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, collision_search, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, token_codes
+from roamlens.llm import arc_warc, collision_search, fill_in_middle, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -61,6 +61,12 @@ def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonyms(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_wavelet_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.restore(fill_in_middle.fill_in_middle(load(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -107,8 +113,31 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+SQL_FILL_IN_MIDDLE = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tok
+  FROM documents),
+d AS (
+  SELECT *, len(tok)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+              THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(tok[1:a], '') AS prefix, array_to_string(tok[a + 1:b], '') AS middle,
+         array_to_string(tok[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op4_collision_search,
     op5_html_blocks, op6_ordinal_quality, op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms,
-    op12_simhash_blocks)}
-ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE}
+    op11_wavelet_fill_in_middle, op12_simhash_blocks)}
+ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE, "op11_wavelet_fill_in_middle": SQL_FILL_IN_MIDDLE}
