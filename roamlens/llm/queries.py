@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roamlens.llm import arc_warc, collision_search, fill_in_middle, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, token_codes
+from roamlens.llm import arc_warc, collision_search, fill_in_middle, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, source_divergence, token_codes
 from roamlens.llm.common import load
 
 #: Vocabulary files of public tokenizers.
@@ -71,6 +71,10 @@ def op12_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op13_level_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
 SQL_ARCHIVE = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, max(page_id) AS top FROM p WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
@@ -136,8 +140,44 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT EN
 FROM p
 """
 
+SQL_DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+e AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM e GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, k.term, count(e.i) AS n
+  FROM grp g JOIN kept k ON k.lang = g.lang LEFT JOIN e ON e.lang = g.lang AND e.source = g.source AND e.term = k.term
+  GROUP BY 1, 2, 3),
+p AS (
+  SELECT lang, source, term, n,
+         1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM c JOIN v USING (lang)),
+l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM l JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY 1, 2, 4),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_token_codes, op2_repetition_rules, op3_minmax_near_duplicates, op4_collision_search,
     op5_html_blocks, op6_ordinal_quality, op7_mix_sources, op8_arc_to_warc, op9_shared_prefix_pieces, op10_feistel_pseudonyms,
-    op11_wavelet_fill_in_middle, op12_simhash_blocks)}
-ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE, "op11_wavelet_fill_in_middle": SQL_FILL_IN_MIDDLE}
+    op11_wavelet_fill_in_middle, op12_simhash_blocks, op13_level_products)}
+ORACLES = {"op7_mix_sources": SQL_MIX, "op8_arc_to_warc": SQL_ARCHIVE, "op11_wavelet_fill_in_middle": SQL_FILL_IN_MIDDLE,
+           "op13_level_products": SQL_DIVERGENCE}
