@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from roamlens.llm.common import materialise
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms: all of ASCII but letters.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
@@ -46,9 +47,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     source and text.  A document's terms leave its row sorted, each with the one before
     it, so one pass counts both."""
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
-    terms = docs.select("lang", "source", F.sort_array(F.regexp_extract_all(lower, F.lit(TERM), F.lit(0))).alias("terms"))
-    before = F.concat(F.array(F.lit("")), F.slice("terms", F.lit(1), F.greatest(F.size("terms") - 1, F.lit(0))))
-    pairs = terms.filter(F.size("terms") > 0).select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), before.alias("before"))))
+    terms = docs.select("lang", "source", F.sort_array(F.split(lower, BETWEEN)).alias("terms"))
+    before = F.concat(F.array(F.lit("")), F.slice("terms", F.lit(1), F.size("terms") - 1))
+    pairs = terms.select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), before.alias("before")))).filter("term != ''")
     first = F.when(F.col("term") != F.col("before"), 1).otherwise(0)
     return pairs.groupBy("lang", "term", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(first).alias("docs"))
 
