@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_", "blank_to_null", "not_blank", "year_of", "date_rest", "numeric_stop",
-    "whitespace_to_commas", "first_digits", "tokens", "chi_sq", "pmi", "chi_sq_pair",
+    "whitespace_to_commas", "first_digits", "runs_of", "tokens", "chi_sq", "pmi", "chi_sq_pair",
     "normalise_name", "similarity", "partial_similarity", "round6", "ts_text",
 ]
 
@@ -63,12 +63,20 @@ def first_digits(c) -> Column:
     return F.nullif(F.regexp_extract(col_(c), r"(\d+)", 1), F.lit(""))
 
 
+def runs_of(c, between: str) -> Column:
+    """The maximal runs between matches of ``between``, none of them empty.
+
+    Splitting reads a text once; ``regexp_extract_all`` copies the whole text for
+    every match, which is quadratic in the text."""
+    return F.array_remove(F.split(col_(c), between), "")
+
+
 def tokens(c, lower: bool = True) -> Column:
     """N1 'words' mode: maximal runs of letters (any script), lower-cased."""
     c = col_(c)
     if lower:
         c = F.lower(c)
-    return F.regexp_extract_all(c, F.lit(r"\p{L}+"), 0)
+    return runs_of(c, r"\P{L}+")
 
 
 def _d(x) -> Column:

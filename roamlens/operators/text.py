@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.functions.columns import numeric_stop, round6, tokens
+from roamlens.functions.columns import numeric_stop, round6, runs_of, tokens
 from roamlens.operators.ordering import top_k_per_group
 
 
@@ -24,11 +24,11 @@ def tokenize(df: DataFrame, text: str = "text", out: str = "words", mode: str =
     if mode == "words":
         c = tokens(text)
     elif mode == "alnum":
-        c = F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), 0)
+        c = runs_of(t, r"[^\p{L}\p{N}]+")
     elif mode == "chars":
-        c = F.regexp_extract_all(t, F.lit(r"\p{L}"), 0)
+        c = F.array_remove(F.split(F.regexp_replace(t, r"\P{L}+", ""), ""), "")
     elif mode == "ngram":
-        runs = F.regexp_extract_all(t, F.lit(r"\p{L}+"), 0)
+        runs = runs_of(t, r"\P{L}+")
         c = F.flatten(F.transform(runs, lambda r: F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(r) - n + 1, F.lit(1))),
             lambda i: F.substring(r, i, n))))
