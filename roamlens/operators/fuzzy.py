@@ -1,18 +1,15 @@
-"""Fuzzy gazetteer resolution.
+"""Fuzzy gazetteer resolution.
 
-Matching never forms all (query, choice) pairs.  Candidates are generated by
-an equi-join on shared characters of the normalised strings: two strings
-without a common character have Levenshtein distance = max length, i.e.
-similarity exactly 0, so every pair with a positive score is found and all
-others are known to score 0 — exact, not a heuristic cut.  Queries are the
-DISTINCT home-town strings; results are joined back to the users."""
+Queries are the distinct home-town strings, matched by the similarity joins of
+``simjoin``; results are joined back to the users."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roamlens.functions.columns import col_, normalise_name, similarity
+from roamlens.functions.columns import col_
+from roamlens.operators.simjoin import top_matches
 from roamlens.session import cut_lineage
 
 LEVELS = {1: "province", 2: "city", 3: "county"}
@@ -83,115 +80,7 @@ def name_to_province(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.groupBy("name").agg(F.min_by("province", "ord").alias("province"))
 
 
-# ------------------------------------------------------------------ matching
-def _chars(c: Column) -> Column:
-    return F.array_distinct(F.split(c, ""))
-
-
-def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name",
-               threshold: int = 0, scorer=similarity) -> DataFrame:
-    """Pairs (query, choice) with score > ``threshold``, with the score.
-    ``scorer`` (two columns -> 0..100) may be any function that is 0 for strings
-    without a common character; the prefix filter below is exact for ``similarity``
-    only, so another scorer is joined on shared characters at any threshold.
-    ``choices`` keeps its other columns (ord, level, ...).
-
-    threshold 0: pairs sharing a character (all positive scores).
-    threshold t > 0: prefix filtering, still exact.  score > t needs a
-    multiset character overlap > (t/100)·max(len) >= (t/100)·len of either
-    string; with characters tokenised as (char, occurrence) and ordered
-    rarest first, such a pair must share a token inside both strings'
-    prefixes of length len - floor(t/100·len), so only those are joined.
-
-    A pair sharing several (prefix) tokens is emitted once per token; only the
-    row for its smallest shared token is kept — a map-side filter, no dedup
-    shuffle."""
-    qn = queries.select(q).distinct().withColumn("__qn", normalise_name(q)).filter(F.col("__qn") != "")
-    cn = choices.withColumn("__cn", normalise_name(name)).filter(F.col("__cn") != "")
-    # both sets feed the token ranking, the prefixes and the join: materialise
-    # them once (distinct strings and the gazetteer — small next to the data)
-    qn, cn = cut_lineage(qn), cut_lineage(cn)
-    prefixed = threshold > 0 and scorer is similarity
-    if not prefixed:
-        qn = qn.withColumn("__qs", _chars(F.col("__qn")))
-        cn = cn.withColumn("__cs", _chars(F.col("__cn")))
-    else:
-        rank = _token_rank(qn.select(_occ_tokens(F.col("__qn")).alias("t")),
-                           cn.select(_occ_tokens(F.col("__cn")).alias("t")))
-        qn = _prefix(qn, [q], "__qn", "__qs", rank, threshold)
-        cn = _prefix(cn, [c for c in choices.columns], "__cn", "__cs", rank, threshold)
-    # the join fans out (pairs >> queries): spread the probe side over all
-    # shuffle partitions so verification is not left to the few tasks that a
-    # small distinct-query set would otherwise be coalesced into
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    qc = qn.select("*", F.explode("__qs").alias("__ch")).repartition(n, q, "__ch")
-    cc = cn.select("*", F.explode("__cs").alias("__ch"))
-    pairs = (qc.join(cc, "__ch")
-             .filter(F.col("__ch") == F.array_min(F.array_intersect("__qs", "__cs"))))
-    if prefixed:
-        # exact necessary conditions of score > t, checked before Levenshtein:
-        #   lev >= |len(a) - len(b)|   and   lev >= max(len) - multiset overlap,
-        # while score > t implies lev < (1 - t/100) * max(len).
-        la, lb = F.length("__qn"), F.length("__cn")
-        m = F.greatest(la, lb)
-        slack = (1.0 - threshold / 100.0) * m
-        ov = F.size(F.array_intersect("__qs_all", "__cs_all"))
-        pairs = pairs.filter((F.abs(la - lb) <= slack) & ((m - ov) <= slack))
-    return (pairs.withColumn("score", scorer("__qn", "__cn"))
-            .drop("__qn", "__cn", "__qs", "__cs", "__ch", "__qs_all", "__cs_all")
-            .filter(F.col("score") > threshold))
-
-
-def _occ_tokens(c: Column) -> Column:
-    """Characters as (char, occurrence number) tokens: 'aba' -> a#1, b#1, a#2."""
-    chars = F.split(c, "")
-    return F.transform(chars, lambda ch, i: F.concat(
-        ch, F.lit("#"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == ch)).cast("string")))
-
-
-def _token_rank(*token_frames) -> DataFrame:
-    """Global token order, rarest first (ties by token); one row per token,
-    bounded by alphabet size x longest repeat, so it is broadcast."""
-    u = None
-    for f in token_frames:
-        e = f.select(F.explode("t").alias("tok"))
-        u = e if u is None else u.unionByName(e)
-    freq = u.groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    return freq.select("tok", F.row_number().over(Window.orderBy("f", "tok")).alias("r"))
-
-
-def _prefix(df: DataFrame, keys: list[str], norm: str, out: str, rank: DataFrame, threshold: int) -> DataFrame:
-    """Prefix of the rarest ``len - floor(t/100 * len)`` tokens, as ranks.
-    ``keys`` identify a row (the query string; the choice's columns)."""
-    ex = df.select(*keys, F.explode(_occ_tokens(F.col(norm))).alias("tok"))
-    ranked = (ex.join(F.broadcast(rank), "tok").groupBy(*keys)
-              .agg(F.array_sort(F.collect_list("r")).alias("__all")))
-    n = F.size("__all")
-    plen = n - F.floor(n * threshold / 100.0).cast("int")
-    pref = ranked.select(*keys, F.slice("__all", 1, F.greatest(plen, F.lit(1))).alias(out),
-                         F.col("__all").alias(out + "_all"))
-    return df.join(pref, keys)
-
-
-def top_matches(queries: DataFrame, choices: DataFrame, limit: int = 1, q: str = "q",
-                name: str = "name", by=("level",), threshold: int = 0, scorer=similarity) -> DataFrame:
-    """The ``limit`` best choices per query (and level): score desc,
-    then choice order.  Only positive scores exist as candidates.
-
-    ``limit == 1`` is a ``max_by`` aggregate (partial aggregation before the
-    shuffle); larger limits rank inside (query, level) groups, which are
-    bounded by the size of the choice list."""
-    by = list(by)
-    cand = candidates(queries, choices, q, name, threshold, scorer)
-    if limit == 1:
-        rest = [c for c in cand.columns if c not in [q, *by]]
-        best = cand.groupBy(q, *by).agg(
-            F.max_by(F.struct(*rest), F.struct(F.col("score"), -F.col("ord"))).alias("__b"))
-        return best.select(q, *by, *[F.col("__b")[c].alias(c) for c in rest]).withColumn("rank", F.lit(1))
-    w = Window.partitionBy(q, *by).orderBy(F.desc("score"), F.asc("ord"))
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-
-
+# ------------------------------------------------------------------ decision
 def decide(p_score, c_score, k_score, threshold: int = THRESHOLD) -> Column:
     """Which level's top-1 is taken: province if 100 or (the maximum and
     > threshold); else city by the same rule; else county; else none."""

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from roamlens.functions.columns import partial_similarity
 from roamlens.operators import fuzzy as FZ
+from roamlens.operators import simjoin as SJ
 from roamlens.plans.registry import register
 from roamlens.plans.standins import Tables
 
@@ -91,24 +93,36 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY q, level ORDER BY score DES
            FROM pairs WHERE score > 0)"""
 
 
+def _words_and_names(t):
+    """The matched word of each home town, and the names it is matched with."""
+    words = FZ.dictionary_token(users(t), gazetteer(t), "custom_cty", out="q").select("q").filter(F.col("q").isNotNull())
+    return words, gazetteer(t).select("ord", "level", "name")
+
+
 @register("fuzzy_top1", ids="N14 J6 T5", sql=SQL_PAIRS + """
 SELECT q, level, name, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 1""")
 def fuzzy_top1(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    u = FZ.dictionary_token(users(t), gazetteer(t), "custom_cty", out="q").select("q").filter(F.col("q").isNotNull())
-    return FZ.top_matches(u, gazetteer(t).select("ord", "level", "name"), 1).select(
+    return SJ.top_matches(*_words_and_names(Tables(spark, sf_dir)), 1).select(
         "q", "level", "name", "score", "rank")
 
 
 @register("fuzzy_topn", ids="T5 F4 N14", sql=SQL_PAIRS + """
 SELECT q, level, name, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3""")
 def fuzzy_topn(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    u = FZ.dictionary_token(users(t), gazetteer(t), "custom_cty", out="q").select("q").filter(F.col("q").isNotNull())
-    return FZ.top_matches(u, gazetteer(t).select("ord", "level", "name"), 3).select(
+    return SJ.top_matches(*_words_and_names(Tables(spark, sf_dir)), 3).select(
         "q", "level", "name", "score", "rank")
 
 
+@register("fuzzy_partial", ids="N14 J6", sql=SQL_PAIRS + f""",
+sized AS (SELECT *, CASE WHEN length(qn) <= length(cn) THEN qn ELSE cn END AS s, CASE WHEN length(qn) <= length(cn) THEN cn ELSE qn END AS l
+          FROM qn, gn),
+windows AS (SELECT q, level, name, ord, s, substr(l, CAST(unnest(range(1, length(l) - length(s) + 2)) AS INTEGER), length(s)) AS w FROM sized)
+SELECT q, level, name, ord, max({_sim('s', 'w')}) AS score FROM windows GROUP BY ALL HAVING max({_sim('s', 'w')}) > {FZ.THRESHOLD}""")
+def fuzzy_partial(spark, sf_dir):
+    return SJ.candidates(*_words_and_names(Tables(spark, sf_dir)), threshold=FZ.THRESHOLD, scorer=partial_similarity).select(
+        "q", "level", "name", "ord", "score")
+
+
 @register("gazetteer_lookup", ids="J7", sql=f"""WITH {SQL_GAZ.strip()}
 SELECT name, arg_min(province, ord) AS province FROM g GROUP BY name""")
 def gazetteer_lookup(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roamlens.functions.columns import chi_sq, numeric_stop, similarity, whitespace_to_commas, year_of, date_rest
 from roamlens.operators import extract as X
 from roamlens.operators import fuzzy as FZ
+from roamlens.operators import simjoin as SJ
 from roamlens.operators import lexicon as LX
 from roamlens.operators import relational as R
 from roamlens.operators import text as TX
@@ -183,7 +184,7 @@ def test_profile_and_url(spark):
 def test_similarity_and_blocking_exact(spark):
     q = spark.createDataFrame([("桂林市",), ("abc",), ("xyz",)], "q string")
     ch = spark.createDataFrame([(1, 1, "桂林"), (2, 1, "南宁"), (3, 2, "abd")], "ord long, level int, name string")
-    got = {(r.q, r.name): r.score for r in FZ.candidates(q, ch).collect()}
+    got = {(r.q, r.name): r.score for r in SJ.candidates(q, ch).collect()}
     assert got == {("桂林市", "桂林"): 67, ("abc", "abd"): 67}
 
 
@@ -214,7 +215,7 @@ def test_scorer_is_a_parameter(spark):
     from roamlens.functions.columns import partial_similarity
     q = spark.createDataFrame([("广西桂林",), ("xyz",)], "q string")
     ch = spark.createDataFrame([(1, 1, "桂林"), (2, 1, "南宁")], "ord long, level int, name string")
-    got = {(r.q, r.name): r.score for r in FZ.candidates(q, ch, threshold=60, scorer=partial_similarity).collect()}
+    got = {(r.q, r.name): r.score for r in SJ.candidates(q, ch, threshold=60, scorer=partial_similarity).collect()}
     assert got == {("广西桂林", "桂林"): 100}
 
 
@@ -236,8 +237,8 @@ def test_prefix_filter_is_exact(spark):
     cs = ["".join(rnd.choice(alpha) for _ in range(rnd.randint(1, 9))) for _ in range(80)]
     q = spark.createDataFrame([(x,) for x in qs], "q string")
     ch = spark.createDataFrame([(i, 1 + i % 3, x) for i, x in enumerate(cs)], "ord long, level int, name string")
-    full = {(r.q, r.ord, r.score) for r in FZ.candidates(q, ch, threshold=0).collect() if r.score > 60}
-    pref = {(r.q, r.ord, r.score) for r in FZ.candidates(q, ch, threshold=60).collect()}
+    full = {(r.q, r.ord, r.score) for r in SJ.candidates(q, ch, threshold=0).collect() if r.score > 60}
+    pref = {(r.q, r.ord, r.score) for r in SJ.candidates(q, ch, threshold=60).collect()}
     assert full and pref == full
 
 
