@@ -237,11 +237,11 @@ SELECT doc_id, round(1 / (1 + exp(l0 - l1)), 6) AS p_pos, CAST(l1 > l0 AS INTEGE
 def _nb(spark, sf_dir, model_type):
     t = Tables(spark, sf_dir)
     lab = _labelled(t)
-    vocab = ML.collect_vocabulary(FT.best_words(FT.class_scores(lab, "words", "label"), K_BEST))
+    vocab = FT.best_words(FT.class_scores(lab, "words", "label"), K_BEST)
     return ML.naive_bayes_scores(lab, _docs(t), "doc_id", "words", "label", vocab, model_type)
 
 
-@register("bernoulli_nb_scores", ids="M9 M18 S19", sql=SQL_BERNOULLI)
+@register("bernoulli_nb_scores", ids="M9 M18", sql=SQL_BERNOULLI)
 def bernoulli_nb_scores(spark, sf_dir):
     return _nb(spark, sf_dir, "bernoulli")
 
