@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import chi_sq, col_, pmi, round6
+from roamlens.operators.ordering import top_k_per_group
 
 
 def bag_of_words(words) -> Column:
@@ -71,19 +72,24 @@ def best_word_features(df: DataFrame, key: str, words: str, best: DataFrame,
 def bigram_scores(df: DataFrame, words: str, by=None) -> DataFrame:
     """N5/F1 collocation scores over a corpus (or per ``by`` group): n_ii the
     pair count, n_ix / n_xi the unigram counts of w1 / w2, n_xx the number of
-    words; chi-square and PMI."""
+    words; chi-square and PMI.
+
+    Every word leaves its document once, with the word after it ('' for the last), and
+    one aggregation counts the pairs; the counts of words and their total are sums over
+    them.  (No column can be null, so all uses share one exchange.)"""
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
-    uni = df.select(*by, F.explode(words).alias("w")).groupBy(*by, "w").agg(F.count(F.lit(1)).alias("c"))
-    tot = uni.groupBy(*by).agg(F.sum("c").alias("n_xx"))
-    pairs = (df.select(*by, F.explode(bigrams(words)).alias("b"))
-             .groupBy(*by, F.col("b.w1").alias("w1"), F.col("b.w2").alias("w2"))
-             .agg(F.count(F.lit(1)).alias("n_ii")))
-    u1 = uni.select(*by, F.col("w").alias("w1"), F.col("c").alias("n_ix"))
-    u2 = uni.select(*by, F.col("w").alias("w2"), F.col("c").alias("n_xi"))
+    w = col_(words)
+    after = F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit("")))
+    ex = df.filter(F.size(w) > 0).select(*by, F.inline(F.arrays_zip(w.alias("w1"), after.alias("w2"))))
+    solid = [F.coalesce(c, F.lit("")).alias(c) for c in ("w1", "w2")]
+    counts = ex.select(*by, *solid).groupBy(*by, "w1", "w2").agg(F.count(F.lit(1)).alias("n_ii"))
+    uni = counts.groupBy(*by, "w1").agg(F.sum("n_ii").alias("n_ix"))
+    second = uni.select(*by, F.col("w1").alias("w2"), F.col("n_ix").alias("n_xi"))
+    j = counts.join(uni, [*by, "w1"]).join(second, [*by, "w2"])
     if by:
-        j = pairs.join(u1, by + ["w1"]).join(u2, by + ["w2"]).join(tot, by)
+        j = j.join(counts.groupBy(*by).agg(F.sum("n_ii").alias("n_xx")), by)
     else:
-        j = pairs.join(u1, "w1").join(u2, "w2").withColumn("n_xx", tot.select("n_xx").scalar())
+        j = j.withColumn("n_xx", counts.agg(F.sum("n_ii")).scalar())
     return j.select(*by, "w1", "w2", "n_ii", "n_ix", "n_xi", "n_xx",
                     round6(chi_sq("n_ii", "n_ix", "n_xi", "n_xx")).alias("chi_sq"),
                     round6(pmi("n_ii", "n_ix", "n_xi", "n_xx")).alias("pmi"))
@@ -97,3 +103,29 @@ def top_bigrams(scores: DataFrame, n: int, by=None, score: str = "chi_sq") -> Da
     by = [by] if isinstance(by, str) else list(by)
     w = Window.partitionBy(*by).orderBy(F.desc(score), "w1", "w2")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
+def best_bigram_features(df: DataFrame, key: str, words: str, n: int, score: str = "chi_sq", sep: str = "_",
+                         out: str = "features") -> DataFrame:
+    """Each document's words and the ``n`` best of its own bigrams under a measure
+    (F1: ``chi_sq`` or ``pmi``), in order of their rank.  ``key`` names a document."""
+    best = top_bigrams(bigram_scores(df.select(key, words), words, by=key), n, by=key, score=score)
+    found = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(sep, "w1", "w2").alias("b")))),
+                                              lambda s: s["b"]).alias("__b"))
+    return df.join(found, key, "left").withColumn(out, F.concat(words, F.coalesce("__b", F.array().cast("array<string>")))).drop("__b")
+
+
+def class_collocations(df: DataFrame, label: str, words: str, n: int, score: str = "chi_sq") -> DataFrame:
+    """The ``n`` best bigrams of each class's own text under a measure.  A class
+    may hold most rows, so it is ranked in salted parts first."""
+    scores = bigram_scores(df.select(label, words), words, by=label)
+    return top_k_per_group(scores, [label], [F.desc(score), "w1", "w2"], n, "w1")
+
+
+def collocation_word_scores(df: DataFrame, label: str, words: str, n: int, positive=1, score: str = "chi_sq", sep: str = "_") -> DataFrame:
+    """Informativeness (N7) of the words and of each class's ``n`` best bigrams, of
+    which a class counts each of its own once."""
+    single = df.select((F.col(label) == positive).alias("__y"), F.explode(words).alias("word"))
+    pairs = class_collocations(df, label, words, n, score)
+    counts = single.unionByName(pairs.select((F.col(label) == positive).alias("__y"), F.concat_ws(sep, "w1", "w2").alias("word")))
+    return class_scores(counts.withColumn("__f", F.array("word")).drop("word"), "__f", "__y", positive=True)

@@ -39,6 +39,8 @@ DICTIONARY = ["the", "then", "he", "her", "here", "there", "and", "an", "on", "o
 K_BEST = 1500
 BIGRAMS_PER_CORPUS = 5000
 BIGRAMS_PER_DOC = 1000
+BIGRAMS_PER_CLASS = 5000
+FEATURE_BIGRAMS = 20
 KEYWORDS = 100
 
 # ------------------------------------------------------------------ SQL fragments
@@ -200,7 +202,7 @@ def doc_bigram_top(spark, sf_dir):
         "doc_id", "w1", "w2", "n_ii", "chi_sq", "rank")
 
 
-@register("word_bigram_scores", ids="N8 N6 U2", sql=f"""
+@register("word_bigram_scores", ids="N7 U2", sql=f"""
 WITH lt AS ({LABELLED_SQL}),
 t AS (SELECT label, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1),
         lambda i: w[i] || '_' || w[i + 1]))) AS word FROM lt),
@@ -215,6 +217,58 @@ def word_bigram_scores(spark, sf_dir):
     return FT.best_words(FT.class_scores(lab, "feats", "label"), K_BEST)
 
 
+def _collocation_sql(by: str) -> str:
+    """CTEs: both measures of the bigrams inside each ``by`` group."""
+    return f"""
+p AS (SELECT {by}, w[i] AS w1, w[i + 1] AS w2
+      FROM (SELECT {by}, w, unnest(generate_series(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 2)),
+u AS (SELECT {by}, word, count(*) AS c FROM (SELECT {by}, unnest(w) AS word FROM t) GROUP BY 1, 2),
+tot AS (SELECT {by}, sum(c) AS n_xx FROM u GROUP BY 1),
+pc AS (SELECT {by}, w1, w2, count(*) AS n_ii FROM p GROUP BY 1, 2, 3),
+s AS (SELECT pc.{by}, pc.w1, pc.w2, n_ii, round({chi_sql('n_ii', 'u1.c', 'u2.c', 'tot.n_xx')}, 6) AS chi_sq,
+             round({pmi_sql('n_ii', 'u1.c', 'u2.c', 'tot.n_xx')}, 6) AS pmi
+      FROM pc JOIN u u1 ON u1.{by} = pc.{by} AND u1.word = pc.w1
+      JOIN u u2 ON u2.{by} = pc.{by} AND u2.word = pc.w2 JOIN tot ON tot.{by} = pc.{by}),
+m AS (SELECT {by}, w1, w2, n_ii, 'chi_sq' AS measure, chi_sq AS score FROM s UNION ALL SELECT {by}, w1, w2, n_ii, 'pmi', pmi FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY {by}, measure ORDER BY score DESC, w1, w2) AS rank FROM m)"""
+
+
+@register("doc_collocation_features", ids="N6 F1 U2", sql=f"""
+WITH t AS (SELECT doc_id, {TOK} AS w FROM documents),{_collocation_sql('doc_id')},
+b AS (SELECT doc_id, measure, string_agg(w1 || '_' || w2, ' ' ORDER BY rank) AS best FROM r WHERE rank <= {FEATURE_BIGRAMS} GROUP BY 1, 2)
+SELECT t.doc_id, x.measure, concat_ws(' ', nullif(array_to_string(t.w, ' '), ''), b.best) AS features
+FROM t CROSS JOIN (SELECT unnest(['chi_sq', 'pmi']) AS measure) x LEFT JOIN b ON b.doc_id = t.doc_id AND b.measure = x.measure""")
+def doc_collocation_features(spark, sf_dir):
+    """Words and the best bigrams of each document under either measure."""
+    d = _docs(Tables(spark, sf_dir)).select("doc_id", "words")
+    both = [FT.best_bigram_features(d, "doc_id", "words", FEATURE_BIGRAMS, score=m).select(
+        "doc_id", F.lit(m).alias("measure"), F.array_join("features", " ").alias("features")) for m in ("chi_sq", "pmi")]
+    return both[0].unionByName(both[1])
+
+
+@register("class_collocations", ids="N8 F1 T3", sql=f"""
+WITH t AS ({LABELLED_SQL}),{_collocation_sql('label')}
+SELECT label, measure, w1, w2, n_ii, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {BIGRAMS_PER_CLASS}""")
+def class_collocations(spark, sf_dir):
+    """The best bigrams of either class under either measure."""
+    lab = _labelled(Tables(spark, sf_dir))
+    both = [FT.class_collocations(lab, "label", "words", BIGRAMS_PER_CLASS, m).select(
+        "label", F.lit(m).alias("measure"), "w1", "w2", "n_ii", F.col(m).alias("score"), "rank") for m in ("chi_sq", "pmi")]
+    return both[0].unionByName(both[1])
+
+
+@register("collocation_word_scores", ids="N8 N7 F1", sql=f"""
+WITH t AS ({LABELLED_SQL}),{_collocation_sql('label')},
+f AS (SELECT label, unnest(w) AS word FROM t
+      UNION ALL SELECT label, w1 || '_' || w2 FROM r WHERE measure = 'chi_sq' AND rank <= {BIGRAMS_PER_CLASS}),
+c AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE label = 1) AS n_pos FROM f GROUP BY word),
+n AS (SELECT count(*) AS big_n, count(*) FILTER (WHERE label = 1) AS big_p FROM f)
+SELECT word, n, n_pos, n - n_pos AS n_neg,
+       round({chi_sql('n_pos', 'n', 'big_p', 'big_n')} + {chi_sql('n - n_pos', 'n', 'big_n - big_p', 'big_n')}, 6) AS score FROM c, n""")
+def collocation_word_scores(spark, sf_dir):
+    return FT.collocation_word_scores(_labelled(Tables(spark, sf_dir)), "label", "words", BIGRAMS_PER_CLASS)
+
+
 @register("bag_of_words", ids="N4 U3", sql=f"""
 SELECT doc_id, array_to_string(list_sort(list_distinct({TOK})), ' ') AS bag FROM documents""")
 def bag_of_words(spark, sf_dir):
