@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 
 from roamlens.functions.columns import numeric_stop, round6, runs_of, tokens
 from roamlens.operators.ordering import top_k_per_group
+from roamlens.operators.segment import segment
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "words", mode: str = "words",
-             n: int = 2) -> DataFrame:
+             n: int = 2, key: str | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """N1. ``words``: runs of letters (any script), lower-cased.
     ``alnum``: runs of letters or digits.  ``chars``: every letter on its own
-    (unspaced scripts).  ``ngram``: overlapping letter n-grams inside each run."""
+    (unspaced scripts).  ``ngram``: overlapping letter n-grams inside each run.
+    ``dictionary``: each run cut into words by the most likely path through the hits of
+    a ``dictionary`` (``word``, ``freq``); ``key`` names a row."""
+    if mode == "dictionary":
+        if key is None or dictionary is None:
+            raise ValueError("the dictionary mode needs a key and a dictionary")
+        return segment(df, key, text, dictionary, out)
     t = F.lower(F.col(text))
     if mode == "words":
         c = tokens(text)

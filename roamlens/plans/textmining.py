@@ -286,6 +286,41 @@ def bigram_word_features(spark, sf_dir):
                     .cast("long").alias("n_features"))
 
 
+SEGMENT_WORDS = 300
+
+
+@register("dictionary_tokens", ids="N1", sql=f"""
+WITH RECURSIVE t AS (SELECT doc_id, {TOK} AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS r, unnest(range(1, len(w) + 1)) AS p FROM t),
+d AS (SELECT r AS word, count(*) AS freq FROM e WHERE length(r) BETWEEN 2 AND 5 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {SEGMENT_WORDS}),
+k AS (SELECT ln(sum(freq)) AS total FROM d),
+runs AS (SELECT DISTINCT r FROM e),
+starts AS (SELECT r, unnest(range(1, length(r) + 1)) AS i FROM runs),
+hits AS (SELECT r, i, len, ln(freq) - total AS s FROM (SELECT r, i, unnest(range(1, least(5, length(r) - i + 1) + 1)) AS len FROM starts)
+           JOIN d ON d.word = substr(r, i, len), k
+         UNION ALL SELECT r, i, 1, -total FROM starts, k),
+h AS (SELECT r, i, list({{'s': s, 'l': len}}) AS c FROM hits GROUP BY 1, 2),
+dp(r, i, best, take) AS (
+  SELECT r, length(r), [CAST(0 AS DOUBLE)], CAST([] AS BIGINT[]) FROM runs
+  UNION ALL
+  SELECT r, i - 1, list_prepend(c.s, best), list_prepend(c.l, take)
+  FROM (SELECT dp.r, dp.i, best, take, list_reverse_sort(list_transform(h.c, lambda x: {{'s': x.s + best[x.l], 'l': x.l}}))[1] AS c
+        FROM dp JOIN h ON h.r = dp.r AND h.i = dp.i)),
+walk(r, i, take) AS (
+  SELECT r, CAST(1 AS BIGINT), take FROM dp WHERE i = 0
+  UNION ALL SELECT r, i + take[i], take FROM walk WHERE i + take[i] <= length(r)),
+pieces AS (SELECT r, count(*) AS n, string_agg(substr(r, i, take[i]), ' ' ORDER BY i) AS words FROM walk GROUP BY 1)
+SELECT t.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_tokens, coalesce(string_agg(words, ' ' ORDER BY p), '') AS tokens
+FROM t LEFT JOIN e ON e.doc_id = t.doc_id LEFT JOIN pieces ON pieces.r = e.r GROUP BY 1""")
+def dictionary_tokens(spark, sf_dir):
+    """Every run of letters of the documents cut by their own most frequent short words."""
+    docs = Tables(spark, sf_dir)["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    words = TX.tokenize(docs, "text").select(F.explode("words").alias("word")).filter(F.length("word").between(2, 5))
+    known = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "word").limit(SEGMENT_WORDS)
+    cut = TX.tokenize(docs, "text", out="tokens", mode="dictionary", key="doc_id", dictionary=known)
+    return cut.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
 # ------------------------------------------------------------------ keywords / clouds
 @register("tfidf_keywords", ids="N10 T4", sql=f"""
 WITH t AS (SELECT doc_id, lang, unnest({TOK}) AS word FROM documents),
