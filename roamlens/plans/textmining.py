@@ -11,6 +11,7 @@ from roamlens.operators import lexicon as LX
 from roamlens.operators import text as TX
 from roamlens.plans.registry import register
 from roamlens.plans.standins import Tables
+from roamlens.session import cut_lineage
 
 # Stop-word list (frequent function words of the four corpus
 # languages), used by the stop-word and word-cloud queries.
@@ -421,7 +422,8 @@ def lexicon_score_window(spark, sf_dir):
 @register("score_rank", ids="W1 T1", sql=SQL_SCORES + """
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores""")
 def score_rank(spark, sf_dir):
-    return LX.score_rank(_scores(spark, sf_dir), "doc_id").select("doc_id", "score", "rank")
+    scores = cut_lineage(_scores(spark, sf_dir))  # two columns, read by each pass of the ranking
+    return LX.score_rank(scores, "doc_id").select("doc_id", "score", "rank")
 
 
 @register("score_summary", ids="A23", sql=SQL_SCORES + """
