@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from roamlens.functions.columns import round6
 from roamlens.operators import bayes as BY
+from roamlens.operators import embedding as EM
 from roamlens.operators import evaluation as EV
 from roamlens.operators import features as FT
 from roamlens.operators import ml as ML
 from roamlens.operators import sampling as SM
+from roamlens.operators import vectors as VC
 from roamlens.operators.kernel import RandomFourierSVC
 from roamlens.plans.registry import register
 from roamlens.plans.standins import Tables
@@ -45,6 +47,49 @@ def w2v_vectors(spark, sf_dir):
     return ML.word2vec_sentence_vectors(d, "doc_id", "words", vector_size=100, seed=1)
 
 
+VECTOR_DIM, VECTOR_WINDOW, VECTOR_MIN, VECTOR_PCA = 64, 2, 5, 32
+
+
+@register("document_vectors", ids="M1 M2 J10", sql=f"""
+WITH t AS (SELECT doc_id, {TOK} AS w FROM documents),
+ex AS (SELECT doc_id, unnest(w) AS word FROM t),
+cn AS (SELECT word, count(*) AS c FROM ex GROUP BY 1),
+tot AS (SELECT sum(c) AS total FROM cn),
+known AS (SELECT word, ln(total / c) AS rare FROM cn, tot WHERE c >= {VECTOR_MIN}),
+one AS (SELECT w[i] AS word, w[i + k] AS other FROM (SELECT w, k, unnest(generate_series(1, len(w) - k)) AS i
+        FROM t, (SELECT unnest(range(1, {VECTOR_WINDOW + 1})) AS k) WHERE len(w) > k)),
+nb AS (SELECT word, other, count(*) AS n FROM (SELECT word, other FROM one UNION ALL SELECT other, word FROM one) GROUP BY 1, 2),
+sg AS (SELECT word AS other, d, rare * (((CAST('0x' || substr(md5(word), d // 4 + 1, 1) AS INTEGER) >> (d % 4)) & 1) * 2 - 1) AS s
+       FROM known, (SELECT CAST(unnest(range(0, {VECTOR_DIM})) AS INTEGER) AS d)),
+v AS (SELECT nb.word, d, sum(n * s) AS x FROM nb JOIN sg USING (other) JOIN known ON known.word = nb.word GROUP BY 1, 2),
+nv AS (SELECT word, d, x / sqrt(sum(x * x) OVER (PARTITION BY word)) AS x FROM v),
+m AS (SELECT doc_id, d AS dim, round(avg(x), 6) + 0.0 AS mean, count(*) AS n_known FROM ex JOIN nv USING (word) GROUP BY 1, 2)
+SELECT * FROM m""")
+def document_vectors(spark, sf_dir):
+    """Mean of the co-occurrence vectors of each document's known words."""
+    d = _docs(Tables(spark, sf_dir)).select("doc_id", "words")
+    vecs = EM.word_vectors(d, "words", VECTOR_DIM, VECTOR_WINDOW, VECTOR_MIN)
+    return VC.known_vector_mean(d, "doc_id", "words", vecs, "word", "vec")
+
+
+@register("embedding_chain", ids="M1 M2 M3 M4 M5 M6 M7 M8 A20 A21")
+def embedding_chain(spark, sf_dir):
+    """The embedding sentiment chain on the labelled documents: word vectors, their mean,
+    scaling, projection, kernel classifier; accuracy and AUC on the held-out part."""
+    t = Tables(spark, sf_dir)
+    docs = _docs(t).select("doc_id", "words")
+    means = VC.known_vector_mean(docs, "doc_id", "words", EM.word_vectors(docs, "words", VECTOR_DIM, VECTOR_WINDOW, VECTOR_MIN), "word", "vec")
+    wide = means.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("vec"))
+    lab = cut_lineage(wide.join(t["labels"].select("doc_id", F.col("quality").alias("label")), "doc_id"))
+    s = SM.hash_split(lab, "doc_id", 1, 0.6).withColumn("y", F.col("label").cast("double"))
+    train, test = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+    _, scaled = ML.scale_and_project(train, "vec", k=VECTOR_PCA)  # fitted on the training part alone
+    vector = lambda df: scaled.transform(df.withColumn("__vec", array_to_vector("vec"))).withColumnRenamed("__p", "features")
+    out = RandomFourierSVC(labelCol="y", maxIter=100).fit(vector(train)).transform(vector(test))
+    scored = cut_lineage(out.select("label", F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("score")))
+    return EV.auc(scored).join(EV.accuracy(scored))
+
+
 @register("pca_project", ids="M4 M5")
 def pca_project(spark, sf_dir):
     e = Tables(spark, sf_dir)["embeddings"]
