@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_", "blank_to_null", "not_blank", "year_of", "date_rest", "numeric_stop",
-    "whitespace_to_commas", "first_digits", "runs_of", "tokens", "chi_sq", "pmi", "chi_sq_pair",
+    "whitespace_to_commas", "first_digits", "runs_of", "tokens", "chi_sq", "pmi",
     "normalise_name", "similarity", "partial_similarity", "round6", "ts_text",
 ]
 
@@ -95,12 +95,6 @@ def chi_sq(n_ii, n_ix, n_xi, n_xx) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(n * F.pow(a * d - b * c, 2) / den)
 
 
-def chi_sq_pair(n_ii, n_ix, n_xi, n_xx) -> Column:
-    """N7 word informativeness: chi-square of (word, class) given word count,
-    class total and grand total; same table as ``chi_sq``."""
-    return chi_sq(n_ii, n_ix, n_xi, n_xx)
-
-
 def pmi(n_ii, n_ix, n_xi, n_xx) -> Column:
     """F1 alternative measure: log2(n_ii * n_xx / (n_ix * n_xi))."""
     num = _d(n_ii) * _d(n_xx)

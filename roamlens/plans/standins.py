@@ -70,8 +70,9 @@ class Tables:
 SQL_COMMENT_COLS = """l.l_partkey AS poi_id, l.l_orderkey AS order_key, l.l_linenumber AS line_no,
        strftime(l.l_shipdate, '%Y-%m-%d %H:%M:%S') AS comment_time, l.l_linenumber AS comment_star"""
 
-SQL_POPULAR_IN = f"""l.l_partkey IN (SELECT l_partkey FROM (SELECT count(l_partkey) AS c, l_partkey
-       FROM lineitem GROUP BY l_partkey) c1 WHERE c1.c > {POPULAR_MIN} ORDER BY c1.c DESC)"""
+# places with more comments than the threshold
+SQL_POPULAR_IN = f"""EXISTS (SELECT 1 FROM lineitem same WHERE same.l_partkey = l.l_partkey
+       GROUP BY same.l_partkey HAVING count(*) > {POPULAR_MIN})"""
 
 SQL_POPULAR = f"""SELECT p.p_name AS scene_spot_name, {SQL_COMMENT_COLS}
 FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey
