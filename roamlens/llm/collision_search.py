@@ -32,8 +32,9 @@ CANDIDATES = 0.4
 #: First half-width of a window, against the spread of the projections, and its growth.
 WIDTH, GROWTH = 0.85, 1.1
 SEED = 4021
-#: Rows of a segment and of a query block: a share of the table within these bounds.
-SEGMENT_ROWS, BLOCK_ROWS, SHARES = (4_096, 65_536), (128, 16_384), (4, 12)
+#: Rows of a segment: this share of the table within these bounds.  Queries of a block:
+#: the table is copied, and its arrays built, once for each block, so blocks are large.
+SEGMENT_SHARE, SEGMENT_ROWS, BLOCK_ROWS = 8, (4_096, 65_536), 16_384
 
 
 def usable(vector: Column) -> Column:
@@ -144,7 +145,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_col: s
 
     Rows with a null id, an unusable vector or another length than most take no part;
     rows with the query's own id are no candidates, repeated ids are single rows of
-    the result; other columns are not read."""
+    the result (of an id asked for with several vectors the smallest asks); other
+    columns are not read."""
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"),
                           F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("v")))
@@ -157,12 +159,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, id_col: s
         return vectors.sparkSession.createDataFrame([], empty)
     size, top = dim["dim"], float(dim["top"])
     axes = directions(size + 1, min(m, 4 * (size + 1)))
-    deal = lambda n, bounds, share: max(1, -(-n // min(max(n // share, bounds[0]), bounds[1])))
-    segments, blocks = deal(dim["n"], SEGMENT_ROWS, SHARES[0]), deal(dim["nq"], BLOCK_ROWS, SHARES[1])
+    in_segment = min(max(dim["n"] // SEGMENT_SHARE, SEGMENT_ROWS[0]), SEGMENT_ROWS[1])
+    segments, blocks = max(1, -(-dim["n"] // in_segment)), max(1, -(-dim["nq"] // BLOCK_ROWS))
     rows = rows.filter(F.col("dim") == size)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     data = rows.select("id", "v", F.pmod(F.xxhash64("id", "norm"), F.lit(segments)).alias("segment"), every(blocks).alias("block"))
-    asked = rows.filter("q").select("id", "v").dropDuplicates(["id"])
+    asked = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.select("id", "v", F.pmod(F.xxhash64(F.lit(SEED), F.col("id")), F.lit(blocks)).alias("block"),
                          every(segments).alias("segment"))
     fn = lambda key, a, b: search_group(key, a, b, top, axes, k, threshold, share)

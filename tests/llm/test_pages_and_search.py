@@ -346,3 +346,11 @@ def test_search_segments():
         hit += len(set(ids) & set(exact))
         assert len(segment.candidates(q, int(np.ceil(C.THRESHOLD * 64)), 600)) < 2001
     assert hit >= 0.9 * 40 * 21
+
+
+def test_repeated_query_ids_ask_with_the_smallest_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.5])]
+    for part in (rows, rows[::-1]):
+        df = spark.createDataFrame(part, "vec_id long, embedding array<double>").repartition(3)
+        got = C.nearest(df, F.col("vec_id") == 0).collect()
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2.0), (2, 0.5)]
