@@ -44,8 +44,8 @@ def lexicon_hits(df: DataFrame, key: str, words: str, lexicon: DataFrame,
                  all_occurrences: bool = False) -> DataFrame:
     """(key, word, pos, kind, weight) for every lexicon word of each
     document, at its last position (or every position with
-    ``all_occurrences``).  The merged lexicon is joined by broadcast after a
-    size check, before any shuffle, so only hits move."""
+    ``all_occurrences``).  The words meet the merged lexicon in a join whose form AQE
+    picks from the lexicon's bytes; only hits go on."""
     lex = merge_lexicon(lexicon)
     ex = df.select(key, F.posexplode(words).alias("pos", "word")).join(lex, "word")
     if all_occurrences:

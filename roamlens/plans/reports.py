@@ -231,7 +231,7 @@ def update_from(spark, sf_dir):
     return R.update_from(target, upd, "custom_id", "custom_province")
 
 
-@register("poi_names", ids="S3 S18 P4", sql="""
+@register("poi_names", ids="S3 P4", sql="""
 SELECT p_name AS scene_spot_name FROM part WHERE p_name IS NOT NULL AND trim(p_name) <> ''""")
 def poi_names(spark, sf_dir):
     """S3: the POI-name projection that feeds the name dictionary."""
