@@ -23,7 +23,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data
 def test_registered():
     names = list(E.queries())
     assert names[-1] == "pipeline"
-    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "pseudonyms", "mix", "pieces"]
 
 
