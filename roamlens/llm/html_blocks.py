@@ -4,7 +4,7 @@ A page is cut into flat blocks at its block-level tags.  A block is described by
 its own word count and link density, those of its two neighbours, and where it
 stands (inside the article, inside furniture, a list item, a heading).  A decision
 tree trained on the small labelled pages below (marked block by block) says which
-blocks are main text.  All work on a page is inside its row.
+blocks are main text; where no name or tag tells, the neighbours decide.  All work on a page is inside its row.
 """
 
 from __future__ import annotations
@@ -49,8 +49,18 @@ FURNITURE_WORDS = frozenset(
     "signup login share sharing social related recommended pager pagination widget toolbar copyright legal disclaimer "
     "comment comments reply replies responses disqus discussion respond feedback".split())
 MAIN_WORDS = frozenset("article content post entry story main body".split())
-#: An open tag of these ends an open element of the same name (their end tags may be left out).
-SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+#: What an opening tag ends where an end tag was left out: an open element of the same
+#: group, unless one of its bounds was opened since.  Any of ENDS_PARAGRAPH ends an open p.
+_LISTS = "ul ol menu dl table td th caption button object html article aside section nav main header footer blockquote details fieldset figure form"
+_CELL = "td th caption button object html"
+GROUPS = (("p", "p", "table " + _CELL), ("item", "li", _LISTS), ("term", "dt dd", _LISTS), ("cell", "td th", "table html"), ("row", "tr", "table html"),
+          ("part", "thead tbody tfoot", "table html"), ("option", "option", "datalist html"), ("heading", "h1 h2 h3 h4 h5 h6", None))
+CLOSES = {"li": ("item",), "dt": ("term",), "dd": ("term",), "td": ("cell",), "th": ("cell",), "tr": ("cell", "row"),
+          "thead": ("cell", "row", "part"), "tbody": ("cell", "row", "part"), "tfoot": ("cell", "row", "part"), "option": ("option",)}
+ENDS_PARAGRAPH = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+                           "header hr li main menu nav ol p pre search section table ul".split())
+#: End tags that reach past a cell; those of other elements stay inside it.
+TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption body html".split())
 
 FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density",
             "in_main", "in_furniture", "in_list", "is_heading", "in_paragraph", "page_has_main")
@@ -62,13 +72,18 @@ FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_wo
 HARD, SOFT, NAMED, MAIN = 1, 2, 3, 4
 #: A class that tells how the page is laid out, not what the element is.
 _LAYOUT = re.compile(r"(?:has|have|no|with|without)[-_]")
+#: Words of notices, adverts and comments: an element with one never wraps a whole page
+#: (unless an article or main element says so).
+NEVER_WRAP = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice gdpr popup modal newsletter "
+    "subscribe signup login comment comments reply replies responses disqus discussion respond feedback related recommended".split())
 
 
-def _kind(tag: str, attrs: str, inside_main: bool) -> int:
-    """One of the above, furniture first, or 0."""
+def _kind(tag: str, attrs: str, inside_main: bool) -> tuple[int, bool]:
+    """One of the above, furniture first, or 0; and whether it may wrap a whole page."""
     hard = (tag in FURNITURE_TAGS and tag != "form") or (tag == "header" and not inside_main)
     soft = tag == "form"
-    main, named = tag in MAIN_TAGS, False
+    main, named, wraps = tag in MAIN_TAGS, False, True
     if attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             value, name = (a or b or c).lower(), name.lower()
@@ -81,45 +96,146 @@ def _kind(tag: str, attrs: str, inside_main: bool) -> int:
                 words = set(re.split(r"[^a-z]+", " ".join(x for x in value.split() if not _LAYOUT.match(x))))
                 soft |= bool(words & FURNITURE_WORDS)
                 named |= bool(words & MAIN_WORDS)
-    return HARD if hard else SOFT if soft else MAIN if main else NAMED if named else 0
-
-
-def _wrappers(found: list[tuple]) -> int:
-    """How many soft furniture elements merely wrap the page's main text: none if an
-    article or main element has text outside of any, else the fewest around articles
-    and main elements with half as many words as those of any other number."""
+                wraps &= not words & NEVER_WRAP
+    return (HARD if hard else SOFT if soft else MAIN if main else NAMED if named else 0), wraps
+
+
+class _Open:
+    """The open elements.  What holds at the present place is kept in counts that change
+    as elements open and close, so a place costs the same at any depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}  # places in the stack, by tag and by group
+        self.of: dict[str, list[str]] = {}
+        for group, tags, bounds in GROUPS:
+            for t in tags.split():
+                self.of.setdefault(t, []).append("+" + group)
+            for t in (bounds or "").split():
+                self.of.setdefault(t, []).append("-" + group)
+        for t in "td th caption button object html table".split():
+            self.of.setdefault(t, []).append("-end")
+        for t in PARAGRAPHS:
+            self.of.setdefault(t, []).append("text")
+        self.hard = self.named = 0
+        #: Soft elements around the innermost article or main element.
+        self.main: list[int] = []
+        #: Open soft elements; for each of the page, the one around it and whether it may wrap the page.
+        self.soft: list[int] = []
+        self.softs: list[tuple[int, bool]] = []
+
+    def last(self, key: str) -> int:
+        places = self.at.get(key)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, attrs: str) -> None:
+        kind, wraps = _kind(tag, attrs, bool(self.named or self.main))
+        for key in (tag, *self.of.get(tag, ())):
+            self.at.setdefault(key, []).append(len(self.stack))
+        self.stack.append((tag, kind))
+        if kind == HARD:
+            self.hard += 1
+        elif kind == SOFT:
+            self.softs.append((self.soft[-1] if self.soft else -1, wraps))
+            self.soft.append(len(self.softs) - 1)
+        elif kind == MAIN:
+            self.main.append(len(self.soft))
+        elif kind == NAMED:
+            self.named += 1
+
+    def cut(self, place: int) -> None:
+        """Closes the element at ``place`` and all inside it."""
+        while len(self.stack) > place:
+            tag, kind = self.stack.pop()
+            for key in (tag, *self.of.get(tag, ())):
+                self.at[key].pop()
+            if kind == HARD:
+                self.hard -= 1
+            elif kind == SOFT:
+                self.soft.pop()
+            elif kind == MAIN:
+                self.main.pop()
+            elif kind == NAMED:
+                self.named -= 1
+
+    def opening(self, tag: str) -> None:
+        """Closes what the opening of ``tag`` ends."""
+        if self.last("head") >= 0:
+            self.cut(self.last("head"))
+        for group in CLOSES.get(tag, ()) + (("p",) if tag in ENDS_PARAGRAPH else ()):
+            place = self.last("+" + group)
+            if place > self.last("-" + group):
+                self.cut(place)
+        if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self.cut(len(self.stack) - 1)
+
+    def closing(self, tag: str) -> None:
+        place = self.last(tag)
+        bound = self.last("table") if tag in TABLE_TAGS and tag not in ("table", "body", "html") else -1 if tag in TABLE_TAGS else self.last("-end")
+        if place >= 0 and place >= bound:
+            self.cut(place)
+
+    def state(self) -> tuple:
+        around = self.main[-1] if self.main else None
+        return ((self.hard > 0, len(self.soft), around, self.soft[-1] if self.soft else -1), bool(self.main or self.named), bool(self.at.get("li")),
+                bool(self.at.get("+heading")), bool(self.at.get("text")))
+
+
+def _in_furniture(found: list[tuple], softs: list[tuple[int, bool]]) -> list[bool]:
+    """Which blocks stand in furniture.  Soft furniture is none where it merely wraps the
+    page's main text.
+
+    With articles or main elements: where none of them has text outside of any soft
+    element, the fewest around those with half as many words as those of any other number
+    wrap.  Without: if no named main text stands outside of soft elements, a soft element that
+    may wrap does so if it holds three quarters of the words that are neither links nor in
+    furniture of another kind."""
     size: dict[int, int] = {}
     for block in found:
-        hard, soft, around = block[3]
+        hard, soft, around, _ = block[3]
         if around is not None and soft == around and not hard:
             size[around] = size.get(around, 0) + block[1]
-    return 0 if not size or 0 in size else min(k for k in size if 2 * size[k] >= max(size.values()))
+    base = 0 if not size or 0 in size else min(k for k in size if 2 * size[k] >= max(size.values()))
+    wraps = [False] * len(softs)
+    if not size and any(b[3][1] for b in found) and not any(b[4] and not b[3][0] and not b[3][1] for b in found):
+        may = [w for _, w in softs]
+        for i, (around, _) in enumerate(softs):  # an element comes after those around it
+            may[i] &= around < 0 or may[around]
+        words, total = [0] * len(softs), 0
+        for b in found:
+            hard, _, _, inner = b[3]
+            if not hard and (inner < 0 or may[inner]):
+                total += b[1] - b[2]
+                if inner >= 0:
+                    words[inner] += b[1] - b[2]
+        for i in range(len(softs) - 1, -1, -1):
+            if softs[i][0] >= 0:
+                words[softs[i][0]] += words[i]
+        for i, (around, _) in enumerate(softs):
+            wraps[i] = may[i] and 4 * words[i] >= 3 * total > 0 and (around < 0 or wraps[around])
+
+    def furniture(hard, soft, around, inner) -> bool:
+        return hard or (soft > base if around is not None else inner >= 0 and not wraps[inner])
+
+    return [furniture(*b[3]) for b in found]
 
 
 def blocks(html: str) -> list[tuple]:
     """(text, words, linked words, in main, in furniture, in a list, heading, in a
-    paragraph) of each flat block with a word, in page order."""
+    paragraph) of each flat block with a word, in page order.  Linear in the page."""
     out: list[tuple] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []
+    opened = _Open()
     at, links = 0, 0
 
-    def state() -> tuple:
-        kinds = [k for _, k in stack]
-        names = [t for t, _ in stack]
-        # Soft furniture in all, and around the innermost article or main element.
-        last = max((i for i, k in enumerate(kinds) if k == MAIN), default=None)
-        around = None if last is None else kinds[:last].count(SOFT)
-        return (HARD in kinds, kinds.count(SOFT), around), last is not None or NAMED in kinds, "li" in names, any(t in HEADINGS for t in names), any(t in PARAGRAPHS for t in names)
-
     def flush() -> None:
         if text:
             s = _SPACE.sub(" ", htmllib.unescape("".join(text))).strip()
             if s:
                 n = len(s.split())
                 inside = len(htmllib.unescape("".join(linked)).split())
-                out.append((s, n, min(n, inside), *state()))
+                out.append((s, n, min(n, inside), *opened.state()))
             text.clear()
             linked.clear()
 
@@ -143,22 +259,20 @@ def blocks(html: str) -> list[tuple]:
             continue
         flush()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        elif tag not in VOID:
-            if tag in SELF_CLOSING and stack and stack[-1][0] == tag:
-                stack.pop()
-            if tag == "body":  # the head's end tag may be missing
-                stack = [x for x in stack if x[0] != "head"]
+            opened.closing(tag)
+        elif tag in VOID:
+            if tag in ENDS_PARAGRAPH:
+                opened.opening(tag)
+        else:
+            opened.opening(tag)
             if not m["attrs"].endswith("/"):
-                stack.append((tag, _kind(tag, m["attrs"], any(k in (NAMED, MAIN) for _, k in stack))))
+                opened.push(tag, m["attrs"])
     if at < len(html):
         text.append(html[at:])
+        if links:
+            linked.append(html[at:])
     flush()
-    base = _wrappers(out)
-    return [(*b[:3], b[4], b[3][0] or b[3][1] > (base if b[3][2] is not None else 0), *b[5:]) for b in out]
+    return [(*b[:3], b[4], furniture, *b[5:]) for b, furniture in zip(out, _in_furniture(out, opened.softs))]
 
 
 def features(found: list[tuple]) -> list[list[float]]:
@@ -227,14 +341,141 @@ LABELLED_PAGES = (
     "<p>+Nets are mended in winter.</p><p>+It takes two people, a long table and more patience than most of them have in the first week of it.</p>"
     "<div class=share><a>-Tweet</a></div></article><aside><p>-The shop by the harbour sells nets to all who ask for them politely before noon.</p></aside>"
     "<div class=related><article><h3>-How to mend a chair</h3><p>-Take the seat off first.</p></article></div></div></div>",
+    "<body><div><a>-Boats</a></div><article><h1><a>+Boats for the winter</a></h1><p><a>+The list of all boats that lie in the harbour until the ice is gone</a></p>"
+    "<p><a>+A boat</a></p><div><a>+A drawing of the boat</a></div><p>+It is drawn up.</p><p><a>+The drawing</a> <a>+and the plan</a></p>"
+    "<ul><li><a>+Hull</a><li><a>+Mast and all that hangs from it when the wind is gone</a></ul><h2><a>+Where it lies</a></h2><div>+By the wall.</div>"
+    "<div><a>+Harbour plan</a></div><p>+It lies by the wall where the water is deep enough for it at any time of the day.</p></article><div><a>-Top</a></div><ul><li><a>-Nets</a></ul>",
+    "<body><h2><a>-Site</a></h2><main><div><a>+The whole of the first line leads to another page of the same book</a></div><p><a>+One</a></p><p><a>+Two words</a></p>"
+    "<blockquote><a>+A saying of three</a></blockquote><h3><a>+Notes</a></h3><ol><li><a>+First note</a><li><a>+Second note</a></ol></main><p><a>-Mail</a></p><div><a>-Print this</a></div>",
+    "<body><p>+The ferry did not come.</p><p>+It had run out of coal on the other side of the sound, and the stoker had gone home to fetch some from his cellar.</p>"
+    "<p>+We waited on the quay with our boxes until the lamps were lit and the cook asked all of us in.</p>"
+    "<div class=sidebar><h3>-The house</h3><p>-Everyone who sails into our harbour should read these lines before the mast comes down and the nets are hung up.</p>"
+    "<p>-They were written by people who came here by mistake and who stayed because the soup was better than elsewhere.</p>"
+    "<div>-Whoever wishes to add a line may write it on the back of a card and leave it with the cook.</div></div>"
+    "<div class=comments><p>-I was on that ferry and can say that there was coal enough, only nobody had wanted to carry it up.</p><p>-So was I.</p>"
+    "<p>-Then you will remember the stoker, who sang all night and did not let anybody sleep before the morning came.</p></div>"
+    "<div id=cookies><p>-This house keeps a list of those who read its letters, and by reading on you agree to be on it.</p><p>-You may ask to see it.</p>"
+    "<p>-The list is kept in the kitchen, under the bread, and is burned at the end of each year with the other lists.</p></div>"
+    "<div class=advert><div>-Coal of the best kind is sold by the brother of the stoker, who will bring it to your ship by night.</div>"
+    "<div>-He takes no money before the fire burns, and he carries the ash away when you leave the harbour again.</div></div>",
     "<body><form id=page><div class='with-nav'><div class=menu><a>-Start</a></div><main class=sidebar-right><p>-A box.</p></main><main><h1>+Oars</h1>"
     "<p>+Short.</p><p>+Oars are made of ash, and ash does not mind the salt as much as other woods that grow here.</p></main></div></form>",
 )
 
 
+#: Pages whose blocks are plain boxes without a telling name or tag, one to a line and
+#: labelled the same way ("a:" is a wholly linked box).  A short box is main text between two long
+#: ones of prose, and none among links, at the ends of a page or between other short boxes.
+PLAIN_PAGES = (
+    """a:-Home
+a:-All letters
+-The letter box
++A letter from the lighthouse came with the last boat of the year, and it took us two evenings to read all of it aloud.
++It began with the weather.
++The wind had turned in the night and the keeper had not slept, since the lamp had to be watched until the morning came.
++Nobody came.
++For six weeks no boat could land, and the bread was made from the flour that had been kept for the summer guests.
+a:-Older letters
+-Written by hand
+-Sent in June""",
+    """-Garden notes
+a:-Beds
+a:-Trees
++Beans want warm ground, and those who sow them in April will sow them a second time in May when the first have rotted.
++Wait for it
++A hand that lies flat on the soil for a minute and does not grow cold is the best tool that a gardener can own.
++Then sow them deep
++Two beans in a hole, one for the mouse and one for the kitchen, is what the old people of the village used to say.
+a:-More on beans
+-Rain tonight
+a:-Seeds by post
+-Open on Sundays""",
+    """a:-Start
+-Road news
+-Updated at noon
+-No delays
++The road over the pass was closed at noon after a lorry had lost its load of bricks on both lanes near the chapel.
++Nobody was hurt
+a:-Map of the pass
++Helpers from three villages cleared the bricks by hand until the evening, and the road was opened again before it grew dark.
+-Call the road line
+-Snow chains
+a:-Webcam""",
+    """-Today
+-Soup of the day
+a:-Menu
+a:-Tables
++Our kitchen has cooked with the same pot since the house was built, and the pot has never once been empty in all that time.
++It is a big pot.
++Whoever comes in from the cold gets a bowl before being asked for a name, and pays when the boat has brought the money.
++So it was.
++So it will stay as long as there is someone who gets up at four in the morning to light the fire under it.
+-Cash only
+-Dogs welcome
+a:-How to find us""",
+    """a:-Back
+a:-Forward
+-Page nine
++The ninth day was spent in the tent, as the rain did not stop and the river had come up to the stones of the hearth.
+a:-Picture of the tent
++We played cards with what was left of the pack, and the one who lost had to go out and look at the water.
++Towards evening
++It sank by a hand, and then by another, and when the moon came out we could hear the stones again under the bridge.
+-Nine of thirty
+a:-Day ten""",
+    """-Lost and found
+-Ask inside
++A brown dog with one white foot was seen on the quay on Friday and again on Sunday, and it seems to belong to nobody.
++It is friendly.
++It will take bread from any hand, but it does not want to be held, and it sleeps under the boat with the red stripe.
+-No calls at night
+-Thank you
+a:-More notices""",
+    """a:-Index
+-Volume two
+-Chapter four
++The miller had three sons and a mill that stood still for half of the year, since the brook was dry from May to autumn.
++The eldest left.
++He went down to the coast with a sack of flour on his back, and sold it in the first harbour for a knife and a coat.
++The second left.
++He took the donkey with him and was not heard of again until the donkey came back alone with a letter tied to its neck.
+-Four of twelve
+a:-Chapter five
+-Printed in Lisbon""",
+    """a:-News
+a:-Shop
+a:-Help
+-Basket empty
+-Free returns
++This lamp was made to burn for ten hours without being filled, and it did so in each of the forty nights we tried it.
++It is not light.
++The foot is cast from iron so that it stands when the ship rolls, and the glass can be changed without any tools at all.
+-In stock
+-Two years warranty
+a:-Add to basket
+-Ships on Monday
+a:-Other lamps""",
+)
+
+
+def plain_page(lines: str) -> str:
+    """The page of such a text."""
+    boxes = [f"<div><a>{x[2:]}</a></div>" if x.startswith("a:") else f"<div>{x}</div>" for x in lines.split("\n")]
+    return "<body>" + "".join(boxes)
+
+
+def framed_pages(lines: str) -> list[str]:
+    """The same boxes where furniture or an article around them tells, whatever stands beside them."""
+    boxes = plain_page(lines).removeprefix("<body>")
+    out, text = boxes.replace(">+", ">-"), boxes.replace(">-", ">+")
+    first = "<article><p>+Short.</p><p>+The article itself has a long line as well, and it ends where the next box begins to speak of something else.</p></article>"
+    return [f"<body><aside>{out}</aside>", f"<body>{first}<footer>{out}</footer>", f"<body><nav>{out}</nav>{first}", f"<body><main>{text}</main>"]
+
+
 def labelled_rows() -> list[tuple[list[float], float]]:
     rows = []
-    for page in LABELLED_PAGES:
+    framed = [page for lines in PLAIN_PAGES for page in framed_pages(lines)]
+    for page in (*LABELLED_PAGES, *map(plain_page, PLAIN_PAGES), *framed):
         found = blocks(page)
         for (text, *_), x in zip(found, features(found)):
             rows.append((x, float(text[0] == "+")))
