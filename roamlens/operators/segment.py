@@ -4,20 +4,62 @@ A run of letters is cut where the sum of its words' weights, the logarithms of t
 relative frequencies, is greatest; a letter on its own counts like a word seen once.
 Of equally good paths the one with the longer first word is taken.
 
-Every run's substrings up to the longest word are equi-joined with the dictionary, once
-for each distinct run.  The hits come back as an array with one entry for each letter,
-and a fold from the last letter to the first keeps the best weight of as many letters
-to come as the longest word has, and the length of the word that begins here."""
+The dictionary is written once and its size checked.  Up to MOST_WORDS words of MOST_LETTERS
+letters go to the tasks, where an Arrow function cuts each distinct run of a batch once:
+nothing is shuffled.  A larger one stays a table: the substrings of every distinct run, up to
+the longest word, are equi-joined with it; the hits come back as an array with one entry for
+each letter, and a fold from the last letter to the first keeps the best weight of as many
+letters to come as the longest word has, and the length of the word that begins here."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import runs_of
+from roamlens.session import cut_lineage, ship_package
 
 #: What stands between runs: all but letters.
 BETWEEN = r"\P{L}+"
+#: A dictionary within both goes to the tasks (about 30 MB in each Python worker).
+MOST_WORDS, MOST_LETTERS = 200_000, 2_000_000
+
+
+def best_cut(run: str, weights: dict[str, float], alone: float, longest: int) -> list[str]:
+    """The words of the best path of one run; ``alone`` is the weight of a single letter."""
+    n = len(run)
+    best, size = [0.0] * (n + 1), [1] * n
+    for i in range(n - 1, -1, -1):
+        top = alone + best[i + 1]
+        for k in range(1, min(longest, n - i) + 1):
+            w = weights.get(run[i:i + k])
+            if w is not None and w + best[i + k] >= top:
+                top, size[i] = w + best[i + k], k
+        best[i] = top
+    out, i = [], 0
+    while i < n:
+        out.append(run[i:i + size[i]])
+        i += size[i]
+    return out
+
+
+def _cutter(weights: dict[str, float], ln: float, longest: int):
+    """Column function: arrays of runs to arrays of their words, null to null."""
+    @F.arrow_udf("array<string>")
+    def words(runs: pa.Array) -> pa.Array:
+        def ends(lists):
+            return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+
+        each = runs.flatten().dictionary_encode()
+        cuts = pa.array([best_cut(r, weights, -ln, longest) for r in each.dictionary.to_pylist()], pa.list_(pa.string()))
+        found = cuts.take(each.indices)
+        at = pa.array(ends(found)[ends(runs)], pa.int32())
+        return pa.ListArray.from_arrays(at, found.flatten(), mask=runs.is_null())
+
+    return words
 
 
 def _paths(runs: DataFrame, dictionary: DataFrame, run: str) -> DataFrame:
@@ -56,12 +98,19 @@ def _words(run: str, lens: str):
 
 
 def segment(df: DataFrame, key: str, text: str, dictionary: DataFrame, out: str = "words", word_col: str = "word",
-            freq_col: str = "freq") -> DataFrame:
+            freq_col: str = "freq", most_words: int = MOST_WORDS) -> DataFrame:
     """``df`` with the words of ``text`` in ``out``.  ``key`` names a row.  ``dictionary`` has
     words and how often they were seen (a word given twice counts the sum; words of
-    other characters than letters meet nothing)."""
+    other characters than letters meet nothing).  One of more than ``most_words`` stays a table."""
     d = dictionary.select(F.lower(word_col).alias("word"), F.col(freq_col).alias("freq")).filter("word != '' AND freq > 0")
-    d = d.groupBy("word").agg(F.sum("freq").alias("freq"))
+    d = cut_lineage(d.groupBy("word").agg(F.sum("freq").alias("freq")))
+    size = d.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("letters"), F.max(F.length("word")).alias("longest"),
+                 F.log(F.sum("freq").cast("double")).alias("ln")).first()
+    if size.n <= most_words and (size.letters or 0) <= MOST_LETTERS:
+        ship_package(df.sparkSession)
+        weights = d.select("word", (F.log(F.col("freq").cast("double")) - F.lit(size.ln or 0.0)).alias("w"))
+        cut = _cutter({r.word: r.w for r in weights.toLocalIterator()}, size.ln or 0.0, size.longest or 1)
+        return df.withColumn(out, cut(runs_of(F.lower(text), BETWEEN)))
     runs = df.select(key, F.posexplode(runs_of(F.lower(text), BETWEEN)).alias("__p", "__run"))
     paths = _paths(runs.select("__run").distinct(), d, "__run")
     pieces = paths.select("__run", _words("__run", "__len").alias("__words"))

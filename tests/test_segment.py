@@ -4,7 +4,8 @@ import math
 import random
 import re
 
-from hypothesis import given, settings
+import pytest
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from roamlens.operators import segment as S
@@ -32,6 +33,13 @@ def plain(text, words):
     return out
 
 
+@pytest.fixture(params=["in tasks", "as a table"], autouse=True)
+def form(request, monkeypatch):
+    """Every test for a dictionary that goes to the tasks and for one that does not."""
+    if request.param == "as a table":
+        monkeypatch.setattr(S.segment, "__defaults__", (*S.segment.__defaults__[:-1], -1))
+
+
 def cut(spark, texts, dictionary=DICTIONARY):
     df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
     d = spark.createDataFrame(dictionary, "word string, freq long")
@@ -59,7 +67,21 @@ def test_empty_dictionary_and_repeated_words(spark):
     assert cut(spark, ["abab"], [("AB", 1), ("ab", 4), ("ba", 3), ("", 9), (None, 3)])[0] == ["ab", "ab"]
 
 
-@settings(max_examples=50, deadline=None)
+@settings(max_examples=50, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.text(alphabet="桂林山水甲天下去了 x", max_size=30))
 def test_plain_keeps_all_letters(text):
     assert "".join(plain(text, dict(DICTIONARY))) == re.sub(r"\s", "", text)
+
+
+def test_no_shuffle_with_a_small_dictionary(spark, form, request):
+    df = spark.createDataFrame([(1, "abab"), (2, None)], "k long, text string")
+    d = spark.createDataFrame([("ab", 3)], "word string, freq long")
+    plan = S.segment(df, "k", "text", d)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" in plan) == ("table" in request.node.name)
+
+
+def test_very_long_run(spark):
+    """A run of 200,000 letters in the tasks' form."""
+    df = spark.createDataFrame([(1, "ab" * 100_000)], "k long, text string")
+    d = spark.createDataFrame([("ab", 3), ("ba", 2)], "word string, freq long")
+    assert S.segment(df, "k", "text", d, most_words=9).first().words == ["ab"] * 100_000
