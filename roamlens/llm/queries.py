@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from roamlens.llm import arc_warc, collision_search, fill_in_middle, html_blocks, minhash, mixing, ordinal_quality, piece_trie, pseudonyms, repetition, simhash, source_divergence, token_codes
 from roamlens.llm.common import load
 
-#: Vocabulary files of public tokenizers.
-TOKENIZERS = os.environ.get("LLM_TOKENIZERS", "/opt/tokenizers")
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file: in the folder LLM_TOKENIZERS if set, else
+    where the package of vocabulary files has it."""
+    folder = os.environ.get("LLM_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_codes.token_codes(load(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_codes.token_codes(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_shared_prefix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to piece ids and back."""
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = tokenizer_file("piece_bpe_32k.model")
     both = piece_trie.decode(piece_trie.encode(load(spark, sf_dir, "documents"), model), model)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
                        F.length("text").cast("long").alias("decoded_chars"), F.md5("text").alias("decoded_md5"))

@@ -35,6 +35,8 @@ _MAGIC = b"DACT"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Texts that are encoded together.
 ROWS_AT_ONCE = 256
+#: A task begins another file before its present one would hold more tokens (one document may).
+FILE_TOKENS = 1 << 24
 #: Ids are read in runs of at most so many tokens.
 RUN_TOKENS = 1 << 22
 
@@ -215,10 +217,12 @@ def encoder(path: str) -> Encoder:
 # --- the operator ----------------------------------------------------------
 
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id",
-                      text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+                      text_col: str = "text", end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Encode all texts and write their files in ascending id order (null ids
-    first, equal ids by text).  Returns the manifest: part, path, n_docs,
-    n_tokens, base (tokens in all files before it).
+    first, equal ids by text).  Returns the manifest: part, file (within the part),
+    path, n_docs, n_tokens, base (tokens in all files before it).  A file holds at
+    most ``file_tokens`` tokens, or one document, so neither the writer nor the
+    reader keeps more, whatever the number of rows in a task.
 
     A null or empty text has the end id alone; an empty table makes no files;
     other columns are not read."""
@@ -233,33 +237,43 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, id_col: str
         from pyspark import TaskContext
 
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
-        ids, lengths, blobs = [], [], []
+        part = TaskContext.get().partitionId()
+        store, root = fs.FileSystem.from_uri(uri)
+        ids, lengths, blobs, held, made = [], [], [], 0, 0
+
+        def save():
+            nonlocal ids, lengths, blobs, held, made
+            data = pack_file(ids, np.array(lengths), np.frombuffer(b"".join(blobs), "<u4"))
+            store.create_dir(root, recursive=True)
+            path = f"{root}/part-{part:08d}-{made:06d}.dact"
+            temporary = f"{root}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(temporary) as f:
+                f.write(data)
+            store.move(temporary, path)
+            row = {"part": part, "file": made, "path": path, "n_docs": len(ids), "n_tokens": held}
+            ids, lengths, blobs, held, made = [], [], [], 0, made + 1
+            return pa.RecordBatch.from_pylist([row])
+
         for b in it:
-            ids += b.column(0).to_pylist()
-            texts = b.column(1).to_pylist()
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for at in range(0, len(texts), ROWS_AT_ONCE):
-                for e in enc.encode_all(texts[at:at + ROWS_AT_ONCE]):
-                    lengths.append(len(e) // 4 + 1)
+                for i, e in zip(names[at:at + ROWS_AT_ONCE], enc.encode_all(texts[at:at + ROWS_AT_ONCE])):
+                    n = len(e) // 4 + 1
+                    if ids and held + n > file_tokens:
+                        yield save()
+                    ids.append(i)
+                    lengths.append(n)
                     blobs += (e, end)
-        if not ids:
-            return
-        part = TaskContext.get().partitionId()
-        data = pack_file(ids, np.array(lengths), np.frombuffer(b"".join(blobs), "<u4"))
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
-        path = f"{root}/part-{part:08d}.dact"
-        temporary = f"{root}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(temporary) as f:
-            f.write(data)
-        store.move(temporary, path)
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(ids), "n_tokens": sum(lengths)}])
+                    held += n
+        if ids:
+            yield save()
 
     ranged = (docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
               .repartitionByRange(parts, "id", F.xxhash64("text"))
               .sortWithinPartitions("id", F.xxhash64("text"), "text"))
-    files = materialise(ranged.mapInArrow(write, "part long, path string, n_docs long, n_tokens long"), "token-manifest")
-    # One row for each file, so for each task's share of the input.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    files = materialise(ranged.mapInArrow(write, "part long, file long, path string, n_docs long, n_tokens long"), "token-manifest")
+    # One row for each file.
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 

@@ -72,7 +72,7 @@ def test_pipeline_stages(spark):
         assert texts[r["doc_id"]].startswith(r["text"])
     assert rows == Counter({i: t for i, (_, t) in taken.items() if t})
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_file("piece_bpe_32k.model"))
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in pieces) == Counter((r["doc_id"], tuple(sp.encode(r["text"]))) for r in mixed)
 
 
@@ -93,6 +93,20 @@ def test_pipeline_on_odd_rows(spark, make_docs):
     assert empty.collect() == []
 
 
+def test_unlike_texts_under_one_id(spark, make_docs):
+    """Each text of a repeated id is a document of its own; near copies go under any id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (7, a), (5, b + " tail"), (9, c), (9, c + " tail"), (9, None), (9, ""), (None, a), (2, "one two")]
+    got = P.drop_near_duplicates(spark, make_docs(rows), SF)
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    nine = [t for i, t in kept if i == 9 and t]
+    assert len(nine) == 1 and nine[0] in (c, c + " tail")
+    assert kept == Counter([(7, a), (5, b + " tail"), (9, nine[0]), (9, None), (9, ""), (None, a), (2, "one two")])
+    assert got.columns == make_docs(rows).columns
+    again = P.drop_near_duplicates(spark, make_docs(rows[::-1]).repartition(3), SF)
+    assert Counter((r.doc_id, r.text) for r in again.collect()) == kept
+
+
 def test_whole_table_queries(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op9_shared_prefix_pieces(spark, SF).collect()}

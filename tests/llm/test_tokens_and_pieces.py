@@ -11,9 +11,10 @@ from hypothesis import strategies as st
 
 from roamlens.llm import piece_trie as P
 from roamlens.llm import token_codes as K
-from roamlens.llm.queries import TOKENIZERS
+from roamlens.llm.common import new_folder
+from roamlens.llm.queries import tokenizer_file
 
-BPE, MODEL = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+BPE, MODEL = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
 pytestmark = pytest.mark.skipif(not os.path.exists(MODEL), reason="no vocabulary files here")
 
 ODD = ["", " ", "a   b", " a", "a \n b", "a\n \nb", "  \n  x  ", "a<|endoftext|> b", "it's  'll x\n\n\n y", "\t\ta", "é é", "日本語 テキスト",
@@ -84,6 +85,18 @@ def got_order(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
 
 
+def test_files_hold_a_bounded_number_of_tokens(make_docs, library, spark):
+    rows = [(i, f"w{i} " * (i % 9)) for i in range(200)] + [(500, "long " * 3000), (501, None)]
+    docs, folder = make_docs(rows), new_folder(spark, "tokens")
+    files = K.write_token_files(docs, BPE, folder, file_tokens=100)
+    held = files.collect()
+    assert all(r.n_tokens <= 100 or r.n_docs == 1 for r in held) and max(r.file for r in held) > 3
+    assert len({r.path for r in held}) == len(held)
+    key = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    one = K.token_codes(docs, BPE).orderBy("start").select(key).collect()
+    assert K.read_token_files(files, folder).orderBy("start").select(key).collect() == one
+
+
 def test_token_files_empty(make_docs):
     assert K.token_codes(make_docs([]), BPE).collect() == []
 
