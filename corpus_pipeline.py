@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roamlens.llm import minhash, mixing, ordinal_quality, piece_trie, pseudonyms
 from roamlens.llm.common import load, materialise, prepare
-from roamlens.llm.queries import TOKENIZERS
+from roamlens.llm.queries import tokenizer_file
 
 #: Columns between the model and its filter.
 QUALITY = ("__expected_grade", "__p_good", "__kept")
@@ -24,16 +24,33 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return ordinal_quality.quality(docs, model, out=QUALITY).filter(QUALITY[2]).drop(*QUALITY)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__id``, the id of a text: doc_id, but where texts under one id differ,
+    one (the least by hash) keeps it and each other has a number of its own above 2 ** 62."""
+    text = F.xxhash64("text", F.col("text").isNull())
+    unlike = docs.groupBy("doc_id").agg(F.min(text).alias("__least"), F.max(text).alias("__most"))
+    unlike = unlike.filter("__least != __most AND doc_id IS NOT NULL").select("doc_id", "__least")
+    if unlike.isEmpty():
+        return docs.withColumn("__id", F.col("doc_id"))
+    own = F.xxhash64("doc_id", text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    one = F.col("__least").isNull() | (F.col("__least") == text)
+    marked = docs.join(unlike, "doc_id", "left").withColumn("__id", F.when(one, F.col("doc_id")).otherwise(own))
+    return materialise(marked.drop("__least"), "numbered-texts")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id (of
-    rows that share this id, one).  Rows without an id all stay."""
-    found = minhash.near_duplicates(docs)
-    kept = found.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    once = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    repeated = named.join(once, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    single = named.join(once, "doc_id", "left_anti")
-    return single.unionByName(repeated).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    equal texts under one id, the row with the least hash).  Unlike texts under one id
+    are documents of their own.  Rows without an id all stay."""
+    rows = _numbered(docs)
+    found = minhash.near_duplicates(rows, id_col="__id")
+    kept = found.filter("kept AND __id IS NOT NULL").select("__id").distinct()
+    named = rows.join(kept, "__id", "left_semi")
+    again = found.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 AND __id IS NOT NULL").select("__id")
+    row = F.struct(*docs.columns)
+    repeated = named.join(again, "__id", "left_semi").groupBy("__id").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    single = named.join(again, "__id", "left_anti").select(docs.columns)
+    return single.unionByName(repeated.select("__row.*")).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece ids and their number, for every row of the mix."""
-    out = piece_trie.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+    out = piece_trie.encode(docs, tokenizer_file("piece_bpe_32k.model"))
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"))
 
 
