@@ -7,13 +7,12 @@ both strings share two tokens among their first length - o + 2, and are joined o
 of such tokens.  Only strings so short that one common character suffices at t are also
 joined on one.
 
-``above_partial`` yields the pairs whose best window scores above a threshold.  With at
-most d edits to a window of the longer string, one of d + 1 segments of the shorter
-string stands in it unchanged (pigeonhole), so segments are joined with substrings.
-
 ``top_matches`` finds the best choices of each query at falling thresholds: whoever has
 enough results above one of them is done, as all results above it are known, and only
-the others go on to the next.
+the others go on to the next.  Where the texts are so alike that the keys of a threshold
+would form more than a share of all pairs, the queries still open are compared with all
+choices in blocks (``editblocks``), which costs far less a pair and needs no key.  Scores
+of the best window (``partial_similarity``) are found there too.
 """
 
 from __future__ import annotations
@@ -24,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roamlens.functions.columns import normalise_name, partial_similarity, similarity
+from roamlens.operators import editblocks
 from roamlens.session import cut_lineage
 
 #: Falling thresholds of a top-n search; 0 finds every positive score.
 FALLING = (85, 70, 65, 60, 50, 40, 20, 0)
+#: A pair formed by a join on keys takes about as long as so many pairs in blocks.
+PAIRS_IN_BLOCKS = 50
 
 
 # ------------------------------------------------------------------ tokens
@@ -55,11 +57,17 @@ def _ranked(df: DataFrame, rank: DataFrame, text: str, out: str) -> DataFrame:
     return df.drop("tokens").join(found, text)
 
 
+def normalised(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """The distinct queries (``q``, ``__qn``) and the choices (their columns, ``__cn``)
+    with their normalised texts, those without one left out."""
+    return (queries.select(q).distinct().withColumn("__qn", normalise_name(q)).filter("__qn != ''"),
+            choices.withColumn("__cn", normalise_name(name)).filter("__cn != ''"))
+
+
 def prepare(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name") -> tuple[DataFrame, DataFrame]:
     """The distinct queries (``q``, ``__qn``, ``__qt``) and the choices (their columns,
     ``__cn``, ``__ct``) with their normalised texts and ranked tokens, each written once."""
-    qn = queries.select(q).distinct().withColumn("__qn", normalise_name(q)).filter("__qn != ''")
-    cn = choices.withColumn("__cn", normalise_name(name)).filter("__cn != ''")
+    qn, cn = normalised(queries, choices, q, name)
     qt = qn.select("__qn").distinct().withColumn("tokens", _occurrences(F.col("__qn")))
     ct = cn.select("__cn").distinct().withColumn("tokens", _occurrences(F.col("__cn")))
     rank = cut_lineage(_token_rank(qt, ct))
@@ -106,57 +114,30 @@ def above(qn: DataFrame, cn: DataFrame, threshold: int, open_: Column | None = N
     return left.join(right, ["k1", "k2"]).filter(keep if open_ is None else open_ & keep).drop("k1", "k2")
 
 
-# ------------------------------------------------------------------ partial windows
-def _segments(c: Column, threshold: int) -> Column:
-    """``d + 1`` segments of a text, where a window may differ by d edits and still
-    score above the threshold."""
-    n = F.length(c)
-    parts = F.floor(n * (99.5 - threshold) / 100.0).cast("int") + 1
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(
-        c, F.floor(i * n / parts).cast("int") + 1, (F.floor((i + 1) * n / parts) - F.floor(i * n / parts)).cast("int")))
-
-
-def _substrings(c: Column, most: int) -> Column:
-    at = F.sequence(F.lit(1), F.length(c))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(most), F.length(c) - i + 1)), lambda n: F.substring(c, i, n)))))
-
-
-def above_partial(qn: DataFrame, cn: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of prepared queries and choices whose best window can score above the
-    threshold: first those whose query is not longer, then those whose choice is shorter.
-    A pair is kept under its first segment that the longer text contains."""
-    if not 0 < threshold < 100:
-        raise ValueError("a window needs a threshold between 0 and 100")
-    most = int(100 / (99.5 - threshold)) + 1 if threshold < 99 else 1 << 30  # no segment is longer
-
-    def meet(short: DataFrame, long_: DataFrame, s: str, t: str, sized: Column) -> DataFrame:
-        left = short.withColumn("__seg", _segments(F.col(s), threshold)).select("*", F.posexplode("__seg").alias("__i", "__key"))
-        right = long_.select("*", F.explode(_substrings(F.col(t), most)).alias("__key"))
-        earlier = F.exists(F.slice("__seg", F.lit(1), F.col("__i")), lambda x: F.contains(F.col(t), x))
-        return left.join(right, "__key").filter(sized & ~earlier).drop("__seg", "__i", "__key")
+def _joined(qn: DataFrame, cn: DataFrame, threshold: int) -> int:
+    """The rows that the join of ``above`` forms before its conditions."""
+    left, right = (_with_keys(df.select(t), t, threshold).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias(n))
+                   for df, t, n in ((qn, "__qt", "__l"), (cn, "__ct", "__r")))
+    return left.join(right, ["k1", "k2"]).agg(F.coalesce(F.sum(F.col("__l") * F.col("__r").cast("decimal(20,0)")), F.lit(0)).cast("double")).first()[0]
 
-    a = meet(qn, cn, "__qn", "__cn", F.length("__qn") <= F.length("__cn"))
-    b = meet(cn, qn, "__cn", "__qn", F.length("__qn") > F.length("__cn"))
-    return a.unionByName(b)
 
-
-#: The index that finds all pairs of a scorer above a threshold.
-INDEX: dict[Callable, Callable] = {similarity: above, partial_similarity: above_partial}
+# ------------------------------------------------------------------ joins
+SCORERS = (similarity, partial_similarity)
 
 
-# ------------------------------------------------------------------ joins
 def candidates(queries: DataFrame, choices: DataFrame, q: str = "q", name: str = "name",
                threshold: int = 0, scorer=similarity) -> DataFrame:
     """Pairs (distinct query, choice) with score > ``threshold``, with the score.
-    ``scorer`` is a key of ``INDEX``.  ``choices`` keeps its other columns."""
-    if scorer not in INDEX:
+    ``scorer`` is one of ``SCORERS``.  ``choices`` keeps its other columns."""
+    if scorer not in SCORERS:
         raise ValueError("the scorer has no index")
-    return _scored(INDEX[scorer](*prepare(queries, choices, q, name), threshold), threshold, scorer)
+    if scorer is partial_similarity:
+        return editblocks.partial(*map(cut_lineage, normalised(queries, choices, q, name)), threshold)
+    return _scored(above(*prepare(queries, choices, q, name), threshold), threshold)
 
 
-def _scored(pairs: DataFrame, threshold: int, scorer) -> DataFrame:
-    return (pairs.withColumn("score", scorer("__qn", "__cn")).filter(F.col("score") > threshold)
+def _scored(pairs: DataFrame, threshold: int) -> DataFrame:
+    return (pairs.withColumn("score", similarity("__qn", "__cn")).filter(F.col("score") > threshold)
             .drop("__qn", "__qt", "__cn", "__ct"))
 
 
@@ -171,19 +152,30 @@ def top_matches(queries: DataFrame, choices: DataFrame, limit: int = 1, q: str =
     list is done there: nothing below can enter.  The lists a query is done with (there
     are few lists) travel in its row, so the next join does not form their pairs, and no
     join forms a pair again.  Between the joins at most ``limit`` results are kept for
-    each query and list."""
+    each query and list.  The first join that would form more than one pair in
+    ``PAIRS_IN_BLOCKS`` is not made: its queries meet all choices in blocks."""
+    if scorer not in SCORERS:
+        raise ValueError("the scorer has no index")
     by = list(by)
-    qn, cn = prepare(queries, choices, q, name)
     if scorer is not similarity:
-        return _best(_scored(INDEX[scorer](qn, cn, threshold), threshold, scorer), q, by, limit)
+        return _best(candidates(queries, choices, q, name, threshold, scorer), q, by, limit)
+    qn, cn = prepare(queries, choices, q, name)
     steps = [t for t in falling if t > threshold] + [threshold]
     cn = cn.withColumn("__list", F.xxhash64(F.struct(*by)) if by else F.lit(0).cast("long"))
-    lists = cn.agg(F.count_distinct("__list")).first()[0]
+    lists, all_choices = cn.agg(F.count_distinct("__list"), F.count(F.lit(1))).first()
     none = F.array().cast("array<bigint>")
     qn, best = qn.withColumn("__done", none), None
     for k, t in enumerate(steps):
-        pairs = above(qn, cn, t, ~F.array_contains("__done", F.col("__list")), steps[k - 1] if k else None)
-        got = _scored(pairs.drop("__done"), threshold, scorer)
+        left = qn.filter(F.size("__done") < lists) if k else qn
+        if _joined(left, cn, t) * PAIRS_IN_BLOCKS > left.count() * all_choices:
+            got = editblocks.nearest(left, cn, limit, threshold).filter(~F.array_contains("__done", F.col("__list")))
+            if best is not None:  # what was found of an open list is found again
+                known = best.drop("rank").join(qn.select(q, "__done"), q).filter(F.array_contains("__done", F.col("__list")))
+                got = got.unionByName(known)
+            best = _best(got.drop("__done"), q, [*by, "__list"], limit)
+            break
+        pairs = above(left, cn, t, ~F.array_contains("__done", F.col("__list")), steps[k - 1] if k else None)
+        got = _scored(pairs.drop("__done"), threshold)
         best = _best(got if best is None else best.drop("rank").unionByName(got), q, [*by, "__list"], limit)
         if k == len(steps) - 1:
             break
