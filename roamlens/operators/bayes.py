@@ -20,12 +20,17 @@ from pyspark.sql import functions as F
 MODELS = ("bernoulli", "multinomial")
 
 
-def feature_table(train: DataFrame, label: str, words: str, positive=1, binary: bool = True, smoothing: float = 1.0) -> DataFrame:
+def feature_table(train: DataFrame, label: str, words: str, positive=1, binary: bool = True, smoothing: float = 1.0,
+                  only: DataFrame | None = None) -> DataFrame:
     """The sufficient statistics: ``word``, ``c1``, ``c0`` (documents of either class
     with the word, or its occurrences if not ``binary``), the class sizes ``n1``, ``n0``
-    and the terms of the margins, one row for each feature of the training rows."""
+    and the terms of the margins, one row for each feature of the training rows.
+    ``only`` (its column ``word``; a bounded number of features) leaves out all others
+    before anything is counted or shuffled."""
     taken = F.array_distinct(words) if binary else F.col(words)
     ex = train.select((F.col(label) == positive).alias("__y"), F.explode(taken).alias("word"))
+    if only is not None:
+        ex = ex.join(F.broadcast(only.select("word")), "word", "left_semi")
     counts = ex.groupBy("word").agg(F.count(F.when(F.col("__y"), 1)).alias("c1"), F.count(F.when(~F.col("__y"), 1)).alias("c0"))
     y = F.col(label) == positive
     sizes = train.select(F.struct(F.count(F.when(y, 1)).alias("n1"), F.count(F.when(~y, 1)).alias("n0"))).scalar()
@@ -57,12 +62,13 @@ def set_totals(table: DataFrame, sets: dict[str, Column], smoothing: float = 1.0
 
 
 def margins(rows: DataFrame, key: str, words: str, table: DataFrame, totals: DataFrame, sets: dict[str, Column], binary: bool = True,
-            models: tuple[str, ...] = MODELS, keep: tuple[str, ...] = ()) -> DataFrame:
+            models: tuple[str, ...] = MODELS, keep: tuple[str, ...] = (), few: bool = False) -> DataFrame:
     """``key`` (naming a row), ``keep``, ``method`` (a key of ``sets``), ``model``, ``margin`` for
-    every row of ``rows``, those without a known feature included."""
+    every row of ``rows``, those without a known feature included.  ``few``: the table has
+    a bounded number of features, so it goes to the rows, and only hits are shuffled."""
     taken = F.array_distinct(words) if binary else F.col(words)
-    hits = rows.select(key, F.explode(taken).alias("word")).join(table.select(
-        "word", "present", "occurs", *[u.alias(f"u{i}") for i, u in enumerate(sets.values())]), "word")
+    facts = table.select("word", "present", "occurs", *[u.alias(f"u{i}") for i, u in enumerate(sets.values())])
+    hits = rows.select(key, F.explode(taken).alias("word")).join(F.broadcast(facts) if few else facts, "word")
     n = len(sets)
     sums = hits.groupBy(key).agg(*[F.sum(F.when(F.col(f"u{i}"), F.col("present"))).alias(f"p{i}") for i in range(n)],
                                  *[F.sum(F.when(F.col(f"u{i}"), F.col("occurs"))).alias(f"o{i}") for i in range(n)],

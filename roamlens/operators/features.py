@@ -50,6 +50,25 @@ def class_scores(df: DataFrame, features: str, label: str, positive=1, out: str
     ex = df.select(F.col(label).alias("__y"), F.explode(features).alias("word"))
     counts = ex.groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                     F.count(F.when(F.col("__y") == positive, 1)).alias("n_pos"))
+    return _informativeness(counts, out)
+
+
+def word_and_bigram_class_scores(df: DataFrame, words: str, label: str, positive=1, out: str = "score", sep: str = "_") -> DataFrame:
+    """``class_scores`` of the features of ``word_and_bigram_features``: every word leaves
+    its document once, with the word after it (null for the last), and words and bigrams
+    are counted from the counts of pairs."""
+    w = col_(words)
+    after = F.slice(w, F.lit(2), F.size(w))
+    ex = df.filter(F.size(w) > 0).select((F.col(label) == positive).alias("__y"), F.inline(F.arrays_zip(w.alias("w1"), after.alias("w2"))))
+    pairs = ex.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__y"), 1)).alias("n_pos"))
+    own = F.struct(F.col("w1").alias("word"), "n", "n_pos")
+    both = F.struct(F.concat_ws(sep, "w1", "w2").alias("word"), "n", "n_pos")
+    rows = pairs.select(F.inline(F.when(F.col("w2").isNull(), F.array(own)).otherwise(F.array(own, both))))
+    return _informativeness(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_pos").alias("n_pos")), out)
+
+
+def _informativeness(counts: DataFrame, out: str) -> DataFrame:
+    """Scores from ``word``, ``n``, ``n_pos``."""
     tot = counts.select(F.struct(F.sum("n").alias("N"), F.sum("n_pos").alias("P"))).scalar()
     s = (counts.withColumn("__t", tot)
          .withColumn("__N", F.col("__t.N")).withColumn("__P", F.col("__t.P")).drop("__t"))
