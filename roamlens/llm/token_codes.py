@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roamlens.llm.common import Kept, as_uri, materialise, new_folder
+from roamlens.llm.common import as_uri, materialise, new_folder
 
 END_ID = 2
 BLOCK_BITS = 512
@@ -142,11 +142,44 @@ _SAFE = re.compile(rf"[ \n]?(?:[{_S}]+[ \n])*+[{_S}]*")
 _UNIT = re.compile(rf" ?[{_L}]+| ?[^{_L} ]+| ")
 
 
+#: The letter that stands for each byte in a byte-level vocabulary: printable bytes
+#: stand for themselves, the others are counted from U+0100.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _plain_byte_pairs(tokenizer) -> bool:
+    """Whether a piece of the splitter is spelt in byte letters and merged, and nothing else."""
+    from tokenizers import models, pre_tokenizers
+
+    split, model = tokenizer.pre_tokenizer, tokenizer.model
+    return (tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+            and isinstance(model, models.BPE) and not model.dropout)
+
+
+class _Units(dict):
+    """What ``fn`` gives for each key, kept for two generations of ``most`` keys: what was
+    not asked for in a whole generation goes."""
+
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most, self.old = fn, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        self[key] = got = self.fn(key) if got is None else got
+        return got
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library.  A text is encoded as the
     units between places where the vocabulary's splitter always cuts, and each
-    worker keeps the units it has seen, so the library sees each about once; a text
-    where the cuts are not certain goes to the library as it is."""
+    worker keeps the units it has seen.  A new unit of letters goes straight to the
+    library's merge model, as the splitter and its offsets cost more than the merges;
+    other units and texts where the cuts are not certain go to the library as they are."""
 
     MOST_KEPT = 400_000
 
@@ -157,9 +190,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.units = Kept(self.MOST_KEPT)
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
+        self.units = _Units(self._unit_ids, self.MOST_KEPT)
+        self.model = self.tokenizer.model if _plain_byte_pairs(self.tokenizer) else None
         #: Strings that the library takes out of a text before it is split.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -170,32 +202,20 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in got]
 
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """The ids of units, many in one call: a line feed between two units is a token
-        of its own, and no unit here holds another one."""
-        out, width = [], 2_000
-        for at in range(0, len(units), width):
-            part = units[at:at + width]
-            if self.line is None or any("\n" in u or u.isspace() for u in part):
-                single = [i for i, u in enumerate(part) if self.line is None or "\n" in u or u.isspace()]
-                found = dict(zip(single, self._ids([part[i] for i in single])))
-                rest = iter(self._unit_ids([u for i, u in enumerate(part) if i not in found]))
-                out += [found[i] if i in found else next(rest) for i in range(len(part))]
-                continue
-            ids = np.frombuffer(self._ids(["\n".join(part)])[0], "<u4")
-            data, cut = ids.tobytes(), (np.flatnonzero(ids == self.line) * 4).tolist()
-            out += [data[a:b] for a, b in zip([0, *(c + 4 for c in cut)], [*cut, len(data)])]
-        return out
+    def _unit_ids(self, unit: str) -> bytes:
+        """The ids of a unit; one of letters is one piece to the splitter."""
+        if self.model is None or not (unit[1:] if unit[0] == " " else unit).isalpha():
+            return self._ids([unit])[0]
+        spelt = unit.replace(" ", "\u0120") if unit.isascii() else unit.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         texts = [t or "" for t in texts]
-        cut = [_UNIT.findall(t) if self._certain(t) else [] for t in texts]
-        new = self.units.missing(set().union(*cut))
-        self.units.now.update(zip(new, self._unit_ids(new)))
-        of = self.units.now.get
-        out = [b"".join(map(of, units)) for units in cut]
-        whole = [i for i, t in enumerate(texts) if t and not cut[i]]
+        certain = [self._certain(t) for t in texts]
+        of = self.units.__getitem__
+        out = [b"".join(map(of, _UNIT.findall(t))) if c else b"" for t, c in zip(texts, certain)]
+        whole = [i for i, c in enumerate(certain) if not c]
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         return out

@@ -54,6 +54,28 @@ def test_encoder_on_any_text(library, enc, text):
     assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_skip_the_splitter(library, monkeypatch):
+    """Words that no worker has seen go to the merge model; the costly whole way is for other texts."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzäßéñðшяǅ", k=rng.randint(1, 14))) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 50]).capitalize() + ", (12) x.\nEnd" for i in range(0, 3000, 50)] + ["a   b"]
+    own, pieces = K.Encoder(BPE), []
+    whole = own._ids
+    monkeypatch.setattr(own, "_ids", lambda some: (pieces.extend(some), whole(some))[1])
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert "a   b" in pieces and sum(len(p) for p in pieces) < 50
+
+
+def test_kept_units_are_bounded(library):
+    own = K.Encoder(BPE)
+    own.units.most = 5
+    text = " ".join(f"{a}{b} {a}" for a in "abcdefgh" for b in "xyz")
+    for _ in range(2):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(own.units) <= 5 and len(own.units.old) <= 5
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2 ** 32 - 1), max_size=1500))
 def test_codes_random_access(ids):
