@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from roamlens.operators import bayes as B
 from roamlens.operators import evaluation as EV
+from roamlens.operators import kernel
 from roamlens.operators import ml as ML
 from roamlens.operators import sampling as SM
 from roamlens.operators.kernel import RandomFourierFeatures, RandomFourierSVC
@@ -98,6 +99,31 @@ def test_random_features_approximate_the_kernel(spark):
     assert z[200] @ z[0] == pytest.approx(math.exp(-0.02 * (x[0] ** 2).sum()), abs=0.08)
 
 
+def test_rows_of_the_kernel_do_not_depend_on_their_order():
+    want = {i: np.random.Generator(np.random.Philox(key=3, counter=[0, 0, 0, i])).standard_normal(7).astype(np.float32) for i in (0, 5, 9, 1 << 40)}
+    for order in ((9, 0, 1 << 40, 5), (5, 9, 0, 1 << 40)):
+        kernel._row.cache_clear()
+        for i in order:
+            kernel._row(4, i, 3)
+            assert (kernel._row(3, i, 7) == want[i]).all()
+
+
+def test_kernel_fit_computes_its_features_once(spark):
+    """The rows are counted as they pass: a fit reads them once, however many passes its parts make."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(y):
+        read.add(1)
+        return y
+
+    df = spark.createDataFrame([(i, float(i % 2), [float(i % 2 + i % 3), 1.0]) for i in range(60)], "i long, y double, v array<double>")
+    rows = df.withColumn("features", array_to_vector(F.array(seen.asNondeterministic()(F.col("v")[0]), F.lit(1.0))))
+    model = RandomFourierSVC(labelCol="y", gamma=1.0, maxIter=10, numFeatures=20).fit(rows)
+    assert read.value == 60
+    assert [type(x).__name__ for x in model.stages] == ["RandomFourierFeatures", "LinearSVCModel", "MarginVector", "LogisticRegressionModel"]
+
+
 def test_kernel_classifier(spark, tmp):
     """Rings are not linearly separable; the kernel classifier tells them apart, and is
     the same after it was written and loaded."""
