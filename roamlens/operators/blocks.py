@@ -26,6 +26,15 @@ def ends(lists) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
 
 
+def runs(rows: pa.Array, upto: np.ndarray, size: int):
+    """``rows`` in slices of about ``size``, or one row; ``upto`` is what stands before each row and after the last."""
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + size, "right")) - 1)
+        yield rows.slice(lo, hi - lo)
+        lo = hi
+
+
 def one(column) -> pa.Array:
     """A table's column as one array."""
     return column.combine_chunks() if not isinstance(column, pa.ChunkedArray) else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
