@@ -198,9 +198,7 @@ s AS (SELECT pc.doc_id, pc.w1, pc.w2, n_ii, round({chi_sql('n_ii', 'u1.c', 'u2.c
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chi_sq DESC, w1, w2) AS rank FROM s)
 SELECT doc_id, w1, w2, n_ii, chi_sq, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {BIGRAMS_PER_DOC}""")
 def doc_bigram_top(spark, sf_dir):
-    s = FT.bigram_scores(_docs(Tables(spark, sf_dir)), "words", by="doc_id", documents=True)
-    return FT.top_bigrams(s, BIGRAMS_PER_DOC, by="doc_id").select(
-        "doc_id", "w1", "w2", "n_ii", "chi_sq", "rank")
+    return FT.top_document_bigrams(_docs(Tables(spark, sf_dir)), "words", "doc_id", BIGRAMS_PER_DOC)
 
 
 @register("word_bigram_scores", ids="N7 U2", sql=f"""
